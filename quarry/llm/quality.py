@@ -34,7 +34,7 @@ TOP = 1 << 16
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    blank = "\\t\\n\\u000B\\f\\r"
+    blank = "\\t\\n\\u000B\\u000C\\r"
     spaces = f" {blank}"
     d = docs.withColumn("__t", F.coalesce("text", F.lit("")))
     d = d.withColumn("__w", F.expr(f"array_remove(split(translate(__t, '{blank}', '     '), ' '), '')"))

@@ -164,7 +164,7 @@ def _next(candidates: DataFrame, window: int, level: int) -> DataFrame:
 def _survivors(sent: DataFrame) -> DataFrame:
     """Of rows (doc_id, digest, weight, hashes, counts), each document's hashes that occur twice or more over all rows, with its weight."""
     rows = sent.select("doc_id", "digest", "weight", F.explode(F.arrays_zip("hashes", "counts")).alias("x"))
-    rows = rows.select("doc_id", "digest", F.col("x.hashes").alias("h"), (F.col("x.counts") * F.col("weight")).alias("n"))
+    rows = rows.select("doc_id", "digest", "weight", F.col("x.hashes").alias("h"), (F.col("x.counts") * F.col("weight")).alias("n"))
     repeated = rows.groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2").select("h")
     return rows.join(repeated, "h").groupBy("doc_id", "digest", "weight").agg(F.collect_list("h").alias("survived"))
 

@@ -73,7 +73,7 @@ class Model:
     def locate(self, text: str | None, at_least: float = 0.5) -> list[tuple[int, str, float]]:
         """(number, sentence, score) of the sentences that score ``at_least`` that much."""
         parts, z = self.sentences(text, WordWeights(self.weights))
-        p = 1 / (1 + np.exp(-z))
+        p = np.exp(-np.logaddexp(0, -z))
         return [(i, parts[i], float(p[i])) for i in np.flatnonzero(p >= at_least)]
 
 
@@ -104,7 +104,7 @@ def fit(texts: list[str | None], labels: list[int], share: float = 0.5, rounds:
         z = b + np.bincount(sentence_of, w[ids], len(doc_of))
         total = np.bincount(doc_of, np.logaddexp(0, z), len(y))
         slope = cost * np.where(y, -1 / np.expm1(np.clip(total, 1e-6, 500)), 1.0)
-        dz = slope[doc_of] / (1 + np.exp(-z))
+        dz = slope[doc_of] * np.exp(-np.logaddexp(0, -z))
         g = np.append(np.bincount(ids, dz[sentence_of], len(w)) + 1e-5 * w, dz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
