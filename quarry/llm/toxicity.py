@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from .shared import documents
 
-PER_CLASS, LEAST_DOCS, ROUNDS, THRESHOLD = 3000, 4, 150, 0.3
+PER_CLASS, LEAST_DOCS, LEAST_LIFT, ROUNDS, THRESHOLD = 3000, 4, 5.0, 150, 0.3
+L1, L2 = 5e-5, 1e-5
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 EDGES = ".,;:!?\"'()[]{}*#$%&|<>-"
-PREFIXES = (3, 4, 5, 6, 7)
+PREFIXES = (3, 4, 5, 6, 7, 8, 10)
 
 
 def features(word: str) -> list[str]:
@@ -77,25 +78,33 @@ class Model:
         return [(i, parts[i], float(p[i])) for i in np.flatnonzero(p >= at_least)]
 
 
-def fit(texts: list[str | None], labels: list[int], share: float = 0.5, rounds: int = ROUNDS) -> Model:
-    """Weights that maximise the labels' likelihood under the noisy-or, with a small ridge, by Adam with full batches."""
+def fit(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, lift: float = LEAST_LIFT, l1: float = L1, l2: float = L2) -> Model:
+    """Weights that maximise the labels' likelihood under the noisy-or, with small penalties, by Adam with full batches.
+
+    Only features that stand in more toxic documents than chance has it, by ``lift`` standard deviations, get a
+    weight: in this model a sentence offends by what it contains, not by what it lacks.
+    """
     y = np.array(labels, bool)
     if y.all() or not y.any():
         return Model(0.0, {}, float(y.mean()) if len(y) else 0.0)
-    split = [[[f for w in s.split() for f in features(w)] for s in SENTENCE.split(t or "") if s.strip()] or [[]] for t in texts]
     seen: dict[str, list[int]] = {}
-    for doc, toxic in zip(split, y):
-        for f in set().union(*doc):
+    for text, toxic in zip(texts, y):
+        for f in {f for w in set((text or "").split()) for f in features(w)}:
             seen.setdefault(f, [0, 0])[int(toxic)] += 1
-    names = {f: i for i, f in enumerate(sorted(f for f, c in seen.items() if sum(c) >= LEAST_DOCS))}
-    ids, sentence_of, doc_of = [], [], []
-    for d, doc in enumerate(split):
-        for s in doc:
-            own = [names[f] for f in s if f in names]
-            ids += own
-            sentence_of += [len(doc_of)] * len(own)
+    share = y.mean()
+    chance = lambda n: share * n + lift * (n * share * (1 - share)) ** 0.5
+    names = {f: i for i, f in enumerate(sorted(f for f, (c, t) in seen.items() if c + t >= LEAST_DOCS and t > chance(c + t)))}
+    del seen
+    ids, sentence_of, doc_of, known = [], [], [], {}
+    for d, text in enumerate(texts):
+        for s in SENTENCE.split(text or ""):
+            for w in s.split():
+                own = known.get(w)
+                if own is None:
+                    own = known[w] = [names[f] for f in features(w) if f in names]
+                ids += own
+                sentence_of += [len(doc_of)] * len(own)
             doc_of.append(d)
-    del split, seen
     ids, sentence_of, doc_of = (np.array(a, np.int32) for a in (ids, sentence_of, doc_of))
     cost = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
     w, b = np.zeros(len(names)), -4.0
@@ -105,7 +114,7 @@ def fit(texts: list[str | None], labels: list[int], share: float = 0.5, rounds:
         total = np.bincount(doc_of, np.logaddexp(0, z), len(y))
         slope = cost * np.where(y, -1 / np.expm1(np.clip(total, 1e-6, 500)), 1.0)
         dz = slope[doc_of] * np.exp(-np.logaddexp(0, -z))
-        g = np.append(np.bincount(ids, dz[sentence_of], len(w)) + 1e-5 * w, dz.sum())
+        g = np.append(np.bincount(ids, dz[sentence_of], len(w)) + l1 * np.sign(w) + l2 * w, dz.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
