@@ -21,6 +21,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -205,11 +206,17 @@ class Codec:
         return self.blob[np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)].tobytes()[:-1]
 
 
+@lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    """The codec of this Python process: tasks that follow each other in a worker find its caches filled."""
+    return Codec(path)
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and decoded, the text that the ids decode to."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in batched(texts, 4_000_000):

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,12 @@ class WordHash(dict):
         return h
 
 
+@lru_cache(maxsize=1)
+def word_hashes() -> WordHash:
+    """The cache of this Python process, kept from task to task."""
+    return WordHash()
+
+
 def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The hash of a pair of hashes."""
     x = left * K1 + (right ^ (right >> np.uint64(29))) * K2
@@ -125,7 +132,7 @@ SENT = "hashes array<bigint>, counts array<bigint>"
 
 def _first(docs: DataFrame, window: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
+        cache = word_hashes()
         for batch in batches:
             rows = []
             for text in batch.column(1):
@@ -143,7 +150,7 @@ def _next(candidates: DataFrame, window: int, level: int) -> DataFrame:
     """What documents (doc_id, text, weight, survived) send at a level."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
+        cache = word_hashes()
         for batch in batches:
             if level == 1:  # rows that share an id with another text were joined to both
                 same = [hashlib.sha256(b" ".join(words_of(t.as_py()))).digest() == d.as_py() for t, d in zip(batch.column("text"), batch.column("digest"))]
@@ -173,7 +180,7 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
     """Of rows (doc_id, digest, text, survived) the words that stay."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHash()
+        cache = word_hashes()
         for batch in batches:
             texts, removed = [], []
             for text, survived in zip(batch.column("text"), batch.column("survived")):
