@@ -1,4 +1,5 @@
 """All queries with their SQL twins, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import aggregates, dialect, extensions, filters, generation, joins, rules, scalars, sources, streams, vectors, windows  # noqa: F401
+
+QUERIES, ORACLES = dialect.QUERIES, dialect.ORACLES
