@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def draw(key: Column) -> Column:
-    """A reproducible draw from 0 to 2^32 - 1 that depends on ``key`` alone, not on partitions."""
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+from ..functions.columns import draw  # noqa: F401
 
 
 def drop_leaks(test: DataFrame, train: DataFrame, column: str) -> DataFrame:

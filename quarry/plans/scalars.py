@@ -81,3 +81,19 @@ def smoothed(spark, sf_dir: str):
 
 
 pair("udf_vectorised", smoothed, "select event_id, value * value / (1.0E0 + abs(value)) as y from events")
+
+
+def scored_encode(spark, sf_dir: str):
+    """Ids of the turns by scored pieces: bytes, letters and a few longer pieces of our own."""
+    letters = " etaonihsrdlucmfwypvbgkjqxz"
+    pieces = [("<unk>", 0.0), ("<s>", 0.0), ("</s>", 0.0), *((f"<0x{b:02X}>", 0.0) for b in range(256)), *((c, -20.0) for c in letters), *((p, -float(i)) for i, p in enumerate(["th", "the", " the", "an", "er", " a", "on", "re"], 1))]
+
+    @F.pandas_udf("array<int>")
+    def encode(texts: pd.Series) -> pd.Series:
+        coder = tokens.ScoredPieces(pieces)
+        return texts.map(lambda t: coder.encode(t or ""))
+
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", encode(F.substring("text", 1, 120)).alias("ids"))
+
+
+pair("fn_scored_encode", scored_encode)

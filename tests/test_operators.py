@@ -133,3 +133,48 @@ def test_stream_is_the_batch(spark, tmp_path):
 def test_dialects():
     assert to_duckdb("transform(x, v -> v div 2)") == "list_transform(x, lambda v: v // 2)"
     assert to_spark(r"regexp_like(a, '\d')") == r"regexp_like(a, '\\d')"
+
+
+def test_column_functions(spark):
+    from quarry.functions import columns as C
+
+    texts = ["the cat", "other", "The", "the3", "Kelvin", "  3) Hello 'x' ", "ninety-nine and one hundred and five of a hundred", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    rows = df.select(C.has_word(t, "the").alias("w"), C.has_word(t, "the", True).alias("b"), C.lower_ascii(t).alias("l"), C.clean_line(t).alias("c"), C.number_words_to_digits()(t).alias("n")).collect()
+    assert [r.w for r in rows] == [True, False, True, True, False, False, False, None] and rows[3].b is False
+    assert rows[4].l == "Kelvin" and rows[5].c == "hello 'x" and rows[6].n == "99 and 105 of 100" and rows[7].n is None
+    assert spark.range(1).select(C.numbers_grounded(F.lit("at 3"), F.lit("36")).alias("g")).first().g
+
+
+def test_decoder_and_sampling(spark):
+    from quarry.operators import model
+
+    r = np.random.default_rng(1)
+    d, v = 8, 11
+    w = {"embed": r.normal(size=(v, d)), "norm": np.ones(d)}
+    for i in range(2):
+        w |= {f"{i}.norm1": np.ones(d), f"{i}.norm2": np.ones(d), f"{i}.q": r.normal(size=(d, d)), f"{i}.k": r.normal(size=(4, d)), f"{i}.v": r.normal(size=(4, d)), f"{i}.o": r.normal(size=(d, d)), f"{i}.gate": r.normal(size=(12, d)), f"{i}.up": r.normal(size=(12, d)), f"{i}.down": r.normal(size=(d, 12))}
+    m = model.Decoder(w, 4, 2, 16)
+    one = m.generate([1, 2, 3], set(), 5)
+    assert one == m.generate([1, 2, 3], set(), 5) and len(one) == 5 and len(m.generate([1] * 14, set(), 9)) == 2 and m.generate([1, 2, 3], {one[0]}, 5) == one[:1]
+    found = model.generated(spark.createDataFrame([(1, [1, 2, 3]), (2, None)], "id long, prompt_ids array<int>"), w, 4, 2, 16, set(), 5).collect()
+    assert {x.id: x.ids for x in found} == {1: one, 2: []}
+    assert model.sample(np.array([1.0, 3.0, 3.0]), [], model.Draws(1)) == 1 and model.sample(np.array([1.0, 3.0, 2.9]), [1, 1], model.Draws(1), penalty=1.5) == 2
+    picks = {model.sample(np.array([5.0, 5.0, 5.0, -9.0]), [], draws, 1.0, 2) for draws in [model.Draws(7)] for _ in range(200)}
+    assert picks == {0, 1, 2}
+
+
+def test_tokenizer_blobs():
+    from quarry.sources import tokenizer_blob as B
+
+    assert B.load(B.dump_merges(["<a>", "é"], [(1, 2), (300, 4)])) == (1, ["<a>", "é"], [(1, 2), (300, 4)])
+    assert B.load(B.dump_pieces([(b"ab", 1.5), (b"", -2.0)])) == (2, [], [(b"ab", 1.5), (b"", -2.0)])
+    for bad, why in [(b"nope", "magic"), (B.dump_pieces([(b"a", 1.0)])[:10], "size"), (b"QTOK" + struct.pack("<I", 9), "version")]:
+        with pytest.raises(ValueError, match=why):
+            B.load(bad)
+    flat = np.arange(3 * 4 + (4 + 16 + 8 + 8 + 16 + 4 + 24 + 24 + 24) + 4, dtype="<f4")
+    size, x = B.load_checkpoint(struct.pack("<7i", 4, 6, 1, 2, 1, 3, 8) + flat.tobytes())
+    assert size["vocab"] == 3 and x["norm"].tolist() == flat[-4:].tolist() and x["0.up"].shape == (6, 4)
+    with pytest.raises(ValueError, match="shared"):
+        B.load_checkpoint(struct.pack("<7i", 4, 6, 1, 2, 1, -3, 8))
