@@ -28,7 +28,7 @@ SYMBOLS = "#*$%&|<>"
 SCALE = 4096
 #: Points of the chi-squared distribution with five degrees of freedom.
 CHI2_HALF, CHI2_THREE_QUARTERS = 4.3515, 6.6257
-CUTOFF, FLOOR, LEAST_ROWS, STEPS = 60.0, 0.2, 50, 3
+CUTOFF, FLOOR, LEAST_ROWS, STEPS = 100.0, 0.2, 50, 3
 TOP = 1 << 16
 
 
@@ -61,7 +61,7 @@ STATISTICS = [
     "ln(word_chars / cast(greatest(n_words, 1) as double))",
     "ln(1 + 100 * n_symbols / cast(greatest(word_chars, 1) as double))",
     "ln(1 + n_dup_lines)",
-    "ln(1 + 100 * n_repeat_words / cast(greatest(n_words, 1) as double))",
+    "ln(1 + 10 * n_repeat_words / cast(greatest(n_words, 1) as double))",
 ]
 P = len(STATISTICS)
 GROUP = "concat(coalesce(concat('=', lang), ''), chr(10), coalesce(concat('=', source), ''))"
