@@ -1,4 +1,4 @@
-"""Operators beyond the project's own kind: as-of and outer joins, rollups, rankings, time windows, similarity."""
+"""Operators beyond the project's own kind: as-of and outer joins, rollups, rankings, time windows."""
 
 from __future__ import annotations
 
@@ -27,8 +27,4 @@ def asof(spark, sf_dir: str):
 
 
 pair("ext_asof_events", asof, "select event_id, view_id from (select event_id, event_type, last_value(case when event_type = 'view' then event_id end IGNORE NULLS) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as view_id from events) e where event_type = 'purchase'")
-X = "transform(embedding, v -> cast(v as double))"
-COS = "@fold(transform(sequence(1, size(a.x)), i -> element_at(a.x, i) * element_at(b.x, i)), 0.0E0, (s, y) -> s + y) / (sqrt(@fold(transform(a.x, v -> v * v), 0.0E0, (s, y) -> s + y)) * sqrt(@fold(transform(b.x, v -> v * v), 0.0E0, (s, y) -> s + y)))"
-add("ext_cosine_topk", f"select q, vec_id, round(c, 5) as c from (select q, vec_id, c, row_number() over (partition by q order by round(c, 9) desc, vec_id) as r from (select a.q, b.vec_id, {COS} as c from (select vec_id as q, {X} as x from embeddings where vec_id % 100 = 0) a cross join (select vec_id, {X} as x from embeddings) b where a.q <> b.vec_id) s) t where r <= 5")
-add("ext_html_text", "select page_id, @sha(trim(@replace_all(@replace_all(@replace_all(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' '), '<[^>]*>', ' '), '[ ]+', ' '))) as text_sha from pages")
 pair("ext_approx_distinct", lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users")))
