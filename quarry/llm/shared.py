@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 from array import array
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,6 +117,12 @@ class ChunkEncoder:
         return [b"".join(map(get, c)) for c in chunks]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str, style: str) -> ChunkEncoder:
+    """The encoder of this Python process: tasks that follow each other in a worker find its cache filled."""
+    return ChunkEncoder(path, style)
+
+
 def batched(texts: list, size: int = 2_000_000):
     """Slices of about ``size`` characters, one text at least."""
     start = total = 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ChunkEncoder, batched, documents, partitions, shared_path, tokenizer_path, written
+from .shared import batched, documents, encoder, partitions, shared_path, tokenizer_path, written
 
 LENGTH, ROWS = 2048, 64
 
@@ -139,11 +139,11 @@ def write_token_files(docs: DataFrame, path: str, style: str, end_id: int, folde
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, writer = ChunkEncoder(path, style), None
+        coder, writer = encoder(path, style), None
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in batched(texts):
-                for doc_id, ids in zip(doc_ids[a:b], encoder.encode(texts[a:b])):
+                for doc_id, ids in zip(doc_ids[a:b], coder.encode(texts[a:b])):
                     writer = writer or ShardWriter(folder, length, dtype)
                     writer.add(doc_id, np.append(np.frombuffer(ids, "<u4"), np.uint32(end_id)))
         if writer:
