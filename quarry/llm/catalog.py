@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_quality_mcd": quality.oracle(),
     "op4_substring_doubling": substrings.ORACLE,
     "op6_line_dedup": lines.ORACLE,
 }

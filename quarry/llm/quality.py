@@ -30,29 +30,39 @@ SCALE = 4096
 CHI2_HALF, CHI2_THREE_QUARTERS = 4.3515, 6.6257
 CUTOFF, FLOOR, LEAST_ROWS, STEPS = 100.0, 0.2, 50, 3
 TOP = 1 << 16
+SALTS = 32
+#: Up to so many repeated windows of a text are looked up one by one; it changes the way, not the result.
+LOOKED_UP = 400
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    blank = "\\t\\n\\u000B\\u000C\\r"
-    spaces = f" {blank}"
+    blank = r"[\\x20\\x09-\\x0D]"
+    bare = "__t"
+    for c in SYMBOLS:
+        bare = f"replace({bare}, '{c}', '')"
     d = docs.withColumn("__t", F.coalesce("text", F.lit("")))
-    d = d.withColumn("__w", F.expr(f"array_remove(split(translate(__t, '{blank}', '     '), ' '), '')"))
-    d = d.withColumn("__l", F.expr(f"filter(split(__t, '\\n'), x -> translate(x, '{spaces}', '') <> '')"))
+    d = d.withColumn("__w", F.expr(f"array_remove(split(__t, '{blank}+'), '')"))
+    d = d.withColumn("__l", F.expr("filter(split(__t, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"))
     d = d.withColumn("__n", F.size("__w"))
-    # sorted (hash, place) of the windows; the windows of a hash lie side by side
-    d = d.withColumn("__h", F.expr("if(__n < 4, array(), array_sort(transform(sequence(0, __n - 3), i -> struct(xxhash64(__w[i], __w[i + 1], __w[i + 2]) as h, i as p))))"))
-    d = d.withColumn("__r", F.expr("array_sort(transform(filter(__h, (x, i) -> (i > 0 and x.h = __h[i - 1].h) or (i < __n - 3 and x.h = __h[i + 1].h)), x -> x.p))"))
+    d = d.withColumn("__h", F.expr("if(__n < 4, array(), transform(sequence(0, __n - 3), i -> xxhash64(__w[i], __w[i + 1], __w[i + 2])))"))
+    d = d.withColumn("__s", F.expr("if(size(array_distinct(__h)) < size(__h), sort_array(__h), array())"))
+    d = d.withColumn("__d", F.expr("array_distinct(filter(__s, (x, i) -> i > 0 and x = __s[i - 1]))"))
+    # few repeated windows are looked up; many are found side by side among the sorted pairs of hash and place
+    d = d.withColumn("__p", F.expr(f"if(size(__d) <= {LOOKED_UP}, array(), array_sort(transform(__h, (x, i) -> struct(x as h, i as p))))"))
+    beside = "array_sort(transform(filter(__p, (x, i) -> (i > 0 and x.h = __p[i - 1].h) or (i < __n - 3 and x.h = __p[i + 1].h)), x -> x.p))"
+    lookup = "filter(transform(__h, (x, i) -> if(array_contains(__d, x), i, -1)), p -> p >= 0)"
+    d = d.withColumn("__r", F.expr(f"case when size(__d) = 0 then array() when size(__d) <= {LOOKED_UP} then {lookup} else {beside} end"))
     covered = "aggregate(__r, named_struct('n', 0L, 'next', 0), (a, p) -> named_struct('n', a.n + p + 3 - greatest(p, a.next), 'next', p + 3), a -> a.n)"
     d = d.withColumns({
         "n_words": F.col("__n").cast("long"),
-        "word_chars": F.expr(f"char_length(translate(__t, '{spaces}', ''))").cast("long"),
-        "n_symbols": F.expr(f"char_length(__t) - char_length(translate(__t, '{SYMBOLS}', ''))").cast("long"),
+        "word_chars": F.expr("char_length(array_join(__w, ''))").cast("long"),
+        "n_symbols": F.expr(f"char_length(__t) - char_length({bare})").cast("long"),
         "n_dup_lines": F.expr("size(__l) - size(array_distinct(__l))").cast("long"),
         "n_repeat_words": F.expr(covered).cast("long"),
     })
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    return d.withColumn("base_failed", failed).drop("__t", "__w", "__l", "__n", "__h", "__r")
+    return d.withColumn("base_failed", failed).drop("__t", "__w", "__l", "__n", "__h", "__s", "__d", "__p", "__r")
 
 
 #: The transformed statistics of a document, as SQL that Spark and DuckDB share.
@@ -87,6 +97,12 @@ def _moments() -> list:
     return out
 
 
+def of_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows joined to their group's row; a group's rows are spread over SALTS keys, so that a large one is no single task's."""
+    spread = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return rows.withColumn("__salt", F.pmod(F.col("key"), F.lit(SALTS))).join(spread, ["g", "__salt"]).drop("__salt")
+
+
 def _measured(rows: DataFrame, moments: DataFrame) -> DataFrame:
     """rows with q, the squared distance from their group's estimate in 1/64, at most TOP."""
     mean = [f"m{i}" for i in range(P)]
@@ -97,7 +113,7 @@ def _measured(rows: DataFrame, moments: DataFrame) -> DataFrame:
     for name, sql in factor:
         e = e.withColumn(name, F.expr(sql))
     e = e.select("g", *[f"m{i}" for i in range(P)], *[n for n, _ in factor])
-    out = rows.join(e, "g")
+    out = of_group(rows, e)
     for name, sql in steps[len(factor) :]:
         out = out.withColumn(name, F.expr(sql))
     return out.select(*rows.columns, F.expr(f"cast(least(floor(({distance}) * 64), {TOP}) as bigint)").alias("q"))
@@ -107,17 +123,17 @@ def mcd_distances(rows: DataFrame, least_rows: int = LEAST_ROWS, steps: int = ST
     """Of rows (key, g, x0 ... whole numbers) those in groups of ``least_rows`` or more, with d2, the scaled squared distance."""
     at = [f"x{i}" for i in range(P)]
     centre = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile(x, F.lit(0.5)).alias(f"m{x}") for x in at]).where(F.col("n") >= least_rows).drop("n")
-    rows = rows.join(centre, "g").select("key", "g", *at, *[f"m{x}" for x in at])
+    rows = of_group(rows, centre).select("key", "g", *at, *[f"m{x}" for x in at])
     off = [F.abs(F.col(x) - F.col(f"m{x}")) for x in at]
     spread = rows.groupBy("g").agg(*[F.percentile(o, F.lit(0.5)).alias(f"d{x}") for o, x in zip(off, at)])
     start = " + ".join(f"pow((x{i} - mx{i}) / (1.4826D * dx{i} + {FLOOR * SCALE}D), 2)" for i in range(P))
-    now = rows.join(spread, "g").select("key", "g", *at, F.expr(f"cast(least(floor(({start}) * 64), {TOP}) as bigint)").alias("q"))
+    now = of_group(rows, spread).select("key", "g", *at, F.expr(f"cast(least(floor(({start}) * 64), {TOP}) as bigint)").alias("q"))
     for _ in range(steps):
         cut = now.groupBy("g").agg(F.percentile("q", F.lit(0.75)).alias("cut"))
-        best = now.join(cut, "g").where("q <= cut").groupBy("g").agg(*_moments())
+        best = of_group(now, cut).where("q <= cut").groupBy("g").agg(*_moments())
         now = written(_measured(now.drop("q"), best), "distances")
     scale = now.groupBy("g").agg(F.percentile("q", F.lit(0.75)).alias("cut"))
-    return now.join(scale, "g").select("key", "g", F.expr(f"q * {CHI2_THREE_QUARTERS}D / greatest(cut, 1D)").alias("d2"))
+    return of_group(now, scale).select("key", "g", F.expr(f"q * {CHI2_THREE_QUARTERS}D / greatest(cut, 1D)").alias("d2"))
 
 
 def judged(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> DataFrame:
@@ -132,3 +148,59 @@ def judged(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS
 
 def query(spark, sf_dir: str) -> DataFrame:
     return judged(documents(spark, sf_dir)).drop("distance")
+
+
+def oracle() -> str:
+    """The query in DuckDB's SQL: windows and estimates spelled out step by step."""
+    at = [f"x{i}" for i in range(P)]
+    xs = ", ".join(at)
+    covariance = {(i, j): f"c{i}{j}" for i in range(P) for j in range(i + 1)}
+    columns, distance = squared_distance([f"m{i}" for i in range(P)], covariance, [f"x{i} / {SCALE}::DOUBLE" for i in range(P)])
+    moments = "count(*) AS n, " + ", ".join([f"sum(x{i}) AS s{i}" for i in range(P)] + [f"sum(x{i} * x{j}) AS s{i}{j}" for i in range(P) for j in range(i + 1)])
+    means = ", ".join(f"s{i} / n::DOUBLE / {SCALE}::DOUBLE AS m{i}" for i in range(P))
+    spread = ", ".join(f"s{i}{j} / n::DOUBLE / {SCALE * SCALE}::DOUBLE - (s{i} / n::DOUBLE / {SCALE}::DOUBLE) * (s{j} / n::DOUBLE / {SCALE}::DOUBLE)" + (f" + {FLOOR}::DOUBLE * {FLOOR}::DOUBLE" if i == j else "") + f" AS c{i}{j}" for i in range(P) for j in range(i + 1))
+    start = " + ".join(f"pow((x{i} - mx{i}) / (1.4826::DOUBLE * dx{i} + {FLOOR * SCALE}::DOUBLE), 2)" for i in range(P))
+    steps = [f"q0 AS (SELECT key, g, {xs}, least(floor(({start}) * 64), {TOP})::BIGINT AS q FROM centred JOIN spread USING (g))"]
+    for k in range(STEPS):
+        steps.append(f"cut{k} AS (SELECT g, quantile_cont(q, 0.75) AS cut FROM q{k} GROUP BY g)")
+        steps.append(f"sums{k} AS (SELECT g, {moments} FROM q{k} JOIN cut{k} USING (g) WHERE q <= cut GROUP BY g)")
+        steps.append(f"est{k} AS (SELECT g, {means}, {spread} FROM sums{k})")
+        table = f"est{k}"
+        for n, (name, sql) in enumerate(c for c in columns if c[0][0] == "l"):
+            steps.append(f"f{k}_{n} AS (SELECT *, {sql} AS {name} FROM {table})")
+            table = f"f{k}_{n}"
+        steps.append(f"at{k} AS (SELECT * FROM q{k} JOIN {table} USING (g))")
+        table = f"at{k}"
+        for n, (name, sql) in enumerate(c for c in columns if c[0][0] == "y"):
+            steps.append(f"y{k}_{n} AS (SELECT *, {sql} AS {name} FROM {table})")
+            table = f"y{k}_{n}"
+        steps.append(f"q{k + 1} AS (SELECT key, g, {xs}, least(floor(({distance}) * 64), {TOP})::BIGINT AS q FROM {table})")
+    statistics = ", ".join(f"round({SCALE} * ({s}))::BIGINT AS x{i}" for i, s in enumerate(STATISTICS))
+    return f"""
+WITH texts AS (SELECT row_number() OVER () AS key, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM texts),
+windows AS (
+  SELECT key, i, array_to_string(words[i:i + 2], ' ') AS k
+  FROM (SELECT key, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) > 2)),
+repeated AS (SELECT key, k FROM windows GROUP BY key, k HAVING count(*) > 1),
+covered AS (
+  SELECT key, count(DISTINCT pos) AS n FROM (SELECT key, unnest([i, i + 1, i + 2]) AS pos FROM windows JOIN repeated USING (key, k)) GROUP BY key),
+base AS (
+  SELECT key, doc_id, {GROUP} AS g, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+    len(words) < {MIN_WORDS} OR 100 * coalesce(covered.n, 0) > {MAX_REPEATED_PERCENT} * len(words) AS base_failed
+  FROM w LEFT JOIN covered USING (key)),
+stat AS (SELECT key, g, {statistics} FROM base WHERE NOT base_failed),
+centre AS (SELECT g, {', '.join(f'quantile_cont({x}, 0.5) AS m{x}' for x in at)} FROM stat GROUP BY g HAVING count(*) >= {LEAST_ROWS}),
+centred AS (SELECT * FROM stat JOIN centre USING (g)),
+spread AS (SELECT g, {', '.join(f'quantile_cont(abs({x} - m{x}), 0.5) AS d{x}' for x in at)} FROM centred GROUP BY g),
+{', '.join(steps)},
+scale AS (SELECT g, quantile_cont(q, 0.75) AS cut FROM q{STEPS} GROUP BY g),
+found AS (SELECT key, q * {CHI2_THREE_QUARTERS}::DOUBLE / greatest(cut, 1::DOUBLE) AS d2 FROM q{STEPS} JOIN scale USING (g))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(d2 <= {CUTOFF}, true) AS kept
+FROM base LEFT JOIN found USING (key)
+"""
