@@ -73,7 +73,7 @@ class ChunkEncoder:
     The cache holds at most ``entries`` chunks and is emptied when it is full, so memory is bounded.
     """
 
-    def __init__(self, path: str, style: str, entries: int = 700_000):
+    def __init__(self, path: str, style: str, entries: int = 1_300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -106,6 +106,18 @@ class ChunkEncoder:
         if missing and len(cache) + len(missing) > self.entries:
             cache.clear()
             missing = set().union(*chunks)
+        if missing and self.split is self._space:
+            # a word before one comma or full stop, and the case of ASCII letters, make no other ids: both are the pre-tokenizer's own rules
+            bare = {}
+            for x in missing:
+                low = x.lower()
+                if x[-1:] in b".," and len(x) > 1 and x[:-1].isalpha():
+                    bare[x] = (low[:-1], low[-1:])
+                elif low != x and x.isalpha():
+                    bare[x] = (low,)
+            missing = ({*missing} - bare.keys()).union(*bare.values()) - cache.keys()
+        else:
+            bare = {}
         if missing:
             missing = list(missing)
             for i in range(0, len(missing), 4096):
@@ -114,6 +126,8 @@ class ChunkEncoder:
                 for x, e in zip(part, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
                     cache[x] = array("I", e.ids).tobytes()
         get = cache.__getitem__
+        for x, parts in bare.items():
+            cache[x] = b"".join(map(get, parts))
         return [b"".join(map(get, c)) for c in chunks]
 
 
