@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ChunkEncoder, batched, documents, partitions, tokenizer_path, written
+from .shared import batched, documents, encoder, partitions, tokenizer_path, written
 
 CAPACITY = 2048
+TAIL = 40
 Pattern = tuple[int, dict[int, int]]  # how often, {length: how many}
 
 
@@ -83,7 +84,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return [(n, filling) for g in groups.values() for n, filling in g]
 
 
-def fillings(counts: dict[int, int], space: int, width: int, steps: int = 4000) -> list[dict[int, int]]:
+def fillings(counts: dict[int, int], space: int, width: int, steps: int = 600) -> list[dict[int, int]]:
     """Undominated maximal fillings of ``space``, least waste first and then the larger lengths; ``width`` at most.
 
     A filling is dominated if a longer piece that is left over could replace one of its pieces, or two of them.
@@ -154,9 +155,11 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 3000, wid
             rest = {y: m for y, n in left.items() if (m := n - f.get(y, 0) * times)}
             room = capacity - sum(y * k for y, k in f.items())
             children.append((bins + times, waste + room * times, rest, [*patterns, (times, f)]))
+        if nodes % TAIL == 0 or len(left) < TAIL:  # a full packing from here: what the first branch leaves, by best fit
+            n, _, rest, head = children[0]
             tail = best_fit(rest, capacity)
-            if (n := bins + times + sum(k for k, _ in tail)) < used:
-                used, incumbent = n, [*patterns, (times, f), *tail]
+            if (n := n + sum(k for k, _ in tail)) < used:
+                used, incumbent = n, [*head, *tail]
         stack.extend(reversed(children))
     return full + incumbent
 
@@ -186,13 +189,13 @@ def pieces(docs: DataFrame, path: str, style: str, end_id: int, capacity: int =
     """The pieces of each document; of a longer document the first piece is the short one."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(path, style)
+        coder = encoder(path, style)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in batched(texts):
                 out = []
-                for doc_id, ids in zip(doc_ids[a:b], encoder.encode(texts[a:b])):
+                for doc_id, ids in zip(doc_ids[a:b], coder.encode(texts[a:b])):
                     ids += end
                     n = len(ids) // 4
                     at = stop = 0
