@@ -28,22 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batched, documents, tokenizer_path
+from .shared import batched, byte_letters, documents, tokenizer_path
 
 END = "\0"
 TOP = 1 << 62
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte: printable Latin-1 bytes are themselves, the others follow from U+0100."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    out, extra = [], 256
-    for b in range(256):
-        out.append(chr(b) if b in plain else chr(extra))
-        extra += b not in plain
-    return out
-
-
 class Backtracking:
     """Encodes words of a vocabulary in which a merge's rank is its place in the list of merges."""
 

@@ -59,30 +59,55 @@ def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)
 
 
-class ChunkEncoder:
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte: printable Latin-1 bytes are themselves, the others follow from U+0100."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    out, extra = [], 256
+    for b in range(256):
+        out.append(chr(b) if b in plain else chr(extra))
+        extra += b not in plain
+    return out
+
+
+#: The pieces that the two tokenizers cut a text into (their pre-tokenizers' own patterns; fixed values).
+SPACE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LEADING_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class ChunkEncoder(dict):
     """Ids of whole texts by the tokenizers library, each distinct chunk of text encoded once.
 
     A chunk ends where the tokenizer's own pre-tokenizer always ends a piece, so that the ids of a text are
     the ids of its chunks in order.  ``style`` says which rule holds:
 
-    * ``"space"``: the tokenizer drops white space; chunks are the runs between ASCII white space.
-    * ``"leading"``: a byte-level tokenizer whose pieces carry one leading space; a chunk starts at each single
-      space that stands between two characters that are not white space.
+    * ``"space"``: the tokenizer drops white space and case; chunks are the runs between ASCII white space.
+    * ``"leading"``: a byte-level tokenizer whose pieces carry one leading space; a chunk starts at each
+      space that stands beside no other white space.
     * ``"whole"``: no rule; each text is one chunk.
 
-    The cache holds at most ``entries`` chunks and is emptied when it is full, so memory is bounded.
+    As a dictionary it holds the ids of chunks as little-endian unsigned 32-bit integers.  A chunk of plain Latin
+    letters is cut into its pieces and each distinct piece goes to the library's model; a chunk with any
+    other character, or with what may be a special token, goes through the library's whole pipeline.  At most ``entries`` chunks and
+    pieces are held and all are dropped beyond that, so memory is bounded.
     """
 
     def __init__(self, path: str, style: str, entries: int = 1_300_000):
+        super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         self.split = {"space": self._space, "leading": self._leading, "whole": lambda t: [t]}[style]
         self.entries = entries
-        self.cache: dict = {}
+        # below U+0180 letters have one form, and lower case letter by letter but for U+0130
+        self.plain = {"space": regex.compile(r"[\x21-\x7E\xA1-\u012F\u0131-\u017F]+"), "leading": regex.compile(r"[\n\x20-\x7E\xA1-\u017F]+"), "whole": None}[style]
+        self.pieces = regex.compile(SPACE_PIECES if style == "space" else LEADING_PIECES).findall
+        self.lower = style == "space"
+        self.letters = dict(enumerate(byte_letters()))
 
     @staticmethod
     def _space(text: str) -> list:
@@ -92,43 +117,36 @@ class ChunkEncoder:
     def _leading(text: str) -> list[str]:
         import re
 
-        if re.search(r" \s|\s |^ | $", text):
-            parts = re.split(r"(?<=\S) (?=\S)", text)
+        runs = re.split(r"(\s\s+)", text)
+        first, *rest = runs[0].split(" ")
+        out = [first, *[" " + p for p in rest]]
+        for i in range(2, len(runs), 2):
+            first, *rest = runs[i].split(" ")
+            out[-1] += runs[i - 1] + first
+            out += [" " + p for p in rest]
+        return out
+
+    def __missing__(self, chunk) -> bytes:
+        text = chunk.decode("utf-8", "replace") if isinstance(chunk, bytes) else chunk
+        if not self.plain or not self.plain.fullmatch(text) or "<|" in text:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         else:
-            parts = text.split(" ")
-        return [parts[0], *(" " + p for p in parts[1:])]
+            low = text.lower() if self.lower else text
+            pieces = self.pieces(low)
+            if pieces == [text]:
+                letters = text.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            else:
+                ids = b"".join([self[p.encode() if self.lower else p] for p in pieces])
+        if len(self) >= self.entries:
+            self.clear()
+        self[chunk] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        chunks = [self.split(t) for t in texts]
-        cache = self.cache
-        missing = set().union(*chunks) - cache.keys() if chunks else set()
-        if missing and len(cache) + len(missing) > self.entries:
-            cache.clear()
-            missing = set().union(*chunks)
-        if missing and self.split is self._space:
-            # a word before one comma or full stop, and the case of ASCII letters, make no other ids: both are the pre-tokenizer's own rules
-            bare = {}
-            for x in missing:
-                low = x.lower()
-                if x[-1:] in b".," and len(x) > 1 and x[:-1].isalpha():
-                    bare[x] = (low[:-1], low[-1:])
-                elif low != x and x.isalpha():
-                    bare[x] = (low,)
-            missing = ({*missing} - bare.keys()).union(*bare.values()) - cache.keys()
-        else:
-            bare = {}
-        if missing:
-            missing = list(missing)
-            for i in range(0, len(missing), 4096):
-                part = missing[i : i + 4096]
-                plain = [x.decode("utf-8", "replace") if isinstance(x, bytes) else x for x in part]
-                for x, e in zip(part, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
-                    cache[x] = array("I", e.ids).tobytes()
-        get = cache.__getitem__
-        for x, parts in bare.items():
-            cache[x] = b"".join(map(get, parts))
-        return [b"".join(map(get, c)) for c in chunks]
+        get = self.__getitem__
+        return [b"".join(map(get, self.split(t))) for t in texts]
 
 
 @lru_cache(maxsize=2)
