@@ -29,20 +29,27 @@ from .shared import documents, written
 SEED, SHINGLE, SEGMENT = 42, 3, 4
 
 
-def fingerprint(text: str | None, words_in_shingle: int = SHINGLE) -> int:
-    """The fingerprint of a text as an unsigned integer."""
+def shingle_hashes(text: str | None, words_in_shingle: int) -> np.ndarray:
+    """A hash of each shingle of a text; a shorter text is one shingle, a text without a word has none."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
-    n = max(1, len(words) - words_in_shingle + 1)
+        return np.zeros(0, "<u8")
     flat = b" ".join(words)
     starts = [0]
     for w in words:
         starts.append(starts[-1] + len(w) + 1)
     ends = starts[min(words_in_shingle, len(words)) :]
-    hashes = np.array([xxh64_intdigest(flat[a : b - 1], SEED) for a, b in zip(starts, ends)], "<u8")
+    return np.array([xxh64_intdigest(flat[a : b - 1], SEED) for a, b in zip(starts, ends)], "<u8")
+
+
+def fingerprint(text: str | None, words_in_shingle: int = SHINGLE) -> int:
+    """The fingerprint of a text as an unsigned integer."""
+    hashes = shingle_hashes(text, words_in_shingle)
+    n = len(hashes)
+    if not n:
+        return 0
     bits = np.zeros(64, np.int64)
     for i in range(0, n, 65536):
         bits += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
