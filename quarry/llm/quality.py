@@ -11,8 +11,8 @@ All aggregations have partial forms: medians and three-quarter points count whol
 numbers and so exact in any order.  No group is gathered; a source with a third of all rows costs what other rows cost.
 
 Defined results: a null or empty text has no words and fails the base rule; null languages and sources are
-groups of their own; groups with fewer than ``least_rows`` documents are too small for an estimate and reject
-none; columns that don't vary get the variance ``floor``; null and repeated doc_ids are rows like any others;
+groups of their own; a document in a group with fewer than ``least_rows`` documents is judged by the estimate of its
+language, and in a language with fewer by that of all documents, so every document has a distance; columns that don't vary get the variance ``floor``; null and repeated doc_ids are rows like any others;
 an empty table gives no rows; further columns are ignored by the query.
 """
 
@@ -74,7 +74,8 @@ STATISTICS = [
     "ln(1 + 10 * n_repeat_words / cast(greatest(n_words, 1) as double))",
 ]
 P = len(STATISTICS)
-GROUP = "concat(coalesce(concat('=', lang), ''), chr(10), coalesce(concat('=', source), ''))"
+LANGUAGE = "coalesce(concat('=', lang), '')"
+GROUP = f"concat({LANGUAGE}, chr(10), coalesce(concat('=', source), ''))"
 
 
 def squared_distance(mean: list[str], covariance: dict[tuple[int, int], str], x: list[str]) -> tuple[list[tuple[str, str]], str]:
@@ -136,12 +137,29 @@ def mcd_distances(rows: DataFrame, least_rows: int = LEAST_ROWS, steps: int = ST
     return of_group(now, scale).select("key", "g", F.expr(f"q * {CHI2_THREE_QUARTERS}D / greatest(cut, 1D)").alias("d2"))
 
 
+def pooled(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """rows (key from 0, g, l, x0 ...) in the group they are judged by; a row that only counts in a larger group's estimate is there once more as -1 - key.
+
+    Groups are '0' and g, '1' and the language l of groups that are too small, and '2' for languages that are.
+    """
+    groups = rows.groupBy("g", "l").agg(F.count("*").alias("n"))
+    languages = groups.groupBy("l").agg(F.sum("n").alias("in_l"), F.min("n").alias("least"))
+    whole = languages.agg(F.coalesce(F.max(F.expr(f"least < {least_rows} and in_l < {least_rows}")), F.lit(False)).alias("all"))
+    level = f"case when n >= {least_rows} then 0 when in_l >= {least_rows} then 1 else 2 end"
+    used = f"filter(array(if(n >= {least_rows}, 0, -1), if(least < {least_rows} and in_l >= {least_rows}, 1, -1), if(all, 2, -1)), v -> v >= 0)"
+    groups = written(groups.join(languages, "l").crossJoin(whole).select("g", F.expr(level).alias("own"), F.expr(used).alias("used")), "groups")
+    at = [f"x{i}" for i in range(P)]
+    rows = of_group(rows, groups).select("key", "g", "l", "own", F.explode("used").alias("v"), *at)
+    return rows.select(F.expr("if(v = own, key, -1 - key)").alias("key"), F.expr("case v when 0 then concat('0', g) when 1 then concat('1', l) else '2' end").alias("g"), *at)
+
+
 def judged(docs: DataFrame, cutoff: float = CUTOFF, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """doc_id, the base counts, base_failed, kept and distance (null where no estimate was made)."""
-    base = base_counts(docs.select("doc_id", "text", F.expr(GROUP).alias("g")))
+    """doc_id, the base counts, base_failed, kept and distance (null where the base rule failed)."""
+    base = base_counts(docs.select("doc_id", "text", F.expr(GROUP).alias("g"), F.expr(LANGUAGE).alias("l")))
     base = written(base.drop("text").withColumn("key", F.monotonically_increasing_id()), "counts")
-    rows = base.where("not base_failed").select("key", "g", *[F.expr(f"cast(round({SCALE} * ({s})) as bigint)").alias(f"x{i}") for i, s in enumerate(STATISTICS)])
-    found = mcd_distances(rows, least_rows).select("key", F.col("d2").alias("distance"))
+    rows = base.where("not base_failed").select("key", "g", "l", *[F.expr(f"cast(round({SCALE} * ({s})) as bigint)").alias(f"x{i}") for i, s in enumerate(STATISTICS)])
+    rows = written(pooled(rows, least_rows), "pooled")
+    found = mcd_distances(rows, 1).where("key >= 0").select("key", F.col("d2").alias("distance"))
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
     return base.join(found, "key", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
 
