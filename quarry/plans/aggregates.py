@@ -27,7 +27,7 @@ add("agg_split_stats", """select split, count(*) as n, count_if(long) as dropped
 PRE = "regexp_extract_all(line, ' ?[A-Za-z]+=?| ?[0-9]| ?[^A-Za-z0-9 ]', 0)"
 LINES = "(select doc_id, @replace_all(trim(element_at(split(text, chr(10)), 1)), ' +', ' ') as line from documents where lang = 'en')"
 add("agg_pretoken_freq", f"select piece, count(*) as n from (select explode({PRE}) as piece from {LINES} l) p group by piece")
-WORDS = "(select w, count(*) as f from (select explode(@words(text)) as w from documents where doc_id % 4 = 0) e group by w)"
+WORDS = "(select w, count(*) as f from (select explode(@words(text)) as w from documents) e group by w)"
 PAIRS = f"(select substr(w, i, 1) as a, substr(w, i + 1, 1) as b, f, w from (select w, f, explode(sequence(1, length(w) - 1)) as i from {WORDS} x where length(w) > 1) p)"
 add("agg_pair_counts", f"select a, b, cast(sum(f) as bigint) as n, count(distinct w) as words from {PAIRS} p group by a, b")
 add("agg_argmax_tiebreak", f"select a, b, cast(sum(f) as bigint) as n from {PAIRS} p group by a, b order by n desc, a, b limit 16")
