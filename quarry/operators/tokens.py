@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -110,15 +111,29 @@ class ScoredPieces:
         ids: list[int] = []
         for c in " " + text if text else "":
             ids += [self.place[c]] if c in self.place else [b + 3 for b in c.encode()]
-        while True:
-            best = None
-            for i in range(len(ids) - 1):
-                j = self.place.get(self.pieces[ids[i]][0] + self.pieces[ids[i + 1]][0])
-                if j is not None and (best is None or self.pieces[j][1] > best[0]):
-                    best = (self.pieces[j][1], i, j)
-            if best is None:
-                return ids
-            ids[best[1] : best[1] + 2] = [best[2]]
+        # a heap of joint pieces by score and place, with the ids they join; a stale one no longer stands there
+        n = len(ids)
+        after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
+
+        def offer(i: int) -> None:
+            if 0 <= i and after[i] < n:
+                a, b = ids[i], ids[after[i]]
+                j = self.place.get(self.pieces[a][0] + self.pieces[b][0])
+                if j is not None:
+                    heappush(heap, (-self.pieces[j][1], i, a, after[i], b, j))
+
+        for i in range(n - 1):
+            offer(i)
+        while heap:
+            _, i, a, k, b, j = heappop(heap)
+            if ids[i] != a or after[i] != k or ids[k] != b:
+                continue
+            ids[i], ids[k], after[i] = j, -1, after[k]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return [x for x in ids if x >= 0]
 
     def decode(self, ids: list[int], first: int = 1) -> str:
         """The space after the id ``first`` is dropped; ``<0xHH>`` pieces are bytes."""

@@ -26,16 +26,15 @@ AT = "cast(2 + @draw(concat('typo|', cast(doc_id as string))) % greatest(length(
 add("fn_typo", f"select doc_id, case when length(w) < 4 then w when kind = 0 then concat(substr(w, 1, pos - 1), substr(w, pos + 1, 1), substr(w, pos, 1), substr(w, pos + 2)) when kind = 1 then concat(substr(w, 1, pos - 1), substr(w, pos + 1)) when kind = 2 then concat(substr(w, 1, pos), substr(w, pos)) else concat(substr(w, 1, pos - 1), translate(substr(w, pos, 1), 'aeinort', 'swubitp'), substr(w, pos + 1)) end as typo from (select doc_id, w, {AT} as pos, @draw(concat('kind|', cast(doc_id as string))) % 4 as kind from (select doc_id, {WORD} as w from documents) d) k")
 add("fn_decorate", "select conv_id, turn, concat(case when @draw(concat('p|', k)) < 1288490188 then 'please ' else '' end, substr(text, 1, 30), case when @draw(concat('s|', k)) < 1288490188 then ' thanks' else '' end, case when @draw(concat('m|', k)) < 644245094 then '!' else '' end) as line from (select conv_id, turn, text, concat(cast(conv_id as string), '-', cast(turn as string)) as k from conversations) c")
 add("fn_keyword_baseline", f"select conv_id, turn, case when instr(low, 'anea') > 0 then case when instr(low, ' on ') > 0 then 'light=100' else 'light=0' end when instr(low, 'thnd') > 0 then case when instr(low, ' of ') > 0 then 'fan=0' else 'fan=1' end when instr(low, 'with') > 0 then 'win=1' end as action from (select conv_id, turn, translate(text, '{UP}', '{LOW}') as low from conversations) c")
-SINGLE = "(select doc_id, @replace_all(trim(substr(text, 1, 400)), '[^A-Za-z0-9.,=]+', ' ') as line from documents where lang = 'en')"
 
 
 def pretokenized(spark, sf_dir: str):
-    lines = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.regexp_replace(F.trim(F.substring("text", 1, 400)), "[^A-Za-z0-9.,=]+", " ").alias("line"))
-    return lines.select("doc_id", F.array_join(tokens.pretokens(F.trim("line")), "|").alias("pieces"))
+    """doc_id and pieces of each whole text; the pattern looks ahead, which DuckDB's cannot, so there is no twin."""
+    return table(spark, sf_dir, "documents").select("doc_id", tokens.pretokens(F.coalesce("text", F.lit(""))).alias("pieces"))
 
 
-pair("fn_pretokenize", pretokenized, f"select doc_id, array_to_string(regexp_extract_all(trim(line), ' ?[A-Za-z]+=?| ?[^ ]', 0), '|') as pieces from {SINGLE} l")
-pair("udtf_tokens", lambda s, d: pretokenized(s, d).select("doc_id", F.posexplode(F.split("pieces", "[|]")).alias("at", "piece")), f"select doc_id, unnest(p) as piece, generate_subscripts(p, 1) - 1 as at from (select doc_id, regexp_extract_all(trim(line), ' ?[A-Za-z]+=?| ?[^ ]', 0) as p from {SINGLE} l) x")
+pair("fn_pretokenize", lambda s, d: pretokenized(s, d).select("doc_id", F.array_join("pieces", "|").alias("pieces")))
+pair("udtf_tokens", lambda s, d: pretokenized(s, d).select("doc_id", F.posexplode("pieces").alias("at", "piece")))
 
 
 def merges(spark, sf_dir: str, n: int):
@@ -93,7 +92,7 @@ def scored_encode(spark, sf_dir: str):
         coder = tokens.ScoredPieces(pieces)
         return texts.map(lambda t: coder.encode(t or ""))
 
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", encode(F.substring("text", 1, 120)).alias("ids"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", encode("text").alias("ids"))
 
 
 pair("fn_scored_encode", scored_encode)

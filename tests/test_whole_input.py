@@ -28,3 +28,55 @@ def test_pair_counts_cover_all_documents(asked):
             pairs[a, b] += n
     assert {(r.a, r.b): r.n for r in asked("agg_pair_counts", "documents", rows, DOCS)} == pairs
     assert [(r.a, r.b, r.n) for r in asked("agg_argmax_tiebreak", "documents", rows, DOCS)] == sorted(((a, b, n) for (a, b), n in pairs.items()), key=lambda x: (-x[2], x[:2]))
+
+
+LONG = [(1, "Alpha beta=2  gamma.\n" * 40 + "last|one é", "en"), (2, "l'été " * 90 + "fin  ", "fr"), (3, "x", "de"), (4, "", "en"), (5, None, "en")]
+
+
+def brute_pieces(text):
+    import re
+
+    return re.findall(r" +\Z| +(?= [^ ])| ?[A-Za-z]+=?| ?[^ ]", (text or "").encode().decode("latin-1"), re.S)
+
+
+def test_pretokens_of_whole_texts(asked):
+    assert {r.doc_id: r.pieces for r in asked("fn_pretokenize", "documents", LONG, DOCS)} == {i: "|".join(brute_pieces(t)) for i, t, _ in LONG}
+    found = sorted((r.doc_id, r.at, r.piece) for r in asked("udtf_tokens", "documents", LONG, DOCS))
+    assert found == [(i, k, p) for i, t, _ in LONG for k, p in enumerate(brute_pieces(t))]
+    assert {r.piece: r.n for r in asked("agg_pretoken_freq", "documents", LONG, DOCS)} == Counter(p for _, t, _ in LONG for p in brute_pieces(t))
+
+
+def brute_scored(coder, text):
+    ids = []
+    for c in " " + text if text else "":
+        ids += [coder.place[c]] if c in coder.place else [b + 3 for b in c.encode()]
+    while True:
+        joint = [(coder.place.get(coder.pieces[a][0] + coder.pieces[b][0]), i) for i, (a, b) in enumerate(zip(ids, ids[1:]))]
+        joint = [(-coder.pieces[j][1], i, j) for j, i in joint if j is not None]
+        if not joint:
+            return ids
+        _, i, j = min(joint)
+        ids[i : i + 2] = [j]
+
+
+def test_scored_encode_of_whole_turns(asked):
+    from quarry.operators import tokens
+
+    letters = " etaonihsrdlucmfwypvbgkjqxz"
+    pieces = [("<unk>", 0.0), ("<s>", 0.0), ("</s>", 0.0), *((f"<0x{b:02X}>", 0.0) for b in range(256)), *((c, -20.0) for c in letters), *((p, -float(i)) for i, p in enumerate(["th", "the", " the", "an", "er", " a", "on", "re"], 1))]
+    rows = [(1, 0, "the other weather on the anthem " * 12), (1, 1, "É the"), (2, 0, ""), (2, 1, None)]
+    found = {(r.conv_id, r.turn): r.ids for r in asked("fn_scored_encode", "conversations", rows, "conv_id long, turn int, text string")}
+    assert found == {(c, t): brute_scored(tokens.ScoredPieces(pieces), x or "") for c, t, x in rows}
+
+
+def test_scored_pieces_merge_as_before():
+    import random
+
+    from quarry.operators import tokens
+
+    r = random.Random(2)
+    pieces = [("<unk>", 0.0), ("<s>", 0.0), ("</s>", 0.0), *((f"<0x{b:02X}>", 0.0) for b in range(256)), *((c, -9.0) for c in " ab"), *((p, float(r.randrange(3))) for p in ["aa", "ab", "ba", "aab", "aba", "aaaa", " a", "bb", "abab"])]
+    coder = tokens.ScoredPieces(pieces)
+    for _ in range(300):
+        text = "".join(r.choice("aabb é") for _ in range(r.randrange(40)))
+        assert coder.encode(text) == brute_scored(coder, text)
