@@ -28,7 +28,7 @@ def within(spark, sf_dir: str):
 pair("win_budget_stop", within, f"select doc_id, n from (select doc_id, {N} as n, sum({N}) over (order by doc_id rows unbounded preceding) as s from documents) d where s - n < 100000")
 add("win_head_split", "select lang, doc_id, case when r <= greatest(1, n div 50) then 'val' else 'train' end as part from (select lang, doc_id, row_number() over (partition by lang order by doc_id) as r, count(*) over (partition by lang) as n from documents) d")
 pair("win_holdout_split", lambda s, d: corpus.holdout_split(table(s, d, "documents").select("doc_id", "lang", "source"), ["lang", "source"], corpus.draw(F.concat(F.lit("split|"), F.col("doc_id").cast("string"))), "doc_id"), "select doc_id, lang, source, case when r <= case when n >= 3 then greatest(1, n div 5) else 0 end then 'test' else 'train' end as part from (select doc_id, lang, source, count(*) over (partition by lang, source) as n, row_number() over (partition by lang, source order by @draw(concat('split|', cast(doc_id as string))), doc_id) as r from documents) d")
-LOSS = "(select event_type as run, row_number() over (partition by event_type order by event_id) as step, value as loss from events where event_id < 2000)"
+LOSS = "(select event_type as run, row_number() over (partition by event_type order by event_id) as step, value as loss from events)"
 add("win_early_stop", f"""select run, min(step) as stopped from (select run, step, sum(1 - improved) over (partition by run, era order by step) as stale from (select run, step, improved, sum(improved) over (partition by run order by step) as era
   from (select run, step, case when best is null or loss < best then 1 else 0 end as improved from (select run, step, loss, min(loss) over (partition by run order by step rows between unbounded preceding and 1 preceding) as best from {LOSS} l) b) i) e) s where stale >= 8 group by run""")
 add("win_latency_delta", "select event_id, @epoch_us(ts) - lag(@epoch_us(ts)) over (partition by user_id order by ts, event_id) as delta_us from events")

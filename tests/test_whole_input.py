@@ -80,3 +80,12 @@ def test_scored_pieces_merge_as_before():
     for _ in range(300):
         text = "".join(r.choice("aabb é") for _ in range(r.randrange(40)))
         assert coder.encode(text) == brute_scored(coder, text)
+
+
+def test_stops_and_steps_of_all_events(asked):
+    # of 6000 events in two runs, the first rises from step 2500, the second falls to the end
+    rows = [(i, ("a", "b")[i % 2], float(-(i // 2) if i % 2 or i < 5000 else i)) for i in range(6000)]
+    schema = "event_id long, event_type string, value double"
+    assert [(r.run, r.stopped) for r in asked("win_early_stop", "events", rows, schema)] == [("a", 2508)]
+    expected = {(x, s) for x in "ab" for s in range(1, 3001) if (s + 1) % 50 == 0 or s == 3000}
+    assert {(r.run, r.step) for r in asked("win_every_n", "events", rows, schema)} == expected
