@@ -14,8 +14,8 @@ FACTS = "select 1 as ord, 'the thing' as phrase union all select 1, 'anea' union
 TURNS = "(select conv_id, turn, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from conversations)"
 add("join_phrase_retrieve", f"with facts as ({FACTS}) select t.conv_id, t.turn, min(facts.ord) as fact from {TURNS} t left join facts on regexp_like(low, concat('(^|[^a-z0-9])', phrase, '([^a-z0-9]|$)')) group by t.conv_id, t.turn")
 MERGES = "select 't' as l, 'h' as r, 0 as rank union all select 'a', 'n', 1 union all select 'e', 'r', 2 union all select 'a', 'n', 9 union all select 'o', 'n', 3"
-LETTERS = "(select doc_id, explode(sequence(1, 40)) as i, text from documents)"
-add("join_merge_rank", f"with ranks as (select l, r, min(rank) as rank from ({MERGES}) m group by l, r) select doc_id, min(rank) as best, count(*) as pairs from {LETTERS} d join ranks on substr(text, i, 1) = l and substr(text, i + 1, 1) = r group by doc_id")
+LETTERS = "(select doc_id, explode(transform(sequence(1, size(c) - 1), i -> concat(element_at(c, i), element_at(c, i + 1)))) as p from (select doc_id, split(text, '') as c from documents where length(text) > 1) s)"
+add("join_merge_rank", f"with ranks as (select l, r, min(rank) as rank from ({MERGES}) m group by l, r) select doc_id, min(rank) as best, count(*) as pairs from {LETTERS} d join ranks on p = concat(l, r) group by doc_id")
 add("join_piece_id", "with pieces as (select w, row_number() over (order by w) - 1 as id from (select distinct element_at(@words(text), 1) as w from documents where doc_id % 2 = 0 and regexp_like(text, '^[A-Z][a-z]+ ')) p) select doc_id, coalesce(id, -1) as piece from (select doc_id, element_at(@words(text), 1) as first from documents) d left join pieces on d.first = pieces.w")
 pair("join_pareto", lambda s, d: corpus.skyline(table(s, d, "part").select("p_partkey", "p_size", "p_retailprice"), "p_size", "p_retailprice"), "select p_partkey, p_size, p_retailprice from part a where not exists (select 1 from part b where b.p_size >= a.p_size and b.p_retailprice <= a.p_retailprice and (b.p_size > a.p_size or b.p_retailprice < a.p_retailprice))")
 add("ord_frontier_first", """select p_partkey, row_number() over (order by frontier desc, p_brand, p_partkey) as place from (select a.p_partkey, a.p_brand, case when exists (select 1 from part b where b.p_size >= a.p_size and b.p_retailprice <= a.p_retailprice and (b.p_size > a.p_size or b.p_retailprice < a.p_retailprice)) then 0 else 1 end as frontier from part a where a.p_partkey % 7 < 7) f""")

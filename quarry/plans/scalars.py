@@ -9,13 +9,12 @@ from ..operators import tokens
 from .dialect import add, pair, table
 from .filters import LOW, UP
 
-FIRST = "element_at(split(text, chr(10)), 1)"
-add("fn_clean_line", f"select doc_id, trim(regexp_replace(trim(lower(concat(case doc_id % 4 when 0 then '1. ' when 1 then '- ' when 2 then '12) ' else '' end, substr({FIRST}, 1, 40)))), '^([0-9]+[.)]|[-*])[ ]*', ''), ' \"') as line from documents where lang = 'en'".replace(", ' \"') as line", ") as line"))
+add("fn_clean_line", "select doc_id, trim(regexp_replace(trim(lower(concat(case doc_id % 4 when 0 then '1. ' when 1 then '- ' when 2 then '12) ' else '' end, x))), '^([0-9]+[.)]|[-*])[ ]*', '')) as line from (select doc_id, explode(split(text, chr(10))) as x from documents) l")
 NUMBERS = "array('zero', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine')"
 add("fn_number_words", f"select conv_id, turn, array_join(transform(split(concat(text, ' seven of two'), ' '), w -> case when array_contains({NUMBERS}, w) then cast(array_position({NUMBERS}, w) - 1 as string) else w end), ' ') as line from conversations")
 add("fn_numbers_grounded", "select event_id, size(filter(regexp_extract_all(expected, '-?[0-9]+([.][0-9]+)?', 0), n -> instr(reply, n) = 0)) = 0 as grounded from (select event_id, concat('at ', cast(user_id % 40 as string), ' and 3') as expected, concat('now ', cast(event_id % 400 as string), ' or 36') as reply from events) e")
 add("fn_has_word", f"select conv_id, turn, regexp_like(translate(text, '{UP}', '{LOW}'), '(^|[^a-z])the([^a-z]|$)') as has_the from conversations")
-add("fn_prompt_layout", "select conv_id, concat('<bos>', @listed(concat(case role when 'user' then '<user>' else '<bot>' end, case when startswith(text, '<') then '' else ' ' end, substr(text, 1, 30)), turn), '<bot>') as prompt from conversations group by conv_id")
+add("fn_prompt_layout", "select conv_id, concat('<bos>', @listed(concat(case role when 'user' then '<user>' else '<bot>' end, case when startswith(text, '<') then '' else ' ' end, text), turn), '<bot>') as prompt from conversations group by conv_id")
 add("fn_plain_segments", "select conv_id, turn, array_join(filter(split(@replace_all(concat('<user> ', text, '<end>'), '<[a-z]+>', '|'), '|'), s -> s <> ''), '/') as segments from conversations".replace("split(@replace_all(concat('<user> ', text, '<end>'), '<[a-z]+>', '|'), '|')", "split(@replace_all(concat('<user> ', text, '<end>'), '<[a-z]+>', chr(1)), chr(1))"))
 OUTPUT = "case event_id % 6 when 0 then 'light is on<end><act> light=40</act>' when 1 then '<fb:unsure> which one<end>' when 2 then 'no end' when 3 then 'x<end> junk' when 4 then 'done<end><act> fan=9</act><eos>' else 'fine<end><eos>' end"
 add("fn_output_parse", f"""select event_id, reply, fallback, action, closed = 0 or (rest <> '' and not regexp_like(rest, '^<act> [^<]*</act>$')) or coalesce(regexp_like(action, '=9$'), false) as malformed
@@ -24,7 +23,7 @@ add("fn_output_parse", f"""select event_id, reply, fallback, action, closed = 0
 WORD = "element_at(split(text, ' '), 1)"
 AT = "cast(2 + @draw(concat('typo|', cast(doc_id as string))) % greatest(length(w) - 2, 1) as int)"
 add("fn_typo", f"select doc_id, case when length(w) < 4 then w when kind = 0 then concat(substr(w, 1, pos - 1), substr(w, pos + 1, 1), substr(w, pos, 1), substr(w, pos + 2)) when kind = 1 then concat(substr(w, 1, pos - 1), substr(w, pos + 1)) when kind = 2 then concat(substr(w, 1, pos), substr(w, pos)) else concat(substr(w, 1, pos - 1), translate(substr(w, pos, 1), 'aeinort', 'swubitp'), substr(w, pos + 1)) end as typo from (select doc_id, w, {AT} as pos, @draw(concat('kind|', cast(doc_id as string))) % 4 as kind from (select doc_id, {WORD} as w from documents) d) k")
-add("fn_decorate", "select conv_id, turn, concat(case when @draw(concat('p|', k)) < 1288490188 then 'please ' else '' end, substr(text, 1, 30), case when @draw(concat('s|', k)) < 1288490188 then ' thanks' else '' end, case when @draw(concat('m|', k)) < 644245094 then '!' else '' end) as line from (select conv_id, turn, text, concat(cast(conv_id as string), '-', cast(turn as string)) as k from conversations) c")
+add("fn_decorate", "select conv_id, turn, concat(case when @draw(concat('p|', k)) < 1288490188 then 'please ' else '' end, text, case when @draw(concat('s|', k)) < 1288490188 then ' thanks' else '' end, case when @draw(concat('m|', k)) < 644245094 then '!' else '' end) as line from (select conv_id, turn, text, concat(cast(conv_id as string), '-', cast(turn as string)) as k from conversations) c")
 add("fn_keyword_baseline", f"select conv_id, turn, case when instr(low, 'anea') > 0 then case when instr(low, ' on ') > 0 then 'light=100' else 'light=0' end when instr(low, 'thnd') > 0 then case when instr(low, ' of ') > 0 then 'fan=0' else 'fan=1' end when instr(low, 'with') > 0 then 'win=1' end as action from (select conv_id, turn, translate(text, '{UP}', '{LOW}') as low from conversations) c")
 
 
@@ -63,7 +62,7 @@ pair("fn_bpe_encode", encoded)
 add("fn_token_count", "select doc_id, size(@words(text)) as n_words, length(text) as n_chars from documents")
 add("fn_json_event", "select event_id, @json('event', event_type, 'text', concat('q\"', cast(user_id as string), chr(9), '\"')) as line from events")
 add("fn_json_extract", "select event_type, cast(sum(cast(get_json_object(props, '$.k') as bigint)) as bigint) as k from events group by event_type")
-add("fn_common_prefix", "select doc_id, case when n = least(size(a), size(b)) and size(a) = size(b) then greatest(n - 1, 0) else n end as reused from (select doc_id, a, b, coalesce(array_min(filter(transform(sequence(1, least(size(a), size(b))), i -> case when element_at(a, i) <> element_at(b, i) then i - 1 else 1000000 end), x -> x < 1000000)), least(size(a), size(b))) as n from (select doc_id, split(substr(text, 1, 60), ' ') as a, split(substr(text, 1, cast(20 + doc_id % 60 as int)), ' ') as b from documents) d) p")
+add("fn_common_prefix", "select doc_id, case when n = least(size(a), size(b)) and size(a) = size(b) then greatest(n - 1, 0) else n end as reused from (select doc_id, a, b, coalesce(array_min(filter(transform(sequence(1, least(size(a), size(b))), i -> case when element_at(a, i) <> element_at(b, i) then i - 1 end), x -> x is not null)), least(size(a), size(b))) as n from (select doc_id, split(text, ' ') as a, split(substr(text, 1, cast(length(text) * (20 + doc_id % 60) div 60 as int)), ' ') as b from documents) d) p")
 add("fn_lr_schedule", "select step, round(case when step < 100 then 0.001E0 * (step + 1) / 100 else 0.0001E0 + 0.5E0 * (0.001E0 - 0.0001E0) * (1 + cos(pi() * (step - 100) / 900.0E0)) end, 9) as lr from (select explode(sequence(0, 999)) as step) s")
 add("fn_roofline", "select id, round(45.0E6 / (w + kv), 4) as ceiling, round(1000.0E0 * 20 * (w + kv) / 45.0E6, 4) as reply_ms from (select id, (l * (2 * d * d + 2 * d * kv + 3 * d * ff) + v * d) * 1.0E0 as w, l * 2 * (ctx div 2) * kv * 1.0E0 as kv from (select id, 512 as v, 32 * (1 + id % 6) as d, 1 + id % 12 as l, 16 * (1 + id % 3) as kv, 64 * (1 + id % 5) as ff, 128 + id as ctx from (select explode(sequence(1, 300)) as id) r) c) e")
 HALF = "case when e = 0 then s * f / 1024.0E0 * pow(2.0E0, -14) when e = 31 then null else s * (1 + f / 1024.0E0) * pow(2.0E0, e - 15) end"

@@ -89,3 +89,30 @@ def test_stops_and_steps_of_all_events(asked):
     assert [(r.run, r.stopped) for r in asked("win_early_stop", "events", rows, schema)] == [("a", 2508)]
     expected = {(x, s) for x in "ab" for s in range(1, 3001) if (s + 1) % 50 == 0 or s == 3000}
     assert {(r.run, r.step) for r in asked("win_every_n", "events", rows, schema)} == expected
+
+
+def test_merge_ranks_of_whole_documents(asked):
+    rows = [(1, "x" * 70 + "anth", "en"), (2, "th" * 100, "en"), (3, "t", "en"), (4, "", "en"), (5, None, "en"), (6, "xx", "en")]
+    found = {r.doc_id: (r.best, r.pairs) for r in asked("join_merge_rank", "documents", rows, DOCS)}
+    assert found == {1: (0, 2), 2: (0, 100)}
+
+
+def test_prefixes_of_whole_documents(asked):
+    text = " ".join(f"w{i}" for i in range(400))
+    rows = [(0, text, "en"), (30, text, "en"), (59, text, "en")]
+    cut = lambda d: text[: len(text) * (20 + d % 60) // 60].split(" ")
+    expected = {d: 399 if cut(d) == text.split(" ") else sum(a == b for a, b in zip(cut(d), text.split(" "))) for d, _, _ in rows}
+    assert {r.doc_id: r.reused for r in asked("fn_common_prefix", "documents", rows, DOCS)} == expected and expected[0] > 100
+
+
+def test_lines_of_whole_documents(asked):
+    rows = [(3, "- First " + "long " * 30 + "END\n* Second \n3", "en"), (7, "4) Autre", "fr")]
+    found = sorted((r.doc_id, r.line) for r in asked("fn_clean_line", "documents", rows, DOCS))
+    assert found == sorted([(3, "first " + "long " * 30 + "end"), (3, "second"), (3, "3"), (7, "autre")])
+
+
+def test_prompts_and_lines_of_whole_turns(asked):
+    rows = [(1, 0, "user", "word " * 20 + "last"), (1, 1, "bot", "<act>" + "x" * 50)]
+    schema = "conv_id long, turn int, role string, text string"
+    assert [r.prompt for r in asked("fn_prompt_layout", "conversations", rows, schema)] == [f"<bos><user> {rows[0][3]},<bot>{rows[1][3]}<bot>"]
+    assert all(t in r.line for (_, _, _, t), r in zip(rows, sorted(asked("fn_decorate", "conversations", rows, schema), key=lambda r: r.turn)))
