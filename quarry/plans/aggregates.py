@@ -41,7 +41,7 @@ add("agg_masked_kl", f"""select label, round(sum(kl * m) / greatest(sum(m), 1),
 pair("agg_p95_nearest", lambda s, d: corpus.nearest_rank(table(s, d, "events"), "event_type", "value", "event_id"), "select event_type, value as p95, n from (select event_type, value, count(*) over (partition by event_type) as n, row_number() over (partition by event_type order by value, event_id) - 1 as r from events) x where r = least(95 * n div 100, n - 1)")
 add("agg_stage_cost", "select user_id % 10 as grp, round(sum(case when event_type in ('view', 'click') then value else 0 end) / 1000.0E0 / greatest(count(*), 1), 6) as attention_ms, round(sum(value) / 1000.0E0 / greatest(count(*), 1), 6) as total_ms from events group by 1")
 add("agg_param_count", "select id, v * d + l * (2 * d * d + 2 * d * kv + 3 * d * ff) as params, round((v * d + l * (2 * d * d + 2 * d * kv + 3 * d * ff)) * 0.5625E0, 4) as q4_bytes from (select id, 256 + id * 8 as v, 32 * (1 + id % 6) as d, 1 + id % 12 as l, 16 * (1 + id % 3) as kv, 64 * (1 + id % 5) as ff from (select explode(sequence(1, 300)) as id) r) c")
-add("agg_group_absmax", f"select vec_id, round(array_max(transform(@part({VECTOR}, 1, 32), v -> abs(v))), 6) as absmax from embeddings")
+add("agg_group_absmax", f"select vec_id, grp, round(array_max(transform(@part(x, 32 * grp - 31, 32), v -> abs(v))), 6) as absmax from (select vec_id, x, explode(sequence(1, cast((size(x) + 31) div 32 as int))) as grp from (select vec_id, {VECTOR} as x from embeddings) e) g")
 add("agg_checksum", f"select label, round(sum(s), 4) as checksum from (select label, @fold({VECTOR}, 0.0E0, (a, x) -> a + x) as s from embeddings) e group by label")
 add("agg_best_flag", "select lang, source, n, n = max(n) over (partition by lang) as best from (select lang, source, count(*) as n from documents group by lang, source) g")
 add("agg_distinct_lines", "select lang, count(distinct md5(text)) as n_lines from documents group by lang")

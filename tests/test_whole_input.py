@@ -9,6 +9,9 @@ from quarry import registry
 
 @pytest.fixture
 def asked(spark, tmp_path):
+    # a text with the macro of that name names the table, too
+    spark.range(1).write.parquet(f"{tmp_path}/part.parquet")
+
     def run(name, table, rows, schema):
         spark.createDataFrame(rows, schema).write.mode("overwrite").parquet(f"{tmp_path}/{table}.parquet")
         return registry.QUERIES[name](spark, str(tmp_path)).collect()
@@ -116,3 +119,44 @@ def test_prompts_and_lines_of_whole_turns(asked):
     schema = "conv_id long, turn int, role string, text string"
     assert [r.prompt for r in asked("fn_prompt_layout", "conversations", rows, schema)] == [f"<bos><user> {rows[0][3]},<bot>{rows[1][3]}<bot>"]
     assert all(t in r.line for (_, _, _, t), r in zip(rows, sorted(asked("fn_decorate", "conversations", rows, schema), key=lambda r: r.turn)))
+
+
+def vectors(n, seed=0):
+    import random
+
+    r = random.Random(seed)
+    return [(i, i % 3, [r.randrange(-40, 41) / 8 for _ in range(64)]) for i in range(n)]
+
+
+VECTORS = "vec_id long, label int, embedding array<float>"
+
+
+def test_every_group_of_a_vector_is_packed(asked):
+    rows = vectors(5)
+    peak = {(i, g + 1): max(map(abs, x[32 * g : 32 * g + 32])) for i, _, x in rows for g in range(2)}
+    assert {(r.vec_id, r.grp): r.absmax for r in asked("agg_group_absmax", "embeddings", rows, VECTORS)} == {k: round(v, 6) for k, v in peak.items()}
+    found = {(r.vec_id, r.grp): (r.scale, r.packed) for r in asked("vec_q4_pack", "embeddings", rows, VECTORS)}
+    expected = {}
+    for i, _, x in rows:
+        for g in range(2):
+            scale = peak[i, g + 1] / 7
+            n = [max(-7, min(7, round(v / scale))) + 8 for v in x[32 * g : 32 * g + 32]]
+            expected[i, g + 1] = round(scale, 9), ",".join(str(a + 16 * b) for a, b in zip(n[::2], n[1::2]))
+    assert found == expected
+
+
+def test_attention_uses_all_dimensions(asked):
+    import math
+
+    rows = vectors(20)
+    x = {i: v for i, _, v in rows}
+    expected = {}
+    for q in x:
+        for h in range(8):
+            head = slice(8 * h, 8 * h + 8)
+            keys = [k for k in x if k // 16 == q // 16 and k <= q]
+            w = [math.exp(sum(a * b for a, b in zip(x[q][head], x[k][head])) / math.sqrt(8)) for k in keys]
+            for d in range(8):
+                expected[q, h + 1, d + 1] = sum(a * x[k][8 * h + d] for a, k in zip(w, keys)) / sum(w)
+    found = {(r.q_id, r.head, r.dim): r.y for r in asked("vec_causal_attention", "embeddings", rows, VECTORS)}
+    assert found == pytest.approx(expected, abs=2e-6)
