@@ -56,15 +56,17 @@ def fingerprint(text: str | None, words_in_shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (a signed long of the same bits)."""
+def fingerprints(docs: DataFrame, by_row: bool = False) -> DataFrame:
+    """doc_id and fp (a signed long of the same bits), and row, a hash of all columns, if asked for."""
+    keys = ["doc_id", "row"] if by_row else ["doc_id"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py()) for t in batch.column(len(keys))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(found.view(np.int64))], [*keys, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id long, fp long")
+    columns = {"doc_id": F.col("doc_id").cast("long"), "row": F.xxhash64(*docs.columns)}
+    return docs.select(*[columns[k].alias(k) for k in keys], F.col("text").cast("string").alias("text")).mapInArrow(scan, ", ".join(f"{k} long" for k in [*keys, "fp"]))
 
 
 def links(values: DataFrame) -> DataFrame:
@@ -85,22 +87,41 @@ def links(values: DataFrame) -> DataFrame:
     return named.join(least, "value").where("fp <> b").select(F.col("fp").alias("a"), "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of each document."""
-    found = written(fingerprints(docs), "fingerprints")
+def _classes(found: DataFrame) -> DataFrame:
+    """fp, root and component_id of each distinct fingerprint of found (doc_id, fp)."""
     values = written(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "values")
     roots = connected_components(links(values.select("fp")))
     placed = values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(least, "root").select("fp", "component_id")
-    return found.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return placed.join(least, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id of each document."""
+    found = written(fingerprints(docs), "fingerprints")
+    return found.join(_classes(found), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """Of docs the first row of each ``root`` in ``placed`` (doc_id, row, a hash of all columns, and root), a row of docs each."""
+    rows = placed.groupBy("root", "doc_id", "row").agg(F.count("*").alias("copies"))
+    first = rows.groupBy("root").agg(F.count("*").alias("rows"), F.sum("copies").alias("all"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).where("all > 1")
+    marked = rows.join(first, "root").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "copies", F.expr("doc_id <=> first.doc_id and row = first.row").alias("stays"))
+    marked = written(marked.where("not stays or copies > 1"), "marked")
+    keyed = docs.withColumn("__at", F.xxhash64(*docs.columns))
+    same = lambda m: (F.col("__at") == m["__row"]) & F.col("doc_id").cast("long").eqNullSafe(m["__id"])
+    repeated = marked.where("stays")
+    single = keyed.join(marked, same(marked), "left_anti").drop("__at")
+    return single.union(keyed.join(repeated, same(repeated), "left_semi").drop("__at").dropDuplicates())
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Of each component the document with the smallest id; all columns of ``docs``.  Documents without an id stay."""
-    classes = near_duplicates(docs.where("doc_id is not null"))
-    out = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(out, docs["doc_id"] == out["__gone"], "left_anti")
+    """Of each component one row; all columns of ``docs``.
+
+    It is that with the smallest doc_id (null last), of fully repeated rows one.  Other rows of the same doc_id are judged by their own text.
+    """
+    found = written(fingerprints(docs, True), "fingerprints")
+    return one_of_each(docs, found.join(_classes(found), "fp").select("doc_id", "row", "root"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

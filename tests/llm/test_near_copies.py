@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from quarry.llm import near_copies, simhash
 
 
@@ -64,9 +66,10 @@ def test_the_stage_drops_near_copies(spark):
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == brute(rows())
 
 
-def test_repeated_and_missing_ids(spark):
+@pytest.mark.parametrize("keep_one", [near_copies.keep_one, simhash.keep_one])
+def test_repeated_and_missing_ids(spark, keep_one):
     text = " ".join(f"w{i}" for i in range(60))
-    given = [(1, text), (2, text + " end"), (2, "quite another text of its own"), (3, "same row"), (3, "same row"), (None, "lost words here"), (None, "Lost words here"), (None, text), (None, None), (7, "")]
-    kept = near_copies.keep_one(spark.createDataFrame(given, "doc_id long, text string")).collect()
+    given = [(1, text), (2, text.upper()), (2, "quite another text of its own"), (3, "same row"), (3, "same row"), (None, "lost words here"), (None, "Lost words here"), (None, text), (None, None), (7, "")]
+    kept = keep_one(spark.createDataFrame(given, "doc_id long, text string")).collect()
     assert [(r[0], r[1]) for r in sorted(kept, key=str) if r[1] not in ("lost words here", "Lost words here")] == sorted([(1, text), (2, "quite another text of its own"), (3, "same row"), (7, "")], key=lambda x: f"Row(doc_id={x[0]}, text={x[1]!r})")
     assert len(kept) == 5
