@@ -21,14 +21,13 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batched, byte_letters, documents, tokenizer_path
+from .shared import Cache, batched, byte_letters, documents, kept_in_worker, tokenizer_path
 
 END = "\0"
 TOP = 1 << 62
@@ -196,10 +195,9 @@ class Codec:
         return self.blob[np.arange(ends[-1]) + np.repeat(starts - ends + lengths, lengths)].tobytes()[:-1]
 
 
-@lru_cache(maxsize=2)
 def codec_of(path: str) -> Codec:
     """The codec of this Python process: tasks that follow each other in a worker find its caches filled."""
-    return Codec(path)
+    return kept_in_worker(("codec", path), lambda: Codec(path))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Connected components of an edge table, by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Every step is a written table in the shared folder; nothing is gathered on the driver but a count and a checksum.
+Every step is a written table in the shared folder, and the step before is then deleted; nothing is gathered on the driver
+but a count and a checksum.  The edges of a hub are not dealt to one task: ``shared.join_counted`` splits it.
 """
 
 from __future__ import annotations
@@ -8,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, join_counted, written
 
 STEPS = 60
 
@@ -27,13 +28,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = now
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("k")).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_counted(both, least, "u", "n", 2 * now[0]).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # now every edge has u > v; small-star joins the smaller neighbours of u to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(least, F.col("u") == F.col("k")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.union(least.select(F.col("k"), "m"))
-        edges = written(small.where("u <> v").distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_counted(large, least, "u", "n", 2 * now[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.union(least.select("u", "m"))
+        last, edges = edges, written(small.where("u <> v").distinct(), "edges")
+        discard(last)
     else:
         raise RuntimeError(f"components did not settle in {STEPS} steps")
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))

@@ -2,11 +2,12 @@
 
 Long enough lines are exploded with a 128-bit hash of their key; documents are counted per hash after a partial
 distinct; what a document loses comes back to it as an array of hashes, and its lines are reassembled in their
-positions.  Texts are shuffled once, for that join, and nothing else of their size is.
+positions.  Texts are shuffled once, for that join, and nothing else of their size is.  The hashes are written once, and the
+documents of a very frequent line are split over tasks (``shared.join_counted``).
 
 Defined results: a null or empty text is one empty line; a null doc_id is not counted as a document and loses
 nothing; rows that repeat a doc_id count once and lose the same lines; an empty table gives no rows; further
-columns are kept by ``drop_common_lines`` and ignored by the query.
+columns, whatever their names, are kept by ``clean`` and ignored by the query.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER, SPACE_CHARS, UPPER, documents
+from .shared import LOWER, SPACE_CHARS, UPPER, documents, join_counted, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -28,36 +29,36 @@ def _hash(line: Column) -> Column:
 
 
 def common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """__id and __drop: the hashes of the lines that each document loses."""
-    lines = docs.where("doc_id is not null").select(F.col("doc_id").alias("__id"), F.explode(F.split("text", "\n")).alias("line"))
-    lines = lines.where(F.char_length(F.btrim("line", F.lit(SPACE_CHARS))) >= min_chars).select("__id", _hash(F.col("line")).alias("h"))
-    held = lines.distinct()
-    common = held.groupBy("h").agg(F.count("*").alias("n"), F.max("__id").alias("last")).where(F.col("n") >= min_docs).select("h", "last")
-    return held.join(common, "h").where("__id <> last").groupBy("__id").agg(F.collect_list("h").alias("__drop"))
+    """id and gone: the hashes of the lines that each document loses."""
+    lines = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), F.explode(F.split("text", "\n")).alias("line"))
+    lines = lines.where(F.char_length(F.btrim("line", F.lit(SPACE_CHARS))) >= min_chars).select("id", _hash(F.col("line")).alias("h"))
+    held = written(lines.distinct(), "lines")
+    common = written(held.groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= min_docs), "common-lines")
+    return join_counted(held, common, "h", "n").where("id <> last").groupBy("id").agg(F.collect_list("h").alias("gone"))
 
 
 def drop_common_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with __lines, the lines' number, and __kept, the lines that stay."""
+    """row (all columns of ``docs``), n_lines, the lines' number, and kept, the lines that stay."""
     common = common_lines(docs, min_chars, min_docs)
-    joined = docs.join(common, docs["doc_id"] == common["__id"], "left")
-    lines = joined.withColumn("__all", F.split(F.coalesce(F.col("text"), F.lit("")), "\n"))
-    stay = F.filter("__all", lambda x: ~(F.coalesce(F.char_length(F.btrim(x, F.lit(SPACE_CHARS))) >= min_chars, F.lit(False)) & F.array_contains(F.col("__drop"), _hash(x))))
-    return lines.withColumn("__kept", F.when(F.col("__drop").isNull(), F.col("__all")).otherwise(stay)).withColumn("__lines", F.size("__all").cast("long")).drop("__id", "__drop", "__all")
+    rows = docs.select(F.struct("*").alias("row"))
+    joined = rows.join(common, F.col("row.doc_id") == common["id"], "left").select("row", "gone", F.split(F.coalesce("row.text", F.lit("")), "\n").alias("lines"))
+    stay = F.filter("lines", lambda x: ~(F.coalesce(F.char_length(F.btrim(x, F.lit(SPACE_CHARS))) >= min_chars, F.lit(False)) & F.array_contains(F.col("gone"), _hash(x))))
+    return joined.select("row", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stay).alias("kept"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
     """The columns of ``docs``; texts that lose a line are rejoined, and n_chars, if there, follows them."""
     cut = drop_common_lines(docs)
-    changed = F.size("__kept") < F.col("__lines")
-    cut = cut.withColumn("__text", F.when(changed, F.array_join("__kept", "\n")).otherwise(F.col("text")))
-    columns = [F.col("__text").alias("text") if c == "text" else F.when(changed, F.char_length("__text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return cut.select(*columns)
+    changed = F.size("kept") < F.col("n_lines")
+    cut = cut.select("row", changed.alias("changed"), F.when(changed, F.array_join("kept", "\n")).otherwise(F.col("row.text")).alias("text"))
+    follow = {"text": F.col("text"), "n_chars": F.when(F.col("changed"), F.char_length("text")).otherwise(F.col("row")["n_chars"])}
+    return cut.select(*[(follow[c].cast(docs.schema[c].dataType) if c in follow else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     cut = drop_common_lines(docs)
-    return cut.select("doc_id", F.col("__lines").alias("n_lines"), (F.col("__lines") - F.size("__kept")).alias("n_dropped"), F.sha2(F.array_join("__kept", "\n"), 256).alias("kept_sha256"))
+    return cut.select("row.doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
 
 
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
+import gc
 import os
-import shutil
-import tempfile
 import uuid
 from array import array
-from functools import lru_cache
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.shared import root as shared_root
+
 #: The white space that separates words, as a Java class body and as plain characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -23,20 +25,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            root = held.get()
-        else:
-            root = tempfile.mkdtemp(prefix="quarry-")
-            atexit.register(shutil.rmtree, root, True)
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -47,7 +35,82 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(spark, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table of ``written`` that no later plan reads."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: A key with more than this share of the rows is split; there are at most 1 / HOT_SHARE such keys.
+HOT_SHARE = 0.001
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str, total: int | None = None) -> DataFrame:
+    """rows joined by ``key`` to ``counted``, one row a key, with ``n``, how many of the rows hold it (n itself is left out).
+
+    ``total`` is the sum of n or more; without it ``counted`` should be a written table, since it is read for the sum.
+    No key's rows meet in one task: a key with more than HOT_SHARE of the total is split into parts of that size.
+    Such keys are a thousand at most by their very definition, and only they and their numbers of parts are broadcast;
+    the other side of a split key is there once for each part, at most a thousand rows more in all.
+    """
+    if total is None:
+        total = counted.agg(F.sum(n)).first()[0] or 0
+    size = max(1.0, HOT_SHARE * float(total))
+    parts = F.ceil(F.col(n) / size).cast("int")
+    few = counted.where(F.col(n) > size).select(key, parts.alias("__parts"))
+    dealt = rows.join(F.broadcast(few), key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*rows.columns), "__parts"), F.lit(0)).cast("int"))
+    every = F.explode(F.when(F.col(n) > size, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0))))
+    more = [c for c in counted.columns if c not in (key, n)]
+    return dealt.join(counted.withColumn("__part", every), [key, "__part"]).select(*rows.columns, *more)
+
+
+class Cache(dict):
+    """A dictionary of byte strings or texts that is emptied when it would hold more than ``limit`` bytes, its own included."""
+
+    #: What an entry takes besides the bytes of its key and value.
+    ENTRY = 200
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.held = limit, 0
+
+    def put(self, key, value, size: int) -> None:
+        self.held += self.ENTRY + size
+        if self.held > self.limit:
+            self.clear()
+            self.held = self.ENTRY + size
+        self[key] = value
+
+
+_KEPT: dict = {}
+
+
+def kept_in_worker(key: tuple, make: Callable):
+    """What ``make`` gives, kept in this Python process from task to task.
+
+    One thing is kept at a time: workers outlive their stage, and what a stage kept goes when the next one asks
+    for its own.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def lists(parts: list[np.ndarray], kind: pa.DataType, dtype) -> pa.ListArray:
+    """An Arrow column of lists from numpy arrays, without Python numbers."""
+    offsets = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(p) for p in parts], out=offsets[1:])
+    flat = np.concatenate(parts).astype(dtype, copy=False) if parts else np.zeros(0, dtype)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -74,7 +137,7 @@ SPACE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 LEADING_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class ChunkEncoder(dict):
+class ChunkEncoder(Cache):
     """Ids of whole texts by the tokenizers library, each distinct chunk of text encoded once.
 
     A chunk ends where the tokenizer's own pre-tokenizer always ends a piece, so that the ids of a text are
@@ -87,12 +150,12 @@ class ChunkEncoder(dict):
 
     As a dictionary it holds the ids of chunks as little-endian unsigned 32-bit integers.  A chunk of plain Latin
     letters is cut into its pieces and each distinct piece goes to the library's model; a chunk with any
-    other character, or with what may be a special token, goes through the library's whole pipeline.  At most ``entries`` chunks and
-    pieces are held and all are dropped beyond that, so memory is bounded.
+    other character, or with what may be a special token, goes through the library's whole pipeline.  Chunks and pieces are held
+    up to ``limit`` bytes.
     """
 
-    def __init__(self, path: str, style: str, entries: int = 1_300_000):
-        super().__init__()
+    def __init__(self, path: str, style: str, limit: int = 280 << 20):
+        super().__init__(limit)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
@@ -102,7 +165,6 @@ class ChunkEncoder(dict):
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.split = {"space": self._space, "leading": self._leading, "whole": lambda t: [t]}[style]
-        self.entries = entries
         # below U+0180 letters have one form, and lower case letter by letter but for U+0130
         self.plain = {"space": regex.compile(r"[\x21-\x7E\xA1-\u012F\u0131-\u017F]+"), "leading": regex.compile(r"[\n\x20-\x7E\xA1-\u017F]+"), "whole": None}[style]
         self.pieces = regex.compile(SPACE_PIECES if style == "space" else LEADING_PIECES).findall
@@ -138,9 +200,7 @@ class ChunkEncoder(dict):
                 ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
             else:
                 ids = b"".join([self[p.encode() if self.lower else p] for p in pieces])
-        if len(self) >= self.entries:
-            self.clear()
-        self[chunk] = ids
+        self.put(chunk, ids, len(chunk) + len(ids))
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -149,17 +209,16 @@ class ChunkEncoder(dict):
         return [b"".join(map(get, self.split(t))) for t in texts]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, style: str) -> ChunkEncoder:
     """The encoder of this Python process: tasks that follow each other in a worker find its cache filled."""
-    return ChunkEncoder(path, style)
+    return kept_in_worker(("encoder", path, style), lambda: ChunkEncoder(path, style))
 
 
-def batched(texts: list, size: int = 2_000_000):
+def batched(texts: list[str | None], size: int = 2_000_000):
     """Slices of about ``size`` characters, one text at least."""
     start = total = 0
     for i, t in enumerate(texts):
-        total += len(t)
+        total += len(t or "")
         if total >= size:
             yield start, i + 1
             start, total = i + 1, 0

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import documents, written
+from .shared import documents, join_counted, written
 
 SEED, SHINGLE, SEGMENT = 42, 3, 4
 
@@ -88,31 +88,32 @@ def links(values: DataFrame) -> DataFrame:
 
 
 def _classes(found: DataFrame) -> DataFrame:
-    """fp, root and component_id of each distinct fingerprint of found (doc_id, fp)."""
+    """fp, root, component_id and copies, how many rows have it, of each distinct fingerprint of found (doc_id, fp)."""
     values = written(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "values")
     roots = connected_components(links(values.select("fp")))
-    placed = values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return placed.join(least, "root").select("fp", "root", "component_id")
+    placed = written(values.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
+    least = written(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")), "roots")
+    return written(join_counted(placed, least, "root", "members").select("fp", "root", "component_id", "copies"), "classes")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of each document."""
     found = written(fingerprints(docs), "fingerprints")
-    return found.join(_classes(found), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return join_counted(found, _classes(found), "fp", "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, placed: DataFrame) -> DataFrame:
     """Of docs the first row of each ``root`` in ``placed`` (doc_id, row, a hash of all columns, and root), a row of docs each."""
-    rows = placed.groupBy("root", "doc_id", "row").agg(F.count("*").alias("copies"))
+    rows = written(placed.groupBy("root", "doc_id", "row").agg(F.count("*").alias("copies")), "class-rows")
     first = rows.groupBy("root").agg(F.count("*").alias("rows"), F.sum("copies").alias("all"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")).where("all > 1")
-    marked = rows.join(first, "root").select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "copies", F.expr("doc_id <=> first.doc_id and row = first.row").alias("stays"))
+    marked = join_counted(rows, written(first.drop("all"), "classes"), "root", "rows")
+    marked = marked.select(F.col("doc_id").alias("id"), "row", "copies", F.expr("doc_id <=> first.doc_id and row = first.row").alias("stays"))
     marked = written(marked.where("not stays or copies > 1"), "marked")
-    keyed = docs.withColumn("__at", F.xxhash64(*docs.columns))
-    same = lambda m: (F.col("__at") == m["__row"]) & F.col("doc_id").cast("long").eqNullSafe(m["__id"])
+    keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64(*docs.columns).alias("at"), F.col("doc_id").cast("long").alias("doc_id"))
+    same = lambda m: (F.col("at") == m["row"]) & F.col("doc_id").eqNullSafe(m["id"])
     repeated = marked.where("stays")
-    single = keyed.join(marked, same(marked), "left_anti").drop("__at")
-    return single.union(keyed.join(repeated, same(repeated), "left_semi").drop("__at").dropDuplicates())
+    single = keyed.join(marked, same(marked), "left_anti")
+    return single.select("doc").union(keyed.join(repeated, same(repeated), "left_semi").select("doc").dropDuplicates()).select("doc.*")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -121,7 +122,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     It is that with the smallest doc_id (null last), of fully repeated rows one.  Other rows of the same doc_id are judged by their own text.
     """
     found = written(fingerprints(docs, True), "fingerprints")
-    return one_of_each(docs, found.join(_classes(found), "fp").select("doc_id", "row", "root"))
+    return one_of_each(docs, join_counted(found, _classes(found), "fp", "copies").select("doc_id", "row", "root"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -21,35 +21,32 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CHARS, documents, written
+from .shared import SPACE_CHARS, Cache, batched, documents, join_counted, kept_in_worker, lists, written
 
 WINDOW = 35
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class WordHash(dict):
-    """64-bit hashes of words; the cache is emptied when it is full."""
+class WordHash(Cache):
+    """64-bit hashes of words."""
 
     def __missing__(self, word: bytes) -> int:
         from xxhash import xxh3_64_intdigest
 
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxh3_64_intdigest(word)
+        h = xxh3_64_intdigest(word)
+        self.put(word, h, len(word))
         return h
 
 
-@lru_cache(maxsize=1)
 def word_hashes() -> WordHash:
     """The cache of this Python process, kept from task to task."""
-    return WordHash()
+    return kept_in_worker(("words",), lambda: WordHash(64 << 20))
 
 
 def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -122,26 +119,30 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
-def _signed(values: np.ndarray) -> list[int]:
-    return values.view(np.int64).tolist()
+NONE = np.empty(0, np.uint64), np.empty(0, np.int64)
+SENT = "hashes array<bigint>, counts array<bigint>"
+#: Window lengths: a quarter, a half and the whole of the target.
+LEVELS = 3
+CHARS = 1_000_000
 
 
-LEVELS = 3
-SENT = "hashes array<bigint>, counts array<bigint>"
+def _sent_columns(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
+    return [lists([h.view(np.int64) for h, _ in rows], pa.int64(), np.int64), lists([c for _, c in rows], pa.int64(), np.int64)]
 
 
 def _first(docs: DataFrame, window: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_hashes()
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                words = words_of(text.as_py())
-                digest = hashlib.sha256(b" ".join(words)).digest()
-                hashes, counts = Windows(words, cache, window).sent(0, None) if len(words) >= window else (np.empty(0, np.uint64), np.empty(0, np.int64))
-                rows.append((len(words), digest, _signed(hashes), counts.tolist()))
-            n, digests, hashes, counts = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ["doc_id", "n_words", "digest", "hashes", "counts"])
+            texts = batch.column(1).to_pylist()
+            for a, b in batched(texts, CHARS):
+                n, digests, rows = [], [], []
+                for text in texts[a:b]:
+                    words = words_of(text)
+                    n.append(len(words))
+                    digests.append(hashlib.sha256(b" ".join(words)).digest())
+                    rows.append(Windows(words, cache, window).sent(0, None) if len(words) >= window else NONE)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), *_sent_columns(rows)], ["doc_id", "n_words", "digest", "hashes", "counts"])
 
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id long, n_words long, digest binary, {SENT}")
 
@@ -155,15 +156,14 @@ def _next(candidates: DataFrame, window: int, level: int) -> DataFrame:
             if level == 1:  # rows that share an id with another text were joined to both
                 same = [hashlib.sha256(b" ".join(words_of(t.as_py()))).digest() == d.as_py() for t, d in zip(batch.column("text"), batch.column("digest"))]
                 batch = batch.filter(pa.array(same, pa.bool_()))
-            rows = []
-            for text, survived in zip(batch.column("text"), batch.column("survived")):
-                words = words_of(text.as_py())
-                values = survived.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                hashes, counts = Windows(words, cache, window).sent(level, values)
-                rows.append((_signed(hashes), counts.tolist()))
-            hashes, counts = zip(*rows) if rows else ((), ())
-            kept = [batch.column(c) for c in ("doc_id", "text", "digest", "weight")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(hashes, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ["doc_id", "text", "digest", "weight", "hashes", "counts"])
+            texts = batch.column("text").to_pylist()
+            for a, b in batched(texts, CHARS):
+                rows = []
+                for text, survived in zip(texts[a:b], batch.column("survived").slice(a, b - a)):
+                    values = survived.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                    rows.append(Windows(words_of(text), cache, window).sent(level, values))
+                kept = [batch.column(c).slice(a, b - a) for c in ("doc_id", "text", "digest", "weight")]
+                yield pa.RecordBatch.from_arrays([*kept, *_sent_columns(rows)], ["doc_id", "text", "digest", "weight", "hashes", "counts"])
 
     return candidates.select("doc_id", "text", "digest", "weight", "survived").mapInArrow(scan, f"doc_id long, text string, digest binary, weight int, {SENT}").where("size(hashes) > 0")
 
@@ -172,8 +172,8 @@ def _survivors(sent: DataFrame) -> DataFrame:
     """Of rows (doc_id, digest, weight, hashes, counts), each document's hashes that occur twice or more over all rows, with its weight."""
     rows = sent.select("doc_id", "digest", "weight", F.explode(F.arrays_zip("hashes", "counts")).alias("x"))
     rows = rows.select("doc_id", "digest", "weight", F.col("x.hashes").alias("h"), (F.col("x.counts") * F.col("weight")).alias("n"))
-    repeated = rows.groupBy("h").agg(F.sum("n").alias("n")).where("n >= 2").select("h")
-    return rows.join(repeated, "h").groupBy("doc_id", "digest", "weight").agg(F.collect_list("h").alias("survived"))
+    repeated = written(rows.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n >= 2").select("h", "rows"), "repeated")
+    return join_counted(rows.drop("n"), repeated, "h", "rows").groupBy("doc_id", "digest", "weight").agg(F.collect_list("h").alias("survived"))
 
 
 def _cut(rows: DataFrame, window: int) -> DataFrame:
@@ -182,13 +182,15 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_hashes()
         for batch in batches:
-            texts, removed = [], []
-            for text, survived in zip(batch.column("text"), batch.column("survived")):
-                words = words_of(text.as_py())
-                kept = Windows(words, cache, window).kept(survived.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                texts.append(b" ".join(w for w, k in zip(words, kept) if k).decode("utf-8", "replace"))
-                removed.append(len(words) - int(kept.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "digest", "n_removed", "kept"])
+            whole = batch.column("text").to_pylist()
+            for a, b in batched(whole, CHARS):
+                texts, removed = [], []
+                for text, survived in zip(whole[a:b], batch.column("survived").slice(a, b - a)):
+                    words = words_of(text)
+                    kept = Windows(words, cache, window).kept(survived.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                    texts.append(b" ".join(w for w, k in zip(words, kept) if k).decode("utf-8", "replace"))
+                    removed.append(len(words) - int(kept.sum()))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("digest").slice(a, b - a), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "digest", "n_removed", "kept"])
 
     return rows.select("doc_id", "digest", "text", "survived").mapInArrow(scan, "doc_id long, digest binary, n_removed long, kept string")
 
@@ -206,11 +208,13 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     sent = marked.withColumn("weight", F.when(F.col("least").isNotNull(), 2).otherwise(1)).select("doc_id", "digest", "weight", "hashes", "counts")
     for level in range(1, LEVELS):
         right = _survivors(sent).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), F.col("weight").alias("__w"), "survived")
-        if level == 1:
+        if "text" not in sent.columns:
             candidates = docs.join(right, docs["doc_id"].eqNullSafe(right["__id"])).withColumnsRenamed({"__d": "digest", "__w": "weight"})
         else:
             candidates = sent.join(right, sent["doc_id"].eqNullSafe(right["__id"]) & (sent["digest"] == right["__d"]))
         sent = written(_next(candidates, window, level), f"windows-{level}")
+        if sent.isEmpty():
+            return summary, docs.sparkSession.createDataFrame([], "doc_id long, digest binary, n_removed long, kept string")
     right = _survivors(sent).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), "survived")
     last = sent.join(right, sent["doc_id"].eqNullSafe(right["__id"]) & (sent["digest"] == right["__d"])).where("weight = 1")
     return summary, _cut(last, window)
@@ -233,11 +237,12 @@ def clean(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     summary, cut = repeated_windows(docs, window)
     emptied = summary.where("copied").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), F.lit("").alias("__kept")).distinct()
     changed = cut.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), F.col("kept").alias("__kept")).distinct().union(emptied)
-    words = F.array_remove(F.split(F.translate("text", SPACE_CHARS[1:], " " * 5), " "), "")
-    joined = docs.withColumn("__digest", F.unhex(F.sha2(F.coalesce(F.array_join(words, " "), F.lit("")), 256)))
-    joined = joined.join(changed, joined["doc_id"].eqNullSafe(changed["__id"]) & (joined["__digest"] == changed["__d"]), "left")
-    columns = [F.coalesce("__kept", "text").alias(c) if c == "text" else F.coalesce(F.char_length("__kept"), c).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(*columns)
+    words = F.array_remove(F.split(F.translate("row.text", SPACE_CHARS[1:], " " * 5), " "), "")
+    rows = docs.select(F.struct("*").alias("row"))
+    rows = rows.select("row", F.unhex(F.sha2(F.coalesce(F.array_join(words, " "), F.lit("")), 256)).alias("digest"))
+    joined = rows.join(changed, F.col("row.doc_id").eqNullSafe(changed["__id"]) & (rows["digest"] == changed["__d"]), "left")
+    follow = {"text": F.coalesce("__kept", "row.text"), "n_chars": F.coalesce(F.char_length("__kept"), F.col("row")["n_chars"])}
+    return joined.select(*[(follow[c].cast(docs.schema[c].dataType) if c in follow else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import Cache, documents
 
 PER_CLASS, LEAST_DOCS, LEAST_LIFT, ROUNDS, THRESHOLD = 3000, 4, 5.0, 150, 0.3
 L1, L2 = 5e-5, 1e-5
@@ -40,18 +40,17 @@ def features(word: str) -> list[str]:
     return ["=" + word, *(word[:k] for k in PREFIXES if len(word) >= k)] if word else []
 
 
-class WordWeights(dict):
-    """The summed weights of a word's features; emptied when full."""
+class WordWeights(Cache):
+    """The summed weights of a word's features."""
 
     def __init__(self, weights: dict[str, float]):
-        super().__init__()
+        super().__init__(100 << 20)
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 500_000:
-            self.clear()
         get = self.weights.get
-        self[word] = w = sum(get(f, 0.0) for f in features(word))
+        w = sum(get(f, 0.0) for f in features(word))
+        self.put(word, w, len(word))
         return w
 
 
@@ -164,8 +163,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic."""
-    found = scorer(train(docs, labels))("text")
-    return docs.withColumn("__x", found).where(F.col("__x.score") < THRESHOLD).drop("__x")
+    rows = docs.select(F.struct("*").alias("row"), scorer(train(docs, labels))("text").alias("x"))
+    return rows.where(F.col("x.score") < THRESHOLD).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

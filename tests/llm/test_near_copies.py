@@ -9,12 +9,11 @@ from quarry.llm import near_copies, simhash
 
 
 def shingles(text):
-    w = text.lower().split()
+    w = text.encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def alike(a, b):
-    x, y = shingles(a), shingles(b)
+def alike(x, y):
     return x == y or 10 * len(x & y) >= 8 * len(x | y)
 
 
@@ -44,7 +43,8 @@ def brute(rows):
             i = root[i]
         return i
 
-    for (i, a), (j, b) in itertools.combinations(rows, 2):
+    held = [(i, shingles(t)) for i, t in rows]
+    for (i, a), (j, b) in itertools.combinations(held, 2):
         if alike(a, b):
             x, y = sorted((find(i), find(j)))
             root[y] = x

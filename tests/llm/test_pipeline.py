@@ -9,7 +9,8 @@ import pytest
 import corpus_pipeline
 from quarry.llm import toxicity
 
-from .test_operators import brute_components, corpus, frame, toxic_rows, words_of
+from .test_near_copies import brute as brute_kept
+from .test_operators import corpus, frame, toxic_rows, words_of
 
 ROOT = Path(__file__).resolve().parents[2]
 
@@ -69,7 +70,7 @@ def test_stages(spark, folder):
     steps = [
         lambda rows: rows,
         without_common_lines,
-        lambda rows: [x for x in rows if x[0] in {d for d, _, c in brute_components(rows) if d == c}],
+        lambda rows: [x for x in rows if x[0] in brute_kept(rows)],
         without_passages,
     ]
     for i, (stage, brute) in enumerate(zip(stages, steps)):
