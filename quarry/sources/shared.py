@@ -10,12 +10,14 @@ from pyspark.sql import SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where that is unset a temporary folder of this session."""
+    """spark.checkpoint.dir; where that is unset, in local mode only, a temporary folder of this session."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quarry-")
         atexit.register(shutil.rmtree, found, True)
         spark.sparkContext.setCheckpointDir(found)
