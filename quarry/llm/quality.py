@@ -2,33 +2,41 @@
 
 Base counts come from one pass over the text with array functions.  Five statistics of each document that
 passes the fixed rules are transformed by logarithms and held as whole numbers of 1/4096.  For every language
-and source a minimum-covariance-determinant estimate is made from them: the start is the coordinate-wise median
-and median absolute deviation, then concentration steps take the three quarters of rows with the least
-Mahalanobis distance and estimate mean and covariance anew from them.  A document is rejected if its squared distance, scaled so that the
-three-quarter point agrees with that of a chi-squared variable, exceeds ``cutoff``.
+and source a minimum-covariance-determinant estimate is made from them by selective iteration (FAST-MCD, with starts that the data
+fix): one start takes the three quarters of rows nearest to the medians by all statistics, one more each the three quarters nearest by a single
+statistic.  A concentration step estimates mean and covariance from the subset and takes the three quarters with the least
+Mahalanobis distance from them as the next one.  Every start makes two steps, the two with the least determinant go on until no
+group changes (``STEPS`` at most), and the lesser determinant of the two is the group's estimate.  A document is
+rejected if its squared distance, scaled so that the three-quarter point agrees with that of a chi-squared variable, exceeds ``cutoff``.
 
-All aggregations have partial forms: medians and three-quarter points count whole numbers, sums are sums of whole
-numbers and so exact in any order.  No group is gathered; a source with a third of all rows costs what other rows cost.
+A step reads the statistics once: rows are summed by group, start and distance in 1/64 before they are shuffled, and the subset is found
+from those sums.  Sums are of whole numbers, bigints in a bucket and decimals above it, and so exact in any order.  No group is
+gathered, and a group's rows are spread over salted keys: a source with a third of all rows costs what other rows cost.
 
 Defined results: a null or empty text has no words and fails the base rule; null languages and sources are
 groups of their own; a document in a group with fewer than ``least_rows`` documents is judged by the estimate of its
-language, and in a language with fewer by that of all documents, so every document has a distance; columns that don't vary get the variance ``floor``; null and repeated doc_ids are rows like any others;
+language, and in a language with fewer by that of all documents, so every document has a distance; columns that don't vary get the
+variance ``FLOOR`` squared, which is added to all variances; distances of 1,024 or more count as one when a subset is chosen; rows at the subset's border with the same
+distance in 1/64 are all in it; starts with the same determinant go by number; null and repeated doc_ids are rows like any others;
 an empty table gives no rows; further columns are ignored by the query.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import documents, written
+from .shared import discard, documents, written
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
 SCALE = 4096
 #: Points of the chi-squared distribution with five degrees of freedom.
-CHI2_HALF, CHI2_THREE_QUARTERS = 4.3515, 6.6257
-CUTOFF, FLOOR, LEAST_ROWS, STEPS = 100.0, 0.2, 50, 3
+CHI2_THREE_QUARTERS = 6.6257
+CUTOFF, FLOOR, LEAST_ROWS = 100.0, 0.2, 50
+#: Steps of every start, starts that go on, and steps in all at most.
+FIRST_STEPS, STARTS_KEPT, STEPS = 2, 2, 20
 TOP = 1 << 16
 SALTS = 32
 #: Up to so many repeated windows of a text are looked up one by one; it changes the way, not the result.
@@ -78,24 +86,33 @@ LANGUAGE = "coalesce(concat('=', lang), '')"
 GROUP = f"concat({LANGUAGE}, chr(10), coalesce(concat('=', source), ''))"
 
 
-def squared_distance(mean: list[str], covariance: dict[tuple[int, int], str], x: list[str]) -> tuple[list[tuple[str, str]], str]:
-    """Columns (name, SQL) of a Cholesky factor, each naming earlier ones only, and SQL for the squared Mahalanobis distance."""
-    columns, parts = [], []
-    for i in range(P):
-        for j in range(i + 1):
-            s = covariance[i, j] + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
-            columns.append((f"l{i}{j}", f"sqrt(greatest({s}, {FLOOR} * {FLOOR}))" if i == j else f"({s}) / l{j}{j}"))
-    for i in range(P):
-        parts.append((f"y{i}", f"({x[i]} - {mean[i]}" + "".join(f" - l{i}{k} * y{k}" for k in range(i)) + f") / l{i}{i}"))
-    return columns + parts, " + ".join(f"y{i} * y{i}" for i in range(P))
+AT = [f"x{i}" for i in range(P)]
+PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+#: The squared distance of each start, as SQL of the rows less their medians and of the median absolute deviations d0, d1 ...
+SPREAD = [f"(x{i} / (1.4826 * d{i} + {FLOOR * SCALE}))" for i in range(P)]
+STARTS = [" + ".join(f"{z} * {z}" for z in SPREAD), *[f"{z} * {z}" for z in SPREAD]]
+MOMENTS = [("n", "count(*)"), *[(f"s{i}", f"sum(x{i})") for i in range(P)], *[(f"s{i}{j}", f"sum(x{i} * x{j})") for i, j in PAIRS]]
+ESTIMATE = [f"m{i}" for i in range(P)] + [f"l{i}{j}" for i, j in PAIRS] + ["det"]
 
 
-def _moments() -> list:
-    out = [F.count("*").alias("n")]
-    for i in range(P):
-        out.append(F.sum(f"x{i}").alias(f"s{i}"))
-        out += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for j in range(i + 1)]
-    return out
+def estimate_columns() -> list[tuple[str, str]]:
+    """Columns (name, SQL), each naming earlier ones only: mean, covariance and Cholesky factor of the moments, and det, the root of the determinant."""
+    out = [(f"m{i}", f"s{i} / n / {SCALE}") for i in range(P)]
+    out += [(f"c{i}{j}", f"s{i}{j} / n / {SCALE * SCALE} - m{i} * m{j}" + (f" + {FLOOR * FLOOR}" if i == j else "")) for i, j in PAIRS]
+    for i, j in PAIRS:
+        part = f"c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        out.append((f"l{i}{j}", f"sqrt(greatest({part}, {FLOOR * FLOOR}))" if i == j else f"({part}) / l{j}{j}"))
+    return [*out, ("det", " * ".join(f"l{i}{i}" for i in range(P)))]
+
+
+def distance_columns() -> tuple[list[tuple[str, str]], str]:
+    """Columns (name, SQL), each naming earlier ones only, and SQL for the squared Mahalanobis distance of a row from its group's estimate."""
+    out = [(f"y{i}", f"(x{i} / cast({SCALE} as double) - m{i}" + "".join(f" - l{i}{k} * y{k}" for k in range(i)) + f") / l{i}{i}") for i in range(P)]
+    return out, " + ".join(f"y{i} * y{i}" for i in range(P))
+
+
+def bucket(distance: str) -> str:
+    return f"cast(least(floor(({distance}) * 64), {TOP}) as bigint)"
 
 
 def of_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -104,37 +121,65 @@ def of_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.withColumn("__salt", F.pmod(F.col("key"), F.lit(SALTS))).join(spread, ["g", "__salt"]).drop("__salt")
 
 
-def _measured(rows: DataFrame, moments: DataFrame) -> DataFrame:
-    """rows with q, the squared distance from their group's estimate in 1/64, at most TOP."""
-    mean = [f"m{i}" for i in range(P)]
-    covariance = {(i, j): f"c{i}{j}" for i in range(P) for j in range(i + 1)}
-    steps, distance = squared_distance(mean, covariance, [f"x{i} / {SCALE}D" for i in range(P)])
-    e = moments.select("g", *[F.expr(f"s{i} / cast(n as double) / {SCALE}D").alias(f"m{i}") for i in range(P)], *[F.expr(f"s{i}{j} / cast(n as double) / {SCALE * SCALE}D - (s{i} / cast(n as double) / {SCALE}D) * (s{j} / cast(n as double) / {SCALE}D)" + (f" + {FLOOR}D * {FLOOR}D" if i == j else "")).alias(f"c{i}{j}") for i in range(P) for j in range(i + 1)])
-    factor = [s for s in steps if s[0][0] == "l"]
-    for name, sql in factor:
-        e = e.withColumn(name, F.expr(sql))
-    e = e.select("g", *[f"m{i}" for i in range(P)], *[n for n, _ in factor])
-    out = of_group(rows, e)
-    for name, sql in steps[len(factor) :]:
-        out = out.withColumn(name, F.expr(sql))
-    return out.select(*rows.columns, F.expr(f"cast(least(floor(({distance}) * 64), {TOP}) as bigint)").alias("q"))
+def _with(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    for name, sql in columns:
+        df = df.withColumn(name, F.expr(sql))
+    return df
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """Of rows (g, s, q, x0 ...) the moments by group, start and bucket, with below, the rows in lesser buckets, and total."""
+    sums = rows.groupBy("g", "s", "q").agg(*[F.expr(sql).alias(name) for name, sql in MOMENTS])
+    one = W.partitionBy("g", "s")
+    return sums.withColumn("below", F.sum("n").over(one.orderBy("q")) - F.col("n")).withColumn("total", F.sum("n").over(one))
+
+
+def _estimates(rows: DataFrame) -> DataFrame:
+    """g, s and the estimate from the three quarters of rows (g, s, q, x0 ...) in the least buckets."""
+    best = _summed(rows).where("4 * below < 3 * total").groupBy("g", "s")
+    moments = best.agg(*[F.sum(F.col(name).cast("decimal(38,0)")).cast("double").alias(name) for name, _ in MOMENTS])
+    return _with(moments, estimate_columns()).select("g", "s", *ESTIMATE)
+
+
+def _measured(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """rows (g, x0 ...) for each estimate of their group, with d, the squared distance from it."""
+    columns, distance = distance_columns()
+    out = _with(of_group(rows, estimates), columns)
+    return out.select(*rows.columns, "s", F.expr(distance).alias("d"))
+
+
+def _least(estimates: DataFrame, kept: int) -> DataFrame:
+    """Of each group the ``kept`` estimates with the least determinant."""
+    return estimates.withColumn("place", F.row_number().over(W.partitionBy("g").orderBy("det", "s"))).where(F.col("place") <= kept).drop("place")
+
+
+def mcd_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """g, s and the estimate of each group of rows (g, x0 ..., whole numbers near zero)."""
+    q = lambda d: F.expr(bucket(d))
+    spread = rows.groupBy("g").agg(*[F.percentile(F.abs(x), F.lit(0.5)).alias(f"d{i}") for i, x in enumerate(AT)])
+    begun = of_group(rows, spread).select("g", *AT, F.posexplode(F.array(*[F.expr(s) for s in STARTS])).alias("s", "d"))
+    now, seen = written(_estimates(begun.select("g", "s", *AT, q("d").alias("q"))), "estimates"), None
+    for step in range(1, steps):
+        if step == FIRST_STEPS:
+            last, now = now, written(_least(now, STARTS_KEPT), "estimates")
+            discard(last)
+        new = written(_estimates(_measured(rows, now).select("g", "s", *AT, q("d").alias("q"))), "estimates")
+        discard(now)
+        now, before = new, seen
+        seen = now.agg(F.sum(F.xxhash64("g", "s", *ESTIMATE).cast("decimal(38,0)"))).first()[0]
+        if seen == before and step >= FIRST_STEPS:
+            break
+    return _least(now, 1)
 
 
 def mcd_distances(rows: DataFrame, least_rows: int = LEAST_ROWS, steps: int = STEPS) -> DataFrame:
     """Of rows (key, g, x0 ... whole numbers) those in groups of ``least_rows`` or more, with d2, the scaled squared distance."""
-    at = [f"x{i}" for i in range(P)]
-    centre = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile(x, F.lit(0.5)).alias(f"m{x}") for x in at]).where(F.col("n") >= least_rows).drop("n")
-    rows = of_group(rows, centre).select("key", "g", *at, *[f"m{x}" for x in at])
-    off = [F.abs(F.col(x) - F.col(f"m{x}")) for x in at]
-    spread = rows.groupBy("g").agg(*[F.percentile(o, F.lit(0.5)).alias(f"d{x}") for o, x in zip(off, at)])
-    start = " + ".join(f"pow((x{i} - mx{i}) / (1.4826D * dx{i} + {FLOOR * SCALE}D), 2)" for i in range(P))
-    now = of_group(rows, spread).select("key", "g", *at, F.expr(f"cast(least(floor(({start}) * 64), {TOP}) as bigint)").alias("q"))
-    for _ in range(steps):
-        cut = now.groupBy("g").agg(F.percentile("q", F.lit(0.75)).alias("cut"))
-        best = of_group(now, cut).where("q <= cut").groupBy("g").agg(*_moments())
-        now = written(_measured(now.drop("q"), best), "distances")
-    scale = now.groupBy("g").agg(F.percentile("q", F.lit(0.75)).alias("cut"))
-    return of_group(now, scale).select("key", "g", F.expr(f"q * {CHI2_THREE_QUARTERS}D / greatest(cut, 1D)").alias("d2"))
+    centre = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile(x, F.lit(0.5)).alias(f"m{x}") for x in AT]).where(F.col("n") >= least_rows).drop("n")
+    rows = written(of_group(rows, centre).select("key", "g", *[F.expr(f"x{i} - cast(floor(mx{i}) as bigint)").alias(x) for i, x in enumerate(AT)]), "centred")
+    estimates = written(mcd_estimates(rows, steps), "estimates")
+    found = _measured(rows, estimates)
+    scale = _summed(found.select("g", "s", *AT, F.expr(bucket("d")).alias("q"))).where("4 * below < 3 * total").groupBy("g").agg(F.max("q").alias("cut"))
+    return of_group(found.select("key", "g", "d"), written(scale, "scale")).select("key", "g", F.expr(f"d * 64 * {CHI2_THREE_QUARTERS} / greatest(cut, 1)").alias("d2"))
 
 
 def pooled(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
@@ -170,29 +215,40 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     """The query in DuckDB's SQL: windows and estimates spelled out step by step."""
-    at = [f"x{i}" for i in range(P)]
-    xs = ", ".join(at)
-    covariance = {(i, j): f"c{i}{j}" for i in range(P) for j in range(i + 1)}
-    columns, distance = squared_distance([f"m{i}" for i in range(P)], covariance, [f"x{i} / {SCALE}::DOUBLE" for i in range(P)])
-    moments = "count(*) AS n, " + ", ".join([f"sum(x{i}) AS s{i}" for i in range(P)] + [f"sum(x{i} * x{j}) AS s{i}{j}" for i in range(P) for j in range(i + 1)])
-    means = ", ".join(f"s{i} / n::DOUBLE / {SCALE}::DOUBLE AS m{i}" for i in range(P))
-    spread = ", ".join(f"s{i}{j} / n::DOUBLE / {SCALE * SCALE}::DOUBLE - (s{i} / n::DOUBLE / {SCALE}::DOUBLE) * (s{j} / n::DOUBLE / {SCALE}::DOUBLE)" + (f" + {FLOOR}::DOUBLE * {FLOOR}::DOUBLE" if i == j else "") + f" AS c{i}{j}" for i in range(P) for j in range(i + 1))
-    start = " + ".join(f"pow((x{i} - mx{i}) / (1.4826::DOUBLE * dx{i} + {FLOOR * SCALE}::DOUBLE), 2)" for i in range(P))
-    steps = [f"q0 AS (SELECT key, g, {xs}, least(floor(({start}) * 64), {TOP})::BIGINT AS q FROM centred JOIN spread USING (g))"]
-    for k in range(STEPS):
-        steps.append(f"cut{k} AS (SELECT g, quantile_cont(q, 0.75) AS cut FROM q{k} GROUP BY g)")
-        steps.append(f"sums{k} AS (SELECT g, {moments} FROM q{k} JOIN cut{k} USING (g) WHERE q <= cut GROUP BY g)")
-        steps.append(f"est{k} AS (SELECT g, {means}, {spread} FROM sums{k})")
-        table = f"est{k}"
-        for n, (name, sql) in enumerate(c for c in columns if c[0][0] == "l"):
-            steps.append(f"f{k}_{n} AS (SELECT *, {sql} AS {name} FROM {table})")
-            table = f"f{k}_{n}"
-        steps.append(f"at{k} AS (SELECT * FROM q{k} JOIN {table} USING (g))")
-        table = f"at{k}"
-        for n, (name, sql) in enumerate(c for c in columns if c[0][0] == "y"):
-            steps.append(f"y{k}_{n} AS (SELECT *, {sql} AS {name} FROM {table})")
-            table = f"y{k}_{n}"
-        steps.append(f"q{k + 1} AS (SELECT key, g, {xs}, least(floor(({distance}) * 64), {TOP})::BIGINT AS q FROM {table})")
+    xs = ", ".join(AT)
+    columns, distance = distance_columns()
+    moments = ", ".join(f"{sql}::HUGEINT AS {name}" for name, sql in MOMENTS)
+    steps: list[str] = []
+
+    def with_columns(source: str, named: list[tuple[str, str]]) -> str:
+        """A subquery a column: names of the same SELECT would be replaced by their expressions, which then double and double again."""
+        for name, sql in named:
+            source = f"(SELECT *, {sql.replace(' / n / ', ' / n::DOUBLE / ')} AS {name} FROM {source})"
+        return source
+
+    def step(k: int, measured: str) -> None:
+        """The estimates e{k} from rows (g, s, q, x0 ...)."""
+        steps.extend([
+            f"h{k} AS MATERIALIZED (SELECT g, s, q, {moments} FROM ({measured}) GROUP BY g, s, q)",
+            f"b{k} AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY g, s ORDER BY q) - n AS below, sum(n) OVER (PARTITION BY g, s) AS total FROM h{k})",
+            f"e{k} AS MATERIALIZED (SELECT g, s, {', '.join(ESTIMATE)} FROM {with_columns('(SELECT g, s, ' + ', '.join(f'sum({name}) AS {name}' for name, _ in MOMENTS) + f' FROM b{k} WHERE 4 * below < 3 * total GROUP BY g, s)', estimate_columns())})",
+        ])
+
+    def least(name: str, source: str, kept: int) -> None:
+        steps.append(f"{name} AS MATERIALIZED (SELECT * FROM {source} QUALIFY row_number() OVER (PARTITION BY g ORDER BY det, s) <= {kept})")
+
+    def measured(source: str) -> str:
+        return f"SELECT key, g, s, {xs}, {distance} AS d FROM {with_columns(f'(SELECT * FROM centred JOIN {source} USING (g))', columns)}"
+
+    step(0, " UNION ALL ".join(f"SELECT g, {s} AS s, {xs}, {bucket(sql)} AS q FROM centred JOIN spread USING (g)" for s, sql in enumerate(STARTS)))
+    last = "e0"
+    for k in range(1, STEPS):
+        if k == FIRST_STEPS:
+            least("better", last, STARTS_KEPT)
+            last = "better"
+        step(k, f"SELECT g, s, {xs}, {bucket('d')} AS q FROM ({measured(last)})")
+        last = f"e{k}"
+    least("chosen", last, 1)
     statistics = ", ".join(f"round({SCALE} * ({s}))::BIGINT AS x{i}" for i, s in enumerate(STATISTICS))
     return f"""
 WITH texts AS (SELECT row_number() OVER () AS key, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
@@ -205,19 +261,29 @@ windows AS (
 repeated AS (SELECT key, k FROM windows GROUP BY key, k HAVING count(*) > 1),
 covered AS (
   SELECT key, count(DISTINCT pos) AS n FROM (SELECT key, unnest([i, i + 1, i + 2]) AS pos FROM windows JOIN repeated USING (key, k)) GROUP BY key),
-base AS (
-  SELECT key, doc_id, {GROUP} AS g, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+base AS MATERIALIZED (
+  SELECT key, doc_id, {GROUP} AS g, {LANGUAGE} AS l, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
     len(words) < {MIN_WORDS} OR 100 * coalesce(covered.n, 0) > {MAX_REPEATED_PERCENT} * len(words) AS base_failed
   FROM w LEFT JOIN covered USING (key)),
-stat AS (SELECT key, g, {statistics} FROM base WHERE NOT base_failed),
-centre AS (SELECT g, {', '.join(f'quantile_cont({x}, 0.5) AS m{x}' for x in at)} FROM stat GROUP BY g HAVING count(*) >= {LEAST_ROWS}),
-centred AS (SELECT * FROM stat JOIN centre USING (g)),
-spread AS (SELECT g, {', '.join(f'quantile_cont(abs({x} - m{x}), 0.5) AS d{x}' for x in at)} FROM centred GROUP BY g),
+single AS (SELECT key, g, l, {statistics} FROM base WHERE NOT base_failed),
+sized AS (SELECT *, count(*) OVER (PARTITION BY g) AS in_g, count(*) OVER (PARTITION BY l) AS in_l FROM single),
+own AS MATERIALIZED (SELECT *, CASE WHEN in_g >= {LEAST_ROWS} THEN 0 WHEN in_l >= {LEAST_ROWS} THEN 1 ELSE 2 END AS v FROM sized),
+pools AS MATERIALIZED (
+  SELECT v = 0 AS judged, key, '0' || g AS g, {xs} FROM own WHERE in_g >= {LEAST_ROWS}
+  UNION ALL SELECT v = 1, key, '1' || l, {xs} FROM own WHERE in_l >= {LEAST_ROWS}
+  UNION ALL SELECT v = 2, key, '2', {xs} FROM own),
+wanted AS (SELECT g FROM pools GROUP BY g HAVING bool_or(judged)),
+centre AS MATERIALIZED (SELECT g, {', '.join(f'floor(quantile_cont({x}, 0.5))::BIGINT AS m{x}' for x in AT)} FROM pools JOIN wanted USING (g) GROUP BY g),
+centred AS MATERIALIZED (SELECT judged, key, g, {', '.join(f'{x} - m{x} AS {x}' for x in AT)} FROM pools JOIN centre USING (g)),
+spread AS MATERIALIZED (SELECT g, {', '.join(f'quantile_cont(abs({x}), 0.5) AS d{i}' for i, x in enumerate(AT))} FROM centred GROUP BY g),
 {', '.join(steps)},
-scale AS (SELECT g, quantile_cont(q, 0.75) AS cut FROM q{STEPS} GROUP BY g),
-found AS (SELECT key, q * {CHI2_THREE_QUARTERS}::DOUBLE / greatest(cut, 1::DOUBLE) AS d2 FROM q{STEPS} JOIN scale USING (g))
+measured AS MATERIALIZED (SELECT *, {bucket('d')} AS q FROM ({measured('chosen').replace('SELECT key', 'SELECT judged, key')})),
+counted AS (SELECT g, q, count(*) AS n FROM measured GROUP BY g, q),
+placed AS (SELECT *, sum(n) OVER (PARTITION BY g ORDER BY q) - n AS below, sum(n) OVER (PARTITION BY g) AS total FROM counted),
+scale AS (SELECT g, max(q) AS cut FROM placed WHERE 4 * below < 3 * total GROUP BY g),
+found AS (SELECT key, d * 64 * {CHI2_THREE_QUARTERS} / greatest(cut, 1) AS d2 FROM measured JOIN scale USING (g) WHERE judged)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(d2 <= {CUTOFF}, true) AS kept
 FROM base LEFT JOIN found USING (key)
