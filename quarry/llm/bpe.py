@@ -8,7 +8,9 @@ places that led nowhere are marked, so each place is tried once.  Decoding conca
 string, cut by a table of offsets, without a loop over ids.
 
 The vocabulary is one whose words end in an end-of-word mark and whose white space is dropped; the tokenizer's
-JSON names the normalisation (NFC, lower case character by character) and the pieces of a word.
+JSON names the normalisation (NFC, lower case character by character) and the pieces of a word.  Tables of characters differ between
+Unicode's versions, but only in characters that one of them does not know: a run of text with a character that Python's
+table does not assign is normalised and cut by the library's own tables.  Its pieces are encoded here like all others.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; null and repeated doc_ids are
 rows like any others; an empty table gives no rows; further columns are ignored.  Special tokens that stand in a
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Cache, batched, byte_letters, documents, kept_in_worker, tokenizer_path
+from .shared import Cache, batched, byte_letters, documents, kept_in_worker, small_batches, tokenizer_path
 
 END = "\0"
 TOP = 1 << 62
@@ -66,7 +68,7 @@ class Backtracking:
         """Whether merging would leave a and b side by side."""
         known = self.compatible.get((a, b))
         if known is None:
-            if len(self.compatible) > 1_000_000:
+            if len(self.compatible) > 300_000:
                 self.compatible.clear()
             known = self.compatible[a, b] = self._fits(a, b)
         return known
@@ -96,7 +98,11 @@ class Backtracking:
     def word(self, piece: str) -> list[int]:
         """Ids of one piece of text."""
         letters = self.letters
-        s = "".join([letters[b] for b in piece.encode("utf-8", "replace")]) + END
+        return self.spelled("".join([letters[b] for b in piece.encode("utf-8", "replace")]))
+
+    def spelled(self, letters: str) -> list[int]:
+        """Ids of one piece of text, given by the letters that stand for its bytes."""
+        s = letters + END
         n = len(s)
         if (whole := self.place.get(s)) is not None and self.split[whole] == (whole, whole):
             return [self.ids[whole]]
@@ -118,7 +124,7 @@ class Backtracking:
                 token = longest[at] if at < n else -1
             else:
                 if last < 0:
-                    raise ValueError(f"no encoding of {piece!r}")
+                    raise ValueError(f"no encoding of {letters!r}")
                 open_[at] = False
                 out.pop()
                 at -= length[last]
@@ -129,7 +135,7 @@ class Backtracking:
 class Codec:
     """Texts to ids and back, for the vocabulary in a tokenizer's JSON file."""
 
-    def __init__(self, path: str, entries: int = 400_000):
+    def __init__(self, path: str):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -142,24 +148,35 @@ class Codec:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
-        self.entries, self.chunks, self.words = entries, {}, {}
+        self.path, self.library = path, None
+        self.chunks, self.words = Cache(90 << 20), Cache(60 << 20)
         # the offset table: token i, and the space after it, is blob[offsets[i]:offsets[i + 1]]
         parts = [names.get(i, "").encode() + b" " for i in range(max(names) + 1)]
         self.blob = np.frombuffer(b"".join(parts), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
+    def _foreign(self, text: str) -> list[int]:
+        """Ids of a text with characters that Python's tables don't know, cut by the library."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [i for piece, _ in pieces for i in self.encoder.spelled(piece)]
+
     def _plain(self, text: str) -> list[int]:
         if text.isascii():
             text = text.lower()
+        elif "Cn" in map(unicodedata.category, text):
+            return self._foreign(text)
         else:
             text = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
         out, words = [], self.words
         for piece in self.pieces.findall(text):
             ids = words.get(piece)
             if ids is None:
-                if len(words) > self.entries:
-                    words.clear()
-                ids = words[piece] = self.encoder.word(piece)
+                ids = self.encoder.word(piece)
+                words.put(piece, ids, len(piece) + 36 * len(ids))
             out += ids
         return out
 
@@ -179,9 +196,8 @@ class Codec:
         for c in text.encode("utf-8", "replace").split():
             ids = cache.get(c)
             if ids is None:
-                if len(cache) > self.entries:
-                    cache.clear()
-                ids = cache[c] = self._chunk(c)
+                ids = self._chunk(c)
+                cache.put(c, ids, len(c) + len(ids))
             out.append(ids)
         return np.frombuffer(b"".join(out), "<u4")
 
@@ -214,7 +230,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 decoded = pa.array([codec.decode(x).decode("utf-8") for x in ids], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists, decoded], ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id long, ids array<int>, decoded string")
+    return small_batches(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(scan, "doc_id long, ids array<int>, decoded string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
