@@ -2,8 +2,9 @@
 
 Each shard is an Arrow IPC file whose record batches hold two columns: ``ids``, fixed-size lists of
 ``length`` ids, and ``mask``, fixed-size lists of booleans that are false on the padding of the shard's last
-sequence.  A second Arrow file per shard lists its documents with the place of their first id.  Both can be
-memory-mapped; any sequence is a slice of a batch without copying.
+sequence.  All batches but the last hold ``ROWS`` sequences, so sequence k of a shard is row k mod ROWS of batch k div ROWS: ``Shard``
+memory-maps the file and returns it as a slice of the batch, without copying and without reading others; ``TokenFiles`` does
+so across shards.  A second Arrow file per shard lists its documents with the place of their first id.
 
 Defined results: a null text is an empty one (its only id is the end id); null ids of documents come first;
 documents with the same id follow each other in the order of their texts; an empty table gives no rows and no
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batched, documents, encoder, partitions, shared_path, tokenizer_path, written
+from .shared import batched, documents, encoder, partitions, shared_path, small_batches, tokenizer_path, written
 
 LENGTH, ROWS = 2048, 64
 
@@ -72,15 +74,12 @@ class ShardWriter:
 
     def _flush(self, last: bool) -> None:
         flat = np.concatenate(self.held) if self.held else np.empty(0, self.dtype)
-        n = len(flat) // self.length * self.length
-        keep = flat[n:]
-        if last and len(keep):
-            real = len(flat)
-            flat = np.concatenate([flat, np.zeros(self.length - len(keep), self.dtype)])
-            n, keep = len(flat), keep[:0]
-        else:
-            real, flat = n, flat[:n]
-        for i in range(0, n, self.length * ROWS):
+        full = self.length * ROWS  # all batches but the last are full
+        real = n = len(flat) if last else len(flat) // full * full
+        keep, flat = flat[n:], flat[:n]
+        if n % self.length:
+            flat = np.concatenate([flat, np.zeros(-n % self.length, self.dtype)])
+        for i in range(0, len(flat), self.length * ROWS):
             part = flat[i : i + self.length * ROWS]
             mask = np.arange(i, i + len(part)) < real
             lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (part, mask)]
@@ -104,6 +103,48 @@ def _open(store, path: str):
     return pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
 
 
+class Shard:
+    """Random access to the sequences of one shard; where the folder is local, ids and mask lie in the mapped file."""
+
+    def __init__(self, folder: str, base: str):
+        store, _ = open_store(folder)
+        self.source = _open(store, f"{base}.ids")
+        self.file = pa.ipc.open_file(self.source)
+        n = self.file.num_record_batches
+        self.n = (n - 1) * ROWS + len(self.file.get_batch(n - 1)) if n else 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def sequence(self, k: int) -> tuple[pa.Array, pa.Array]:
+        """The ids of sequence k and their mask, as slices; ``ids.to_numpy()`` is a view."""
+        if not 0 <= k < self.n:
+            raise IndexError(k)
+        batch = self.file.get_batch(k // ROWS)
+        return tuple(batch.column(c).slice(k % ROWS, 1).flatten() for c in (0, 1))
+
+
+class TokenFiles:
+    """Random access to all sequences of a manifest, in the order of its shards."""
+
+    def __init__(self, manifest: list[tuple[int, str, int]], folder: str, length: int = LENGTH):
+        self.folder, self.shards = folder, {}
+        held = sorted(tuple(r) for r in manifest)
+        self.bases = [base for _, base, _ in held]
+        self.ends = np.cumsum([-(-total // length) for _, _, total in held]).tolist()
+
+    def __len__(self) -> int:
+        return self.ends[-1] if self.ends else 0
+
+    def sequence(self, k: int) -> tuple[pa.Array, pa.Array]:
+        if not 0 <= k < len(self):
+            raise IndexError(k)
+        i = bisect_right(self.ends, k)
+        if i not in self.shards:
+            self.shards[i] = Shard(self.folder, self.bases[i])
+        return self.shards[i].sequence(k - (self.ends[i - 1] if i else 0))
+
+
 def read_shard(folder: str, base: str) -> Iterator[tuple[int | None, int, np.ndarray]]:
     """(doc_id, place of its first id in the shard, ids) of each document, from the shard's files."""
     store, _ = open_store(folder)
@@ -151,7 +192,7 @@ def write_token_files(docs: DataFrame, path: str, style: str, end_id: int, folde
             yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int64()), "base": [base], "total": pa.array([total], pa.int64())})
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return written(ordered.mapInArrow(write, "shard long, base string, total long"), "token-manifest")
+    return written(small_batches(ordered).mapInArrow(write, "shard long, base string, total long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
@@ -173,7 +214,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[i : i + 50_000])], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     shards = spark.createDataFrame(rows, "base string, start long").repartition(max(1, len(rows)))
-    return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return small_batches(shards).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
