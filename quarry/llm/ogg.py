@@ -1,8 +1,9 @@
 """Ogg media columns (operator 7): write, and read with checksums, lacing, demultiplexing and timestamps.
 
 ``read`` walks the pages of a physical stream, verifies each page's checksum, reassembles packets from lacing
-values across pages, keeps the logical streams apart by serial number and derives each packet's time from the
-granule positions.  A page that fails its checksum is dropped and reported; a packet that lost a page is dropped
+values across pages, and keeps the logical streams apart by serial number.  A page's granule position is that of the last packet that
+ends on it; ``timed`` derives those of the other packets from it, by the samples that a codec says each packet has.  A page that
+fails its checksum is dropped and reported; a packet that lost a page, or whose continuation does not follow, is dropped
 and reported too.  After damage the reader looks for the next capture pattern.
 
 ``store`` writes a payload as 8-bit samples of one logical stream, beside a second stream with a packet that holds
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, small_batches
 
 BLOCK, RATE, PACKET = 192, 8000, 4096
 AUDIO, NOTE = 0x51A0, 0x51A1
@@ -79,7 +80,7 @@ def store(data: bytes) -> bytes:
 
 @dataclass
 class Stream:
-    """One logical stream: packets are (data, granule position after it, number of its page)."""
+    """One logical stream: packets are (data, granule position after it or -1 if its page does not say, number of its page)."""
 
     serial: int
     packets: list[tuple[bytes, int, int]] = field(default_factory=list)
@@ -117,6 +118,8 @@ def read(data: bytes) -> tuple[dict[int, Stream], list[str]]:
         if number != s._next or bool(flags & CONTINUED) != bool(s._open):
             if number != s._next:
                 errors.append(f"stream {serial}: page {number} after {s._next - 1}")
+            else:
+                errors.append(f"stream {serial}: page {number} {'continues no packet' if flags & CONTINUED else 'does not continue a packet'}")
             s._open = None
         skip = bool(flags & CONTINUED) and s._open is None  # the rest of a packet whose beginning is lost
         place, done = start, []
@@ -129,13 +132,7 @@ def read(data: bytes) -> tuple[dict[int, Stream], list[str]]:
                 if not skip:
                     done.append(b"".join(s._open))
                 s._open, skip = None, False
-        # the page's granule position is that of the last packet that ends on it; one sample is one byte
-        after = granule
-        times = []
-        for packet in reversed(done):
-            times.append(after)
-            after = max(0, after - len(packet)) if granule >= 0 else -1
-        s.packets += [(p, g, number) for p, g in zip(done, reversed(times))]
+        s.packets += [(p, granule if i == len(done) - 1 else -1, number) for i, p in enumerate(done)]
         s.pages, s._next, s.ended = s.pages + 1, number + 1, s.ended or bool(flags & LAST)
         s.granule = max(s.granule, granule)
         at = end
@@ -143,6 +140,30 @@ def read(data: bytes) -> tuple[dict[int, Stream], list[str]]:
     return streams, errors
 
 
+def pcm_samples(packet: bytes) -> int:
+    """Samples in a packet of a stream of 8-bit samples; its header has none."""
+    return 0 if packet.startswith(AUDIO_HEAD) else len(packet)
+
+
+#: How many samples a packet of a stream has, by what its first packet starts with.
+CODECS = {AUDIO_HEAD: pcm_samples}
+
+
+def timed(stream: Stream) -> list[int | None]:
+    """The granule position after each packet: its page's, and counted back from it by the codec's samples; None where that is unknown."""
+    count = next((f for head, f in CODECS.items() if stream.packets and stream.packets[0][0].startswith(head)), None)
+    out, after, page = [], None, None
+    for packet, granule, number in reversed(stream.packets):
+        if granule >= 0:
+            after = granule
+        elif number != page:  # no packet is known to end with this page's granule position
+            after = None
+        out.append(after)
+        page = number
+        after = max(0, after - count(packet)) if count and after is not None else None
+    return out[::-1]
+
+
 def read_payload(media: bytes) -> tuple[bytes, int, str]:
     """Payload, length without padding and feature text of what ``store`` wrote."""
     streams, errors = read(media)
@@ -153,7 +174,7 @@ def read_payload(media: bytes) -> tuple[bytes, int, str]:
     rate = struct.unpack("<I", audio.packets[0][0][4:8])[0]
     payload = b"".join(p for p, _, _ in audio.packets[1:])
     n = struct.unpack("<Q", note.packets[1][0])[0]
-    starts = [(g - len(p)) * 1_000_000 // rate for p, g, _ in audio.packets[1:]]
+    starts = [(g - len(p)) * 1_000_000 // rate for g, (p, _, _) in zip(timed(audio)[1:], audio.packets[1:])]
     feature = f"streams={len(streams)};pages={sum(s.pages for s in streams.values())};packets={sum(len(s.packets) for s in streams.values())};rate={rate};duration_us={audio.granule * 1_000_000 // rate};last_start_us={starts[-1]};adler={zlib.adler32(payload)}"
     return payload, n, feature
 
@@ -166,7 +187,7 @@ def media_column(docs: DataFrame) -> DataFrame:
             media = [store((t.as_py() or "").encode("utf-8", "replace")) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], ["doc_id", "media"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(write, "doc_id long, media binary")
+    return small_batches(docs.select("doc_id", F.col("text").cast("string").alias("text"))).mapInArrow(write, "doc_id long, media binary")
 
 
 FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -187,25 +208,26 @@ def media_features(media: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    return media.select("doc_id", "media").mapInArrow(scan, FEATURES)
+    return small_batches(media.select("doc_id", "media")).mapInArrow(scan, FEATURES)
 
 
 PACKETS = "doc_id long, serial long, packet long, page long, granule long, time_us long, data binary"
 
 
 def media_packets(media: DataFrame, rate: int = RATE) -> DataFrame:
-    """The packets of every logical stream in the column ``media``, with the time at which each ends (null where no granule says)."""
+    """The packets of every logical stream in the column ``media``, with granule position and the time at which each ends (null where no
+    granule position says, time also where the stream is no audio)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 streams, _ = read(m or b"")
-                rows = [(doc_id, s.serial, i, page, g, g * 1_000_000 // rate if g >= 0 else None, p) for s in streams.values() for i, (p, g, page) in enumerate(s.packets)]
+                rows = [(doc_id, s.serial, i, page, g, None if g is None or not s.packets[0][0].startswith(AUDIO_HEAD) else g * 1_000_000 // rate, p) for s in streams.values() for i, (g, (p, _, page)) in enumerate(zip(timed(s), s.packets))]
                 if rows:
                     types = [*[pa.int64()] * 6, pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [x.split()[0] for x in PACKETS.split(", ")])
 
-    return media.select("doc_id", "media").mapInArrow(scan, PACKETS)
+    return small_batches(media.select("doc_id", "media")).mapInArrow(scan, PACKETS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
