@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import batched, documents, encoder, partitions, tokenizer_path, written
+from .shared import batched, documents, encoder, partitions, small_batches, tokenizer_path, written
 
 CAPACITY = 2048
 TAIL = 40
@@ -207,7 +207,7 @@ def pieces(docs: DataFrame, path: str, style: str, end_id: int, capacity: int =
                 columns = list(zip(*out))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(columns)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(cut, PIECES)
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY, nodes: int = 3000) -> DataFrame:
@@ -232,7 +232,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, nodes: int = 3000) -> DataF
             kept = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence + q // each), pa.array(offset + q % each * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ordered.mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
+    return small_batches(ordered).mapInArrow(place, f"{PIECES}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:

@@ -70,6 +70,19 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str, total: i
     return dealt.join(counted.withColumn("__part", every), [key, "__part"]).select(*rows.columns, *more)
 
 
+#: Rows in an Arrow batch at most: whole texts are in a batch, in the JVM and in Python.
+BATCH_ROWS = 512
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that hands at most BATCH_ROWS rows to Python at once; Spark reads the setting when the plan runs."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = int(df.sparkSession.conf.get(name))
+    if not 0 < held <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 class Cache(dict):
     """A dictionary of byte strings or texts that is emptied when it would hold more than ``limit`` bytes, its own included."""
 

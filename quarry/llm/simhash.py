@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import documents, join_counted, written
+from .shared import documents, join_counted, small_batches, written
 
 SEED, SHINGLE, SEGMENT = 42, 3, 4
 
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, by_row: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(found.view(np.int64))], [*keys, "fp"])
 
     columns = {"doc_id": F.col("doc_id").cast("long"), "row": F.xxhash64(*docs.columns)}
-    return docs.select(*[columns[k].alias(k) for k in keys], F.col("text").cast("string").alias("text")).mapInArrow(scan, ", ".join(f"{k} long" for k in [*keys, "fp"]))
+    return small_batches(docs.select(*[columns[k].alias(k) for k in keys], F.col("text").cast("string").alias("text"))).mapInArrow(scan, ", ".join(f"{k} long" for k in [*keys, "fp"]))
 
 
 def links(values: DataFrame) -> DataFrame:

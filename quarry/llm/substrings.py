@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CHARS, Cache, batched, documents, join_counted, kept_in_worker, lists, written
+from .shared import SPACE_CHARS, Cache, batched, documents, join_counted, kept_in_worker, lists, small_batches, written
 
 WINDOW = 35
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -144,7 +144,7 @@ def _first(docs: DataFrame, window: int) -> DataFrame:
                     rows.append(Windows(words, cache, window).sent(0, None) if len(words) >= window else NONE)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), *_sent_columns(rows)], ["doc_id", "n_words", "digest", "hashes", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id long, n_words long, digest binary, {SENT}")
+    return small_batches(docs.select("doc_id", "text")).mapInArrow(scan, f"doc_id long, n_words long, digest binary, {SENT}")
 
 
 def _next(candidates: DataFrame, window: int, level: int) -> DataFrame:
@@ -165,7 +165,7 @@ def _next(candidates: DataFrame, window: int, level: int) -> DataFrame:
                 kept = [batch.column(c).slice(a, b - a) for c in ("doc_id", "text", "digest", "weight")]
                 yield pa.RecordBatch.from_arrays([*kept, *_sent_columns(rows)], ["doc_id", "text", "digest", "weight", "hashes", "counts"])
 
-    return candidates.select("doc_id", "text", "digest", "weight", "survived").mapInArrow(scan, f"doc_id long, text string, digest binary, weight int, {SENT}").where("size(hashes) > 0")
+    return small_batches(candidates.select("doc_id", "text", "digest", "weight", "survived")).mapInArrow(scan, f"doc_id long, text string, digest binary, weight int, {SENT}").where("size(hashes) > 0")
 
 
 def _survivors(sent: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
                     removed.append(len(words) - int(kept.sum()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("digest").slice(a, b - a), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "digest", "n_removed", "kept"])
 
-    return rows.select("doc_id", "digest", "text", "survived").mapInArrow(scan, "doc_id long, digest binary, n_removed long, kept string")
+    return small_batches(rows.select("doc_id", "digest", "text", "survived")).mapInArrow(scan, "doc_id long, digest binary, n_removed long, kept string")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Cache, documents
+from .shared import Cache, documents, small_batches
 
 PER_CLASS, LEAST_DOCS, LEAST_LIFT, ROUNDS, THRESHOLD = 3000, 4, 5.0, 150, 0.3
 L1, L2 = 5e-5, 1e-5
@@ -157,13 +157,13 @@ def scorer(model: Model):
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted and where the document offends."""
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scorer(model)("text").alias("x"))
+    rows = small_batches(docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scorer(model)("text").alias("x"))
     return rows.select("doc_id", "held_out", "x.score", F.when(F.col("x.score") >= THRESHOLD, 1).otherwise(0).alias("predicted"), "x.n_offending", "x.worst_sentence")
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic."""
-    rows = docs.select(F.struct("*").alias("row"), scorer(train(docs, labels))("text").alias("x"))
+    rows = small_batches(docs).select(F.struct("*").alias("row"), scorer(train(docs, labels))("text").alias("x"))
     return rows.where(F.col("x.score") < THRESHOLD).select("row.*")
 
 

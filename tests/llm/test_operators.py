@@ -351,6 +351,23 @@ def test_chunks_are_the_library(name, style):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t[:80])
 
 
+def test_every_code_point_is_the_librarys():
+    """Alone before a mark, and beside a letter."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    library, codec = Tokenizer.from_file(path), bpe.Codec(path)
+    letters = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for i in range(0, len(letters), 20_000):
+        for texts in ([c + "!" for c in letters[i : i + 20_000]], ["a" + c for c in letters[i : i + 20_000]]):
+            for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
+                assert codec.encode(t).tolist() == e.ids, hex(max(map(ord, t)))
+    r = random.Random(3)
+    for _ in range(2000):  # characters that Python does not know among others
+        t = "".join(r.choice(["a", "B", " ", "\u0301", "'s", "1", "<|endoftext|>", "\u1c89", "\ua7cb", "\u0c5c", chr(0x31350), "\u0378", "\u208f", "\u00e9", "\u3000"]) for _ in range(12))
+        assert codec.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
 # 6
 
 
@@ -408,6 +425,21 @@ def test_ogg_damage():
     assert ogg.checksum(b"123456789") == 0x89A1897F
 
 
+def test_ogg_times():
+    # three packets on one page: its granule position is the last one's, the others are counted back
+    packets = [(ogg.AUDIO_HEAD + struct.pack("<II", 8000, 1), 0), (b"a" * 10, 10), (b"b" * 20, 30), (b"c" * 5, 35)]
+    note = [(ogg.NOTE_HEAD, 0), (b"12345678", 0)]
+    streams, errors = ogg.read(b"".join([*ogg.pages(1, packets), *ogg.pages(2, note)]))
+    assert not errors and ogg.timed(streams[1]) == [0, 10, 30, 35] and [g for _, g, _ in streams[1].packets] == [0, -1, -1, 35]
+    assert ogg.timed(streams[2]) == [0, 0]
+    # a page that should continue a packet but does not: the open packet goes, and that is said
+    pages = list(ogg.pages(3, [(b"h", 0), (b"x" * 70_000, 1), (b"y", 2)]))
+    flags = pages[2][:5] + bytes([pages[2][5] & ~ogg.CONTINUED]) + pages[2][6:22] + b"\0" * 4 + pages[2][26:]
+    pages[2] = flags[:22] + struct.pack("<I", ogg.checksum(flags)) + flags[26:]
+    streams, errors = ogg.read(b"".join(pages))
+    assert errors == ["stream 3: page 2 does not continue a packet"] and [len(p) for p, _, _ in streams[3].packets] != [1, 70_000, 1]
+
+
 def test_media_columns(docs, empty):
     media = ogg.media_column(docs)
     found = {(r["doc_id"], r["payload_sha256"], r["n_bytes"], r["tail_crc32"]) for r in ogg.media_features(media).collect()}
@@ -418,7 +450,9 @@ def test_media_columns(docs, empty):
         return hashlib.sha256(payload).hexdigest(), len(data), zlib.crc32(payload[-16:])
 
     assert found == {(d, *expected(t)) for d, t in corpus()}
-    assert ogg.media_packets(media).where("time_us < 0").count() == 0
+    times = ogg.media_packets(media)
+    assert times.where("time_us < 0").count() == 0 and times.where(f"time_us is null and serial = {ogg.AUDIO}").count() == 0
+    assert times.where(f"time_us is not null and serial = {ogg.NOTE}").count() == 0
     assert ogg.media_features(ogg.media_column(empty)).count() == 0
 
 
@@ -454,6 +488,35 @@ def test_token_files_are_fixed_size_lists(spark, docs):
             assert sum(sum(map(sum, b.column(1).to_pylist())) for b in batches) == total
 
 
+def test_sequences_are_slices_of_the_file(spark, docs):
+    folder = shared_path(spark, "test-sequences")
+    manifest = token_files.write_token_files(docs, tokenizer_path("word_bpe_49k.json"), "space", 1, folder, length=64).collect()
+    files = token_files.TokenFiles(manifest, folder, length=64)
+    at = 0
+    for _, base, total in sorted(map(tuple, manifest)):
+        whole = np.concatenate([x for _, _, x in token_files.read_shard(folder, base)])
+        assert len(whole) == total
+        shard = token_files.Shard(folder, base)
+        assert len(shard) == -(-total // 64)
+        for k in range(0, len(shard), 7):
+            ids, mask = shard.sequence(k)
+            n = min(64, total - 64 * k)
+            assert ids.to_numpy(zero_copy_only=True)[:n].tolist() == whole[64 * k : 64 * k + n].tolist() and mask.to_pylist() == [True] * n + [False] * (64 - n)
+            again = files.sequence(at + k)
+            assert again[0].equals(ids) and again[1].equals(mask)
+        # both lie in the mapped file: reading it whole gives a buffer around theirs
+        shard.source.seek(0)
+        all_ = shard.source.read_buffer()
+        for part in shard.sequence(len(shard) - 1):
+            place = part.buffers()[1].address
+            assert all_.address <= place < all_.address + all_.size
+        at += len(shard)
+    assert at == len(files)
+    with pytest.raises(IndexError):
+        files.sequence(at)
+    assert len(token_files.TokenFiles([], folder)) == 0
+
+
 # 9
 
 
@@ -477,6 +540,70 @@ def test_warc_derivatives(spark):
     assert warc.listed(warc.derivatives(warc.responses(pages.limit(0)))).count() == 0
 
 
+def changed(record, *pairs):
+    """A record with parts of its head replaced."""
+    raw = zlib.decompress(record, 31)
+    head, mark, rest = raw.partition(b"\r\n\r\n")
+    for old, new in pairs:
+        assert old in head
+        head = head.replace(old, new)
+    return head + mark + rest
+
+
+def test_warc_headers():
+    whole = warc.response(1, "http://a.example/", "<p>x")
+    head, _ = warc.parse(whole)
+    for name in ("WARC-Block-Digest", "WARC-Payload-Digest"):
+        (_, meta), (_, conv) = warc.derive(changed(whole, (f"{name}: {head[name]}\r\n".encode(), b"")))
+        assert f"WARC-Source-{name[5:]}" not in warc.parse(conv)[0] and warc.parse(meta)[0]["WARC-Refers-To"] == head["WARC-Record-ID"]
+    for name in ("WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Type"):
+        assert warc.derive(changed(whole, (f"{name}: {head[name]}\r\n".encode(), b""))) == []
+    assert warc.derive(changed(whole, (b"Content-Length: ", b"Content-Length: x"))) == []
+    lower = changed(whole, *((k.encode(), k.lower().encode()) for k in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "Content-Length")))
+    assert warc.derive(lower) == warc.derive(whole)
+    evil = warc.response(2, "http://a.example/\r\nWARC-Evil: 1\n x", "")
+    head, _ = warc.parse(evil)
+    assert "WARC-Evil" not in head and head["WARC-Target-URI"] == "http://a.example/%0D%0AWARC-Evil:%201%0A%20x"
+    with pytest.raises(ValueError):
+        warc.build([("WARC-Type", "response\r\nX: y")], b"")
+
+
+def test_warc_codings():
+    import gzip
+
+    text = "<p>Gr\u00fc\u00dfe"
+
+    def derived(fields, body):
+        block = f"HTTP/1.1 200 OK\r\n{fields}\r\n\r\n".encode() + body
+        head = [("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Date", warc.DATE), ("WARC-Target-URI", "http://a.example/")]
+        return warc.parse(warc.derive(warc.build(head, block))[1][1])[1].decode()
+
+    zipped = gzip.compress(text.encode())
+    chunks = b"".join(f"{len(c):x};q=1\r\n".encode() + c + b"\r\n" for c in (zipped[:7], zipped[7:])) + b"0\r\n\r\n"
+    assert derived("content-type: text/html; charset=ISO-8859-1", text.encode("latin-1")) == text[3:]
+    assert derived("Content-Encoding: gzip", zipped) == text[3:]
+    assert derived("transfer-encoding: chunked\r\nContent-Encoding: gzip", chunks) == text[3:]
+    assert derived("Content-Encoding: deflate", zlib.compress(text.encode())) == text[3:]
+    assert derived("Content-Type: text/html; charset=none-such\r\nContent-Encoding: gzip", b"plain") == "plain"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<", "< ", "<script ", "<script>", "</script ", "<!--", "<a href='", '<a x="', "a=", "<p>", "&amp", "<title>", "<a b" + " " * 50, "<!"])
+def test_hostile_pages_are_linear(part):
+    import time
+
+    began = time.process_time()
+    for page in (part * (1_000_000 // len(part)), part * (1_000_000 // len(part)) + ">"):
+        warc.page_of(page, "http://a.example/")
+    assert time.process_time() - began < 4
+
+
+def test_page_parts():
+    page = "<!-- <a href=no> --><TITLE>A\n&lt;b</TITLE><script src='s.js'>'<a href=no>'</script >1 < 2<br>x<y z<p>t</p><a\nclass=c HREF = '?q=1&amp;r'>l</a><a name=n>m</a><img alt=\"a > b\" src=i><style>p{}"
+    title, links, text = warc.page_of(page, "http://a.example/d/")
+    assert title == "A <b" and [x["url"] for x in links] == ["http://a.example/d/s.js", "http://a.example/d/?q=1&r"]
+    assert text == 'A <b\n1 < 2\nxt\nlm b" src=i>' and warc.page_of("", "") == (None, [], "")
+
+
 # 10
 
 
