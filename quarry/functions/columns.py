@@ -62,7 +62,7 @@ def spoken(n: int) -> list[str]:
 def number_words_to_digits():
     """A vectorised function that writes spoken numbers from 0 to 199 as digits.  Spark's regexp_replace takes no callback."""
     table = {w: str(n) for n in range(200) for w in spoken(n)}
-    pattern = re.compile(r"(?<![a-z])(" + "|".join(sorted(map(re.escape, table), key=len, reverse=True)) + r")(?![a-z])")
+    pattern = re.compile(r"(?<![A-Za-z])(" + "|".join(sorted(map(re.escape, table), key=len, reverse=True)) + r")(?![A-Za-z])")
 
     @F.pandas_udf("string")
     def replace(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import draw  # noqa: F401
+from ..sources.shared import written
 
 
 def drop_leaks(test: DataFrame, train: DataFrame, column: str) -> DataFrame:
@@ -30,17 +31,41 @@ def skyline(points: DataFrame, more: str, less: str) -> DataFrame:
     a value, is ordered, and a running minimum from the top tells which values are beaten.
     """
     best = points.groupBy(F.col(more).alias("__m")).agg(F.min(less).alias("__l"))
-    above = Window.orderBy(F.col("__m").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    front = best.withColumn("__a", F.min("__l").over(above)).where("__a is null or __l < __a").drop("__a")
+    base = ranged(best, [F.col("__m").desc()])
+    inside = Window.partitionBy("__p").orderBy(F.col("__m").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    parts = base.groupBy("__p").agg(F.min("__l").alias("__t"))
+    earlier = parts.select(F.col("__p"), F.min("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__e"))
+    front = base.withColumn("__a", F.min("__l").over(inside)).join(F.broadcast(earlier), "__p").withColumn("__a", F.least("__a", "__e")).where("__a is null or __l < __a").select("__m", "__l")
     return points.join(front, (points[more] == front["__m"]) & (points[less] == front["__l"]), "left_semi")
 
 
+def ranged(rows: DataFrame, order: list) -> DataFrame:
+    """rows, written in ranges of ``order``, with __p, the range's number.  There are as many ranges as shuffle partitions."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(rows.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()), "ranged")
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Adds __r, the row's place from 1 among those of its keys, and __n, how many they are; ``order`` should leave no ties.
+
+    No key's rows meet in one task: rows are ranged by keys and order and numbered within their range, and the
+    counts of earlier ranges, a row for each key in a range, are added.
+    """
+    base = ranged(rows, [*map(F.col, keys), *order])
+    sizes = base.groupBy("__p", *keys).agg(F.count("*").alias("__c"))
+    by = Window.partitionBy(*keys)
+    sizes = sizes.select(F.col("__p").alias("__q"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.sum("__c").over(by).alias("__n"), F.coalesce(F.sum("__c").over(by.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    local = base.withColumn("__r", F.row_number().over(Window.partitionBy("__p", *keys).orderBy(*order)))
+    same = F.col("__p") == F.col("__q")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return local.join(sizes, same).select(*rows.columns, (F.col("__b") + F.col("__r")).alias("__r"), "__n")
+
+
 def holdout_split(rows: DataFrame, keys: list[str], order: Column, tie: str, least: int = 3) -> DataFrame:
     """Adds part: per key a fifth of the rows, one at least, is test; keys with fewer than ``least`` rows have none."""
-    by = Window.partitionBy(*keys)
     cut = F.when(F.col("__n") >= least, F.greatest(F.lit(1), F.floor(F.col("__n") / 5))).otherwise(0)
-    numbered = rows.withColumn("__n", F.count("*").over(by)).withColumn("__r", F.row_number().over(by.orderBy(order, tie)))
-    return numbered.withColumn("part", F.when(F.col("__r") <= cut, "test").otherwise("train")).drop("__n", "__r")
+    return numbered(rows, keys, [order, F.col(tie)]).withColumn("part", F.when(F.col("__r") <= cut, "test").otherwise("train")).drop("__n", "__r")
 
 
 def history_within(turns: DataFrame, key: str, order: str, tokens: Column, budget: int, most: int | None = None) -> DataFrame:
@@ -54,28 +79,63 @@ def history_within(turns: DataFrame, key: str, order: str, tokens: Column, budge
 def offsets(rows: DataFrame, key: str, length: str) -> DataFrame:
     """Adds start, the sum of ``length`` over all rows with a smaller ``key``, without a window over the whole table.
 
-    Rows are ranged by key; partitions are summed on their own, and a running sum over the partitions' totals, one
-    row a partition, is added.
+    Rows are written in ranges of the key, once, so that totals and rows agree; ranges are summed on their own, and a running sum over their totals, one
+    row a range, is added.  Rows with the same key follow each other in the order of a hash of all columns.
     """
-    spark = rows.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, key).withColumn("__p", F.spark_partition_id())
-    inside = Window.partitionBy("__p").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranged.withColumn("__s", F.sum(length).over(inside))
-    totals = summed.groupBy("__p").agg(F.max("__s").alias("__t")).withColumnRenamed("__p", "__q")
-    before = totals.withColumn("__b", F.coalesce(F.sum("__t").over(Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__t")
-    return summed.join(F.broadcast(before), F.col("__p") == F.col("__q")).withColumn("start", F.col("__b") + F.col("__s") - F.col(length)).drop("__p", "__q", "__s", "__b")
+    tie = F.xxhash64(*rows.columns)
+    base = ranged(rows, [F.col(key)])
+    inside = Window.partitionBy("__p").orderBy(F.col(key), tie).rowsBetween(Window.unboundedPreceding, -1)
+    totals = base.groupBy("__p").agg(F.sum(length).alias("__t"))
+    before = totals.select("__p", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    summed = base.withColumn("__s", F.coalesce(F.sum(length).over(inside), F.lit(0)))
+    return summed.join(F.broadcast(before), "__p").select(*rows.columns, (F.col("__b") + F.col("__s")).alias("start"))
 
 
 def packed_rows(tokens: DataFrame, key: str, ids: str, width: int) -> DataFrame:
-    """Token lists laid end to end in the order of ``key`` and cut into rows of ``width``; the last, partial row goes."""
-    placed = offsets(tokens.withColumn("__n", F.size(ids).cast("long")), key, "__n")
-    flat = placed.select("start", F.posexplode(ids).alias("i", "id")).select(F.expr(f"(start + i) div {width}").alias("row"), F.expr(f"(start + i) % {width}").alias("at"), "id")
-    return flat.groupBy("row").agg(F.expr("transform(array_sort(collect_list(struct(at, id))), x -> x.id)").alias("ids")).where(F.size("ids") == width)
+    """Token lists laid end to end in the order of ``key`` and cut into rows of ``width``; the last, partial row goes.
+
+    A list is cut at the borders of the rows, and its slices move; nothing is as long as a token each.
+    """
+    placed = offsets(tokens.withColumn("__n", F.size(ids).cast("long")), key, "__n").where("__n > 0")
+    cut = placed.select("start", "__n", F.col(ids).alias("ids"), F.explode(F.expr(f"sequence(start div {width}, (start + __n - 1) div {width})")).alias("row"))
+    cut = cut.withColumn("first", F.expr(f"greatest(start, row * {width})"))
+    parts = cut.select("row", F.expr(f"first - row * {width}").alias("at"), F.expr(f"slice(ids, cast(first - start + 1 as int), cast(least(start + __n, (row + 1) * {width}) - first as int))").alias("part"))
+    return parts.groupBy("row").agg(F.flatten(F.expr("transform(array_sort(collect_list(struct(at, part))), x -> x.part)")).alias("ids")).where(F.size("ids") == width)
 
 
 def nearest_rank(rows: DataFrame, key: str, value: str, tie: str, percent: int = 95) -> DataFrame:
     """Per key the value at place floor(percent * n / 100), counted from 0 and at most n - 1."""
-    by = Window.partitionBy(key)
-    placed = rows.withColumn("__n", F.count("*").over(by)).withColumn("__r", F.row_number().over(by.orderBy(value, tie)) - 1)
-    return placed.where(F.expr(f"__r = least({percent} * __n div 100, __n - 1)")).select(key, F.col(value).alias(f"p{percent}"), F.col("__n").alias("n"))
+    placed = numbered(rows.select(*dict.fromkeys((key, value, tie))), [key], [F.col(value), F.col(tie)])
+    return placed.where(F.expr(f"__r - 1 = least({percent} * __n div 100, __n - 1)")).select(key, F.col(value).alias(f"p{percent}"), F.col("__n").alias("n"))
+
+
+def build_dataset(docs: DataFrame, accepted: Column, shares: dict[str, int], seed: str) -> DataFrame:
+    """A dataset from documents (doc_id, text): split, place and doc_id of each row.
+
+    Lines are cleaned, refused texts go, of equal texts that with the least id stays, splits are drawn by text, rows of a
+    split that another split's training part holds in another case go, and each split is shuffled.  ``shares`` gives each split but train its share in 1/1000.
+    """
+    clean = docs.select("doc_id", F.trim(F.col("text")).alias("text")).where(F.col("text") != "")
+    kept = clean.where(accepted).groupBy(F.sha2("text", 256).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.min(F.sha2(F.lower("text"), 256)).alias("low"))
+    part, at = F.lit("train"), draw(F.concat(F.lit(seed), F.col("k"))) % 1000
+    bound = sum(shares.values())
+    for name, share in reversed(shares.items()):
+        part = F.when(at < bound, name).otherwise(part)
+        bound -= share
+    rows = written(kept.select("doc_id", "low", part.alias("split")), "dataset")
+    train = rows.where("split = 'train'").select("low").distinct()
+    rows = rows.where("split = 'train'").unionByName(rows.where("split <> 'train'").join(train, "low", "left_anti"))
+    return numbered(rows.select("split", "doc_id"), ["split"], [draw(F.concat(F.lit(seed), F.col("doc_id").cast("string"))), F.col("doc_id")]).select("split", F.col("__r").alias("place"), "doc_id")
+
+
+def answered(prompts: DataFrame, ask) -> DataFrame:
+    """Adds answer to (prompt, seed): what the hook ``ask(prompt, seed)`` says, asked once for each distinct pair."""
+    keys = prompts.select("prompt", "seed").distinct()
+
+    def run(batches):
+        for batch in batches:
+            batch["answer"] = [ask(p, s) for p, s in zip(batch["prompt"], batch["seed"])]
+            yield batch
+
+    found = written(keys.mapInPandas(run, "prompt string, seed long, answer string"), "answers")
+    return prompts.join(found.withColumnsRenamed({"prompt": "__p", "seed": "__s"}), F.col("prompt").eqNullSafe(F.col("__p")) & F.col("seed").eqNullSafe(F.col("__s"))).drop("__p", "__s")

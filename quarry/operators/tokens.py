@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 #: A run of spaces at the end, spaces before the last one of a run, letters with a space before and an equals sign after, or any one byte.
 PRETOKEN = r"(?s) +\z| +(?= [^ ])| ?[A-Za-z]+=?| ?[^ ]"
 
+PIECE = re.compile(PRETOKEN.replace(r"\z", r"\Z"))
+
 
 def pretokens(text: Column) -> Column:
     """Pre-tokens of the UTF-8 bytes of a text, each byte as the Latin-1 letter of its number."""
@@ -52,17 +55,26 @@ def train_merges(pieces: DataFrame, n_merges: int) -> list[tuple[str, str, int]]
 
 
 class RankedMerges:
-    """Encodes pieces by repeatedly merging the adjacent pair of least rank, the leftmost first."""
+    """Encodes pieces by repeatedly merging the adjacent pair of least rank, the leftmost first.
+
+    Ids are the 256 bytes, the special tokens in their order, and then the merges.
+    """
 
-    def __init__(self, merges: list[tuple[str, str]]):
+    def __init__(self, merges: list[tuple[str, str]], specials: list[str] = ()):
         self.rank = {}
         for i, p in enumerate(merges):
             self.rank.setdefault(tuple(p), i)
         self.ids = {chr(i): i for i in range(256)}
+        self.specials = {s: 256 + i for i, s in enumerate(specials)}
         for a, b in merges:
-            self.ids.setdefault(a + b, len(self.ids))
+            if a + b not in self.ids:
+                self.ids[a + b] = len(self.ids) + len(self.specials)
+        self.names = {i: t.encode("latin-1") for t, i in self.ids.items()} | {i: s.encode() for s, i in self.specials.items()}
+        #: The longest special token that starts at a place wins.
+        self.split = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
 
     def encode(self, piece: str) -> list[int]:
+        """Ids of one piece, whose letters stand for bytes."""
         s = list(piece)
         while len(s) > 1:
             k, i = min((self.rank.get((s[i], s[i + 1]), 1 << 60), i) for i in range(len(s) - 1))
@@ -71,32 +83,39 @@ class RankedMerges:
             s[i : i + 2] = [s[i] + s[i + 1]]
         return [self.ids[x] for x in s]
 
+    def plain(self, text: str) -> list[int]:
+        """Ids of a text without regard to special tokens."""
+        letters = text.encode("utf-8", "replace").decode("latin-1")
+        return [i for piece in PIECE.findall(letters) for i in self.encode(piece)]
+
+    def encode_text(self, text: str) -> list[int]:
+        """Ids of a text in which special tokens stand for themselves."""
+        if not self.split:
+            return self.plain(text)
+        out, at = [], 0
+        for m in self.split.finditer(text):
+            out += [*self.plain(text[at : m.start()]), self.specials[m[0]]]
+            at = m.end()
+        return out + self.plain(text[at:])
+
     def decode(self, ids: list[int]) -> str:
         """UTF-8 with replacement characters for bytes that are none."""
-        names = {i: t for t, i in self.ids.items()}
-        return "".join(names[i] for i in ids).encode("latin-1").decode("utf-8", "replace")
+        return b"".join(self.names[i] for i in ids).decode("utf-8", "replace")
 
 
-def encode_documents(docs: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """doc_id and ids.  Distinct pieces are encoded once in each task."""
+def encode_documents(docs: DataFrame, merges: list[tuple[str, str]], specials: list[str] = ()) -> DataFrame:
+    """doc_id and ids.  Texts are parted at special tokens, the longest first; distinct pieces are encoded once in each task."""
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder, known = RankedMerges(merges), {}
-        for pieces in batches:
-            out = []
-            for row in pieces:
-                ids = []
-                for p in row:
-                    if p not in known:
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[p] = coder.encode(p)
-                    ids += known[p]
-                out.append(ids)
-            yield pd.Series(out)
-
-    return docs.select("doc_id", encode(pretokens(F.coalesce("text", F.lit("")))).alias("ids"))
+        coder, known = RankedMerges(merges, specials), {}
+        coder.encode = lambda piece, fresh=coder.encode: known[piece] if piece in known else known.setdefault(piece, fresh(piece))
+        for texts in batches:
+            if len(known) > 200_000:
+                known.clear()
+            yield texts.map(coder.encode_text)
+
+    return docs.select("doc_id", encode(F.coalesce("text", F.lit(""))).alias("ids"))
 
 
 class ScoredPieces:

@@ -14,7 +14,7 @@ RATE = "round(avg(case when {} then 1.0E0 else 0.0E0 end), 4) as {}"
 ACTION, PREDICTED = "nullif(replace(coalesce(action, ''), ' diag=x', ''), '')", "predicted_action"
 METRICS = [
     ("action is not distinct from predicted_action", "action_exact"), (f"{ACTION} is not distinct from {PREDICTED}", "actuator_exact"), ("expected = predicted and not malformed", "reply_exact"), ("expected = predicted", "fallback_correct"),
-    ("size(filter(regexp_extract_all(text, '[0-9]+', 0), n -> instr(substr(text, 1, 200), n) = 0)) = 0", "numbers_grounded"), ("malformed", "malformed"), ("action is null and predicted_action is not null", "hallucinated_action"),
+    ("size(filter(regexp_extract_all(text, '[0-9]+', 0), n -> instr(replace(text, '7', ''), n) = 0)) = 0", "numbers_grounded"), ("malformed", "malformed"), ("action is null and predicted_action is not null", "hallucinated_action"),
     ("predicted_action is not null and not malformed and doc_id % 13 = 0", "rejected"), ("length(text) >= 3000", "length_violation"), ("action is null", "no_action"),
 ]
 RATES = ", ".join(RATE.format(f"coalesce({c}, false)", n) for c, n in METRICS)

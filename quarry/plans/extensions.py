@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import corpus
 from .dialect import add, pair, table
 
 add("ext_rollup_lineitem", "select l_returnflag, l_linestatus, count(*) as n, round(sum(l_extendedprice), 2) as total from lineitem group by rollup (l_returnflag, l_linestatus)")
-add("ext_rank_orders", "select o_orderkey, rank() over (partition by o_orderpriority order by o_totalprice desc) as r, dense_rank() over (partition by o_orderpriority order by o_totalprice desc) as dr, ntile(4) over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as q from orders")
+
+
+def ranked_orders(spark, sf_dir: str):
+    """rank, dense_rank and ntile(4) by price within a priority; a priority has a fifth of all rows, so places come from ranges."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    dear = F.col("o_totalprice").desc()
+    rows = corpus.numbered(orders, ["o_orderpriority"], [dear, F.col("o_orderkey")])
+    prices = rows.groupBy("o_orderpriority", "o_totalprice").agg(F.min("__r").alias("r"))
+    prices = corpus.numbered(prices, ["o_orderpriority"], [dear]).withColumnRenamed("__r", "dr").drop("__n")
+    quarter = "case when __r - 1 < (__n % 4) * (__n div 4 + 1) then (__r - 1) div (__n div 4 + 1) else __n % 4 + (__r - 1 - (__n % 4) * (__n div 4 + 1)) div greatest(__n div 4, 1) end + 1"
+    return rows.join(prices, ["o_orderpriority", "o_totalprice"]).select("o_orderkey", "r", "dr", F.expr(quarter).alias("q"))
+
+
+pair("ext_rank_orders", ranked_orders, "select o_orderkey, rank() over (partition by o_orderpriority order by o_totalprice desc) as r, dense_rank() over (partition by o_orderpriority order by o_totalprice desc) as dr, ntile(4) over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as q from orders")
 add("ext_except_all", "select l_returnflag as f from lineitem where l_linenumber <= 2 except all select l_returnflag from lineitem where l_linenumber = 2")
 add("ext_date_trunc", "select date_trunc('month', o_orderdate) as month, count(*) as n from orders group by 1")
 add("ext_tumbling", "select floor(@epoch_us(ts) / 3600000000) as hour, event_type, count(*) as n from events group by 1, 2".replace("floor(@epoch_us(ts) / 3600000000)", "@epoch_us(ts) div 3600000000"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .dialect import add
+from pyspark.sql import functions as F
+
+from ..operators import corpus
+from .dialect import add, pair
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Tags of a document, drawn from its id.
@@ -14,8 +17,8 @@ add("set_except", f"select doc_id, array_join(array_sort(@without(tags, array('s
 add("set_subset", f"select doc_id, size(@without(array('safety', 'device'), tags)) = 0 as has_all from {TAGGED} d")
 add("prj_optional_field", f"select doc_id, case when size(tags) > 1 then @json('id', doc_id, 'tags', array_sort(tags), 'allowed', lang) else @json('id', doc_id, 'tags', array_sort(tags)) end as record from {TAGGED} d")
 
-# rejection sampling: candidates are drawn from a longer range, the first 500 accepted ones stay; fewer raise in operators.corpus.reject_sample
-add("flt_reject_sample", "select id, place from (select id, row_number() over (order by id) as place from (select explode(sequence(1, 4000)) as id) r where @draw(concat('reject|', cast(id as string))) % 4 = 0) a where place <= 500")
+# rejection sampling: candidates are drawn from a longer range, the first 500 accepted ones stay; fewer raise
+pair("flt_reject_sample", lambda s, d: corpus.numbered(corpus.reject_sample(s.range(1, 4001), corpus.draw(F.concat(F.lit("reject|"), F.col("id").cast("string"))) % 4 == 0, 500, F.col("id")), [], [F.col("id")]).select("id", F.col("__r").alias("place")), "select id, place from (select id, row_number() over (order by id) as place from (select explode(sequence(1, 4000)) as id) r where @draw(concat('reject|', cast(id as string))) % 4 = 0) a where place <= 500")
 
 WORDS = "size(@words(text))"
 TURN = f"(select conv_id, turn, role, text, translate(text, '{UP}', '{LOW}') as low, {WORDS} as n from conversations)"
@@ -25,9 +28,9 @@ add("flt_semantic_accept", f"select conv_id, turn, n from {TURN} t where {ACCEPT
 add("agg_accept_stats", f"select role, count(*) as asked, count_if({ACCEPT}) as accepted, count_if(not ({ACCEPT})) as rejected from {TURN} t group by role")
 add("flt_line_accept", f"select conv_id, turn from {TURN} t where n between 3 and 22 and regexp_like(low, '^[a-z ,.?!'' -]+$') and not arrays_overlap(@words(low), array('idiot', 'trash'))")
 #: Held-out frames of our own: <d> is any device, <n> any number.
-FRAMES = "select 1 as id, 'the <d> and' as frame union all select 2, '<n>' union all select 3, 'from the <d>'"
-PATTERN = "concat('(^|[^a-z])', replace(replace(frame, '<d>', '(light|fan|anea|thnd|and|of)'), '<n>', '[0-9]+'), '([^a-z]|$)')"
-add("flt_heldout_pattern", f"with patterns as (select id, {PATTERN} as p from ({FRAMES}) f) select conv_id, turn, min(id) as frame from {TURN} t join patterns on regexp_like(low, p) group by conv_id, turn")
+FRAMES = {1: "the <d> and", 2: "<n>", 3: "from the <d>"}
+FOUND = " ".join("when regexp_like(low, '(^|[^a-z])" + f.replace("<d>", "(light|fan|anea|thnd|and|of)").replace("<n>", "[0-9]+") + f"([^a-z]|$)') then {i}" for i, f in FRAMES.items())
+add("flt_heldout_pattern", f"select conv_id, turn, frame from (select conv_id, turn, case {FOUND} end as frame from {TURN} t) f where frame is not null")
 add("flt_ctx_fit", "select conv_id, sum_n, keep from (select conv_id, cast(sum(size(split(text, ' '))) as bigint) as sum_n, sum(size(split(text, ' '))) <= 120 as keep from conversations group by conv_id) c where keep")
 add("prj_fallback", "select doc_id, case when startswith(marked, '<fb:') then regexp_extract(marked, '^<fb:([a-z]+)>', 1) end as fallback, trim(regexp_replace(marked, '^<fb:[a-z]+>', '')) as reply_start from (select doc_id, case when doc_id % 4 = 0 then concat('<fb:unsure> ', substr(replace(text, chr(10), ' '), 1, 20)) else substr(replace(text, chr(10), ' '), 1, 20) end as marked from documents) m")
 COMMAND = "case event_id % 7 when 0 then '/reset' when 1 then '/set t=3' when 2 then '/seed 12' when 3 then '/temp 0.7' when 4 then 'hello' when 5 then '/resets' else '/tokenize x y' end"

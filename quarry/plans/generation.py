@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from .dialect import add
+from pyspark.sql import functions as F
+
+from ..operators import corpus
+from .dialect import add, pair, table
 
 IDS = "(select explode(sequence(1, 3000)) as id)"
 #: Weights of history lengths in percent, and sizes and seeds of the splits.
@@ -18,3 +21,15 @@ add("gen_frame_split", "select ord, frame from (select 1 as ord, 'put the <d> on
 add("gen_synthetic_fact", f"select id, case when @draw(concat('f|', cast(id as string))) % 10 < 3 then concat('the code of room ', cast(id % 90 as string), ' is ', cast(@draw(concat('c|', cast(id as string))) % 1000 as string)) else array_join(transform(sequence(1, 6), i -> element_at(array('oak', 'tin', 'map', 'fog', 'rug'), cast(1 + @draw(concat('w|', cast(id as string), '|', cast(i as string))) % 5 as int))), ' ') end as fact from {IDS} r")
 add("gen_smalltalk", "with bank as (select role, md5(text) as line, row_number() over (partition by role order by md5(text), conv_id, turn) - 1 as r, count(*) over (partition by role) as n from conversations) select b.role, t.id, b.line from (select explode(sequence(1, 200)) as id) t join bank b on b.r = @draw(concat('talk|', cast(t.id as string))) % b.n")
 add("gen_split_sizes", " union all ".join(f"select '{n}' as split, {s} as seed, cast(greatest(4, floor({k} * 0.01E0)) as bigint) as n" for n, k, s in SPLITS))
+
+
+def dataset(spark, sf_dir: str):
+    """Documents to a dataset: cleaned, accepted, without repeats or leaks, split and shuffled."""
+    accepted = F.size(F.split("text", " ")).between(10, 600)
+    return corpus.build_dataset(table(spark, sf_dir, "documents"), accepted, {"val": 50, "test": 100}, "build|")
+
+
+pair("gen_dataset_build", dataset, """with kept as (select k, min(doc_id) as doc_id, min(low) as low from (select doc_id, sha256(t) as k, sha256(lower(t)) as low from (select doc_id, trim(text, ' ') as t from documents) d where t <> '' and len(string_split(t, ' ')) between 10 and 600) e group by k),
+  parts as (select doc_id, low, case when @draw(concat('build|', k)) % 1000 < 50 then 'val' when @draw(concat('build|', k)) % 1000 < 150 then 'test' else 'train' end as split from kept)
+  select split, row_number() over (partition by split order by @draw(concat('build|', cast(doc_id as string))), doc_id) as place, doc_id from parts p where split = 'train' or not exists (select 1 from parts t where t.split = 'train' and t.low = p.low)""")
+pair("udf_text_source", lambda s, d: corpus.answered(table(s, d, "documents").selectExpr("doc_id", "lang as prompt", "doc_id % 5 as seed"), lambda prompt, seed: f"{prompt}:{seed * seed}").select("doc_id", "answer"), "select doc_id, coalesce(lang, 'None') || ':' || ((doc_id % 5) * (doc_id % 5)) as answer from documents")

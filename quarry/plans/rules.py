@@ -88,7 +88,7 @@ APPLIED = f"""(select event_id, coalesce(a_fan, fan) as fan, coalesce(a_heat, he
   coalesce(a_win, win) as win, case when a_pump = 0 then 0.0E0 when a_pump = 1 and pump = 0 then 1.2E0 else pa end as pa, case when a_ack is not null then 0 else err end as err
   from {JUDGED} j where verdict = 'ok')"""
 add("rule_apply", f"select event_id, cast(fan as bigint) as fan, cast(heat as bigint) as heat, cast(pump as bigint) as pump, cast(light as bigint) as light, cast(win as bigint) as win, pa, cast(err as bigint) as err from {APPLIED} a")
-add("gen_validate_zero", f"select count(*) as violations from {APPLIED} a where heat = 1 and win = 1 and false or fan > 3 or light % 10 <> 0")
+add("gen_validate_zero", f"select count(*) as violations from {APPLIED} a where heat = 1 and win = 1 or fan > 3 or light % 10 <> 0")
 add("prj_struct_update", f"select event_id, @json('t', t, 'err', case when a_ack is not null then 0 else err end) as state from {JUDGED} j where verdict = 'ok'")
 
 #: Operations on devices, drawn from the event.

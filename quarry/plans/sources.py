@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import struct
 import uuid
 
 from pyspark.sql import functions as F
 
-from ..sources import shared
+from ..sources import model_blob, shared, tokenizer_blob
 from .dialect import add, pair, table
 from .rules import STATE
 
@@ -69,10 +71,109 @@ def jsonl_split(spark, sf_dir: str):
 pair("sink_jsonl_split", jsonl_split, "select case when doc_id % 10 = 0 then 'val' else 'train' end as split, lang, count(*) as n from documents group by 1, 2")
 
 
-def run_files(spark, sf_dir: str):
-    """Names without their ending, and sizes, of the table files in a folder."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(sf_dir)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("run"), "length")
+def run_results(spark, sf_dir: str):
+    """Result files of runs, a file a language, written with files of other names beside them, and read back by name."""
+    folder = shared.path_for(spark, "runs")
+    runs = table(spark, sf_dir, "documents").where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
+    for run in runs.limit(100).collect():  # as many files as there are languages
+        for name in (f"e-{run['lang']}.json", f"e-{run['lang']}.model.json", f"notes-{run['lang']}.json"):
+            shared.write_file(spark, f"{folder}/{name}", json.dumps({"rows": run["n"], "suites": {"all": {"sources": run["sources"]}}}).encode())
+    return scan_runs(spark, folder).select("run", F.get_json_object("content", "$.rows").cast("long").alias("n"), F.get_json_object("content", "$.suites.all.sources").cast("long").alias("sources"))
 
 
-pair("src_run_files", run_files)
+def scan_runs(spark, folder: str, skip: str = ".model.json"):
+    """run, the name without its ending, and content of the files ``e*.json`` in a folder, but for those that end in ``skip``, in the order of their names."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "e*.json").load(folder).where(~F.endswith("path", F.lit(skip)))
+    return files.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("run"), F.decode("content", "UTF-8").alias("content")).orderBy("run")
+
+
+pair("src_run_files", run_results, "select 'e-' || lang as run, count(*) as n, count(distinct source) as sources from documents where lang is not null group by lang")
+
+
+def tensors(spark, sf_dir: str):
+    """The vectors of each label as a tensor, stored by the label's remainder."""
+    return table(spark, sf_dir, "embeddings").selectExpr("'m' || cast(label % 2 as string) as model", "'label' || cast(label as string) as name", "cast(label % 3 as int) as dtype", "cast(row_number() over (partition by label order by vec_id) as int) as row", "embedding as values")
+
+
+def model_scan(spark, sf_dir: str):
+    """Model files, written and read: rows, width and largest magnitude of each tensor."""
+    folder = shared.path_for(spark, "model-files")
+    model_blob.write(tensors(spark, sf_dir), folder)
+    stats = ["count(*) as n_rows", "cast(max(size(values)) as bigint) as width", "round(max(array_max(transform(values, v -> abs(cast(v as double))))), 3) as absmax"]
+    return model_blob.scan(spark, folder).groupBy("name", "dtype").agg(*map(F.expr, stats))
+
+
+def model_sink(spark, sf_dir: str):
+    """What the model files' headers and tables say: tokenizer bytes, tensors and bytes by type, after every check."""
+    folder = shared.path_for(spark, "model-files")
+    model_blob.write(tensors(spark, sf_dir), folder, tokenizer_blob.dump_merges(["<s>"], [(104, 101), (257, 32)]))
+
+    def read(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for path, blob in zip(batch["path"], batch["content"]):
+                held, table_ = model_blob.check(bytes(blob))
+                version, specials, merges = tokenizer_blob.load(held)
+                for entry in table_:
+                    yield pd.DataFrame({"model": [path.rsplit("/", 1)[1][:-5]], "merges": [len(merges)], "dtype": [int(entry["dtype"])], "bytes": [int(entry["bytes"])]})
+
+    found = model_blob.files(spark, folder).select("path", "content").mapInPandas(read, "model string, merges long, dtype int, bytes long")
+    return found.groupBy("model", "dtype").agg(F.max("merges").alias("merges"), F.count("*").alias("tensors"), F.sum("bytes").alias("bytes"))
+
+
+pair("src_model_scan", model_scan, "select 'label' || label as name, (label % 3)::INTEGER as dtype, count(*) as n_rows, max(len(embedding)) as width, round(max(list_max(list_transform(embedding, lambda v: abs(v::DOUBLE)))), 3) as absmax from embeddings group by label")
+pair("sink_model", model_sink, "select 'm' || label % 2 as model, (label % 3)::INTEGER as dtype, 2::BIGINT as merges, count(distinct label) as tensors, sum(len(embedding) * case label % 3 when 0 then 4 when 1 then 1 else 0 end + case label % 3 when 1 then 4 when 2 then len(embedding) // 32 * 18 else 0 end)::BIGINT as bytes from embeddings group by 1, 2")
+
+
+def tokenizer_rows(spark, sf_dir: str):
+    """Both versions of a tokenizer file of the corpus' most frequent words, packed by one task, unpacked by another."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+    top = words.orderBy(F.desc("n"), "w").limit(64).select("w", "n")  # the feature is a vocabulary of a stated size
+
+    def pack(batches):
+        import pandas as pd
+
+        rows = pd.concat(list(batches)) if batches else pd.DataFrame()
+        rows = rows.sort_values(["n", "w"], ascending=[False, True])
+        yield pd.DataFrame({"blob": [tokenizer_blob.dump_pieces([(w.encode(), -float(i)) for i, w in enumerate(rows["w"])]), tokenizer_blob.dump_merges(list(rows["w"][:3]), [(i, i + 1) for i in range(len(rows))])]})
+
+    def unpack(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for blob in batch["blob"]:
+                version, specials, rows = tokenizer_blob.load(bytes(blob))
+                for i, (a, b) in enumerate(rows):
+                    yield pd.DataFrame({"version": [version], "id": [i], "piece": [a.decode() if version == 2 else ""], "a": [0 if version == 2 else a], "score": [float(b)]})
+
+    return top.coalesce(1).mapInPandas(pack, "blob binary").mapInPandas(unpack, "version long, id long, piece string, a long, score double")
+
+
+TOP = "(select w, row_number() over (order by n desc, w) - 1 as i from (select w, count(*) as n from (select unnest(string_split(text, ' ')) as w from documents) d where w <> '' group by w order by n desc, w limit 64) t)"
+pair("src_tokenizer_blob", tokenizer_rows, f"select 2::BIGINT as version, i as id, w as piece, 0::BIGINT as a, -i::DOUBLE as score from {TOP} union all select 1, i, '', i, (i + 1)::DOUBLE from {TOP}")
+
+
+def checkpoint(spark, sf_dir: str):
+    """A flat checkpoint made of the vectors, imported again: the tensors' names, shapes and sums."""
+    folder, (d, hidden, layers, heads, kv, vocab) = shared.path_for(spark, "checkpoint"), (8, 16, 2, 4, 2, 10)
+    size = vocab * d + layers * (2 * d + 2 * d * d + 2 * d * d // 2 + 3 * d * hidden) + d
+    numbers = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(-(-size // 64)).select("embedding").collect()  # a checkpoint of this size has so many numbers
+    flat = [v for r in numbers for v in r["embedding"]][:size]
+    shared.write_file(spark, f"{folder}/m.bin", struct.pack("<7i", d, hidden, layers, heads, kv, vocab, 32) + struct.pack(f"<{size}f", *flat))
+
+    def read(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for blob in batch["content"]:
+                for name, x in tokenizer_blob.load_checkpoint(bytes(blob))[1].items():
+                    yield pd.DataFrame({"tensor": [name], "n": [x.size], "total": [round(float(x.astype("f8").sum()), 4)]})
+
+    return spark.read.format("binaryFile").load(folder).select("content").mapInPandas(read, "tensor string, n long, total double")
+
+
+SHAPES = [("embed", 80), *((f"{i}.{name}", n) for name, n in (("norm1", 8), ("q", 64), ("k", 32), ("v", 32), ("o", 64), ("norm2", 8), ("gate", 128), ("down", 128), ("up", 128)) for i in (0, 1)), ("norm", 8)]
+FLAT = "(select row_number() over (order by vec_id, j) as pos, v from (select vec_id, generate_subscripts(embedding, 1) as j, unnest(embedding)::DOUBLE as v from embeddings where vec_id < 100) e)"
+BOUNDS = ", ".join(f"('{name}', {1 + sum(m for _, m in SHAPES[:i])}, {sum(m for _, m in SHAPES[:i + 1])})" for i, (name, n) in enumerate(SHAPES))
+pair("src_checkpoint_import", checkpoint, f"select tensor, count(*) as n, round(sum(v), 4) as total from {FLAT} f join (values {BOUNDS}) s(tensor, low, high) on pos between low and high group by tensor")

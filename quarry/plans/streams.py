@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..sources import shared
@@ -14,7 +12,7 @@ LINE = "case event_id % 9 when 0 then 'fan=2' when 1 then 'HEAT=1' when 2 then '
 
 
 def folder(spark) -> str:
-    return f"{shared.root(spark)}/stream-{uuid.uuid4().hex}"
+    return shared.path_for(spark, "stream")
 
 
 def source(spark, sf_dir: str):
@@ -23,11 +21,15 @@ def source(spark, sf_dir: str):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
 
 
-def event_counts(spark, sf_dir: str):
-    """Counts of finished hours, late rows beyond the watermark dropped by the engine."""
-    lines = source(spark, sf_dir).select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    found = sessions.run_available(lines.withWatermark("ts", "1 hour").select("event_id", "event_type"), folder(spark))
-    return found.groupBy("event_type").agg(F.count("*").alias("n"))
+def timed(spark, sf_dir: str):
+    return source(spark, sf_dir).select("event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
+
+
+def finished_hours(spark, sf_dir: str):
+    """Counts by hour and type of the hours that the watermark, an hour behind the latest event, has passed; the others are still open."""
+    counts = timed(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    found = sessions.run_available(counts.select(F.unix_micros("w.start").alias("hour_us"), "event_type", "n"), folder(spark))
+    return found
 
 
 def session_events(spark, sf_dir: str):
@@ -35,6 +37,28 @@ def session_events(spark, sf_dir: str):
     return sessions.run_available(sessions.stream(lines), folder(spark))
 
 
-pair("stream_events_batchsim", event_counts, "select event_type, count(*) as n from events group by event_type")
-# the state after each line, folded in order by a recursive list reduction over what each line does
-pair("stream_session_state", session_events)
+def waits(spark, sf_dir: str):
+    """For each user the first purchase within six hours of the first event, or the deadline."""
+    found = sessions.wait_until(timed(spark, sf_dir), F.col("user_id"), F.col("event_type") == "purchase", WAIT)
+    return sessions.run_available(found, folder(spark))
+
+
+WAIT = 6 * 3600
+pair("stream_events_batchsim", finished_hours, "select @epoch_us(hour) as hour_us, event_type, n from (select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by 1, 2) e where hour + interval 1 hour <= (select max(ts) - interval 1 hour from events)")
+pair("stream_wait_until", waits, f"""select session, case when hit is null then deadline else hit end as at_us, case when hit is not null then event_id end as event_id, hit is null as timed_out
+  from (select user_id as session, min(@epoch_us(ts)) + {WAIT * 10**6} as deadline from events group by 1) d
+  left join (select user_id, us as hit, event_id from (select e.user_id, @epoch_us(e.ts) as us, event_id, row_number() over (partition by e.user_id order by e.ts, event_id) as r from events e
+    join (select user_id, min(@epoch_us(ts)) + {WAIT * 10**6} as deadline from events group by 1) b on e.user_id = b.user_id where event_type = 'purchase' and @epoch_us(e.ts) <= deadline) p where r = 1) h on h.user_id = d.session
+  where deadline // 1000 + 1 <= (select max(@epoch_us(ts)) // 1000 from events)""")
+# the fold of each session's lines, one line of all sessions a round
+SET = "substr(low, 1, instr(low, '=') - 1)"
+pair("stream_session_state", session_events, f"""with recursive lines as (select user_id % 50 as session, event_id as seq, lower(trim({LINE}, ' ')) as low, row_number() over (partition by user_id % 50 order by event_id) as r from events),
+  fold as (select session, 0::BIGINT as r, 0::BIGINT as seq, '' as event, 0 as fan, 0 as heat, 0 as win, []::BIGINT[] as history from (select distinct user_id % 50 as session from events) s
+  union all select session, r, seq, event, case when event = 'reset' then 0 when event = 'ok' and low like 'fan=%' then value else fan end,
+    case when event = 'reset' then 0 when event = 'ok' and low like 'heat=%' then value else heat end, case when event = 'reset' then 0 when event = 'ok' and low like 'win=%' then value else win end,
+    case when event in ('reset', 'forgotten') then [] when event in ('rejected', 'unknown') then history else list_filter(list_append(history, strlen(low)), lambda x, i: len(history) + 2 - i <= {sessions.TURNS} and list_sum(list_append(history, strlen(low))[i:]) <= {sessions.BYTES}) end
+  from (select f.session, l.r, l.seq, l.low, fan, heat, win, history, coalesce(try_cast(split_part(low, '=', 2) as integer), 0) as value,
+    case when low = '' then 'rejected' when low = '/reset' then 'reset' when low = '/kv-reset' then 'forgotten' when low like '/%' then 'unknown' when not regexp_matches(low, '^(fan=[0-3]|heat=[01]|win=[01])$') then 'chat'
+      when low = 'heat=1' and win = 1 or low = 'win=1' and heat = 1 or low = 'heat=0' and false then 'heater_window' else 'ok' end as event
+    from fold f join lines l on l.session = f.session and l.r = f.r + 1) x)
+  select session, seq, event, fan, heat, win, len(history)::INTEGER as kept, coalesce(list_sum(history), 0)::INTEGER as bytes from fold where r > 0""".replace(" or low = 'heat=0' and false", ""))

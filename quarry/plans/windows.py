@@ -26,7 +26,7 @@ def within(spark, sf_dir: str):
 
 
 pair("win_budget_stop", within, f"select doc_id, n from (select doc_id, {N} as n, sum({N}) over (order by doc_id rows unbounded preceding) as s from documents) d where s - n < 100000")
-add("win_head_split", "select lang, doc_id, case when r <= greatest(1, n div 50) then 'val' else 'train' end as part from (select lang, doc_id, row_number() over (partition by lang order by doc_id) as r, count(*) over (partition by lang) as n from documents) d")
+pair("win_head_split", lambda s, d: corpus.numbered(table(s, d, "documents").select("lang", "doc_id"), ["lang"], [F.col("doc_id")]).select("lang", "doc_id", F.expr("case when __r <= greatest(1, __n div 50) then 'val' else 'train' end").alias("part")), "select lang, doc_id, case when r <= greatest(1, n div 50) then 'val' else 'train' end as part from (select lang, doc_id, row_number() over (partition by lang order by doc_id) as r, count(*) over (partition by lang) as n from documents) d")
 pair("win_holdout_split", lambda s, d: corpus.holdout_split(table(s, d, "documents").select("doc_id", "lang", "source"), ["lang", "source"], corpus.draw(F.concat(F.lit("split|"), F.col("doc_id").cast("string"))), "doc_id"), "select doc_id, lang, source, case when r <= case when n >= 3 then greatest(1, n div 5) else 0 end then 'test' else 'train' end as part from (select doc_id, lang, source, count(*) over (partition by lang, source) as n, row_number() over (partition by lang, source order by @draw(concat('split|', cast(doc_id as string))), doc_id) as r from documents) d")
 LOSS = "(select event_type as run, row_number() over (partition by event_type order by event_id) as step, value as loss from events)"
 add("win_early_stop", f"""select run, min(step) as stopped from (select run, step, sum(1 - improved) over (partition by run, era order by step) as stale from (select run, step, improved, sum(improved) over (partition by run order by step) as era
@@ -38,7 +38,7 @@ add("win_rank", "select a, row_number() over (order by n desc, a) - 1 as merge_r
 # the last value that is not null of each field, as the turns change it
 add("win_state_fold", """select user_id, event_id, @last_known(case when event_type = 'view' then event_id % 4 end) over w as fan, @last_known(case when event_type = 'click' then event_id % 2 end) over w as heat
   from events window w as (partition by user_id order by event_id rows between unbounded preceding and current row)""")
-add("ord_seeded_shuffle", "select doc_id, row_number() over (partition by lang order by md5(concat('seed|', cast(doc_id as string)))) as place from documents")
+pair("ord_seeded_shuffle", lambda s, d: corpus.numbered(table(s, d, "documents").select("lang", "doc_id"), ["lang"], [F.md5(F.concat(F.lit("seed|"), F.col("doc_id").cast("string")))]).select("doc_id", F.col("__r").alias("place")), "select doc_id, row_number() over (partition by lang order by md5(concat('seed|', cast(doc_id as string)))) as place from documents")
 add("ord_sample_k", "select doc_id from documents order by md5(concat('sample|', cast(doc_id as string))), doc_id limit 100")
 add("ord_limit_per_group", "select source, doc_id from (select source, doc_id, row_number() over (partition by source order by doc_id) as r from documents) d where r <= 5")
 V = "transform(embedding, v -> cast(v as double))"

@@ -91,6 +91,84 @@ def test_merges_and_round_trip(spark):
     assert {r.doc_id: r.ids for r in tokens.encode_documents(docs, [("t", "h"), ("th", "e")]).collect()} == {1: [257, 32, 257], 2: []}
 
 
+def test_special_tokens_match_longest_first(spark):
+    coder = tokens.RankedMerges([("a", "b")], ["<s>", "<s><end", "<end"])
+    assert coder.encode_text("ab<s><end<s>é<end") == [259, 257, 256, 0xC3, 0xA9, 258]
+    assert coder.plain("<s>") == [60, 115, 62] and coder.encode_text("") == []
+    r = random.Random(2)
+    for _ in range(200):
+        text = "".join(r.choice(["ab", " ", "é", "<s>", "<end", "<", "s>"]) for _ in range(9))
+        assert coder.decode(coder.encode_text(text)) == text and coder.decode(coder.plain(text)) == text
+    docs = spark.createDataFrame([(1, "<s>ab<s><end"), (2, None)], "doc_id long, text string")
+    assert {x.doc_id: x.ids for x in tokens.encode_documents(docs, [("a", "b")], ["<s>", "<s><end", "<end"]).collect()} == {1: [256, 259, 257], 2: []}
+
+
+def test_history_evicts_the_oldest():
+    history = ()
+    for size in (90, 3, 3, 4):
+        history = sessions.remembered(history, size)
+    assert history == (3, 3, 4)
+    for _ in range(30):
+        history = sessions.remembered(history, 1)
+    assert len(history) == sessions.TURNS
+    assert sessions.remembered((1,), sessions.BYTES + 1) == ()
+
+
+def test_transport_waits_for_a_predicate_or_a_deadline():
+    from quarry.streaming import transport
+
+    now = [0.0]
+    time = {"clock": lambda: now[0], "pause": lambda s: now.__setitem__(0, now[0] + s)}
+    events = list(transport.run_cases(transport.InProcess(), ["fan=2", "heat=1", "win=1", "/reset"], **time))
+    assert [e["event"] for e in events] == ["ok", "ok", "heater_window", "reset"] and events[1]["fan"] == 2
+
+    class Silent:
+        def send(self, line):
+            pass
+
+        def poll(self):
+            return None
+
+    assert transport.read_until(Silent(), lambda e: True, 2, **time) == ([], False) and now[0] >= 2
+    with pytest.raises(TimeoutError):
+        list(transport.run_cases(Silent(), ["x"], **time))
+    quick = transport.InProcess()
+    quick.send("hi")
+    assert transport.read_until(quick, lambda e: e["event"] == "chat", 1, **time)[1]
+
+
+def test_places_come_from_ranges(spark):
+    r = random.Random(6)
+    rows = [(r.choice(["a", "a", "a", "b", None]), i, r.randrange(50)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, i int, v int")
+    found = {x.i: (x["__r"], x["__n"]) for x in corpus.numbered(df, ["k"], [F.col("v").desc(), F.col("i")]).collect()}
+    for k in ("a", "b", None):
+        mine = sorted((x for x in rows if x[0] == k), key=lambda x: (-x[2], x[1]))
+        assert all(found[x[1]] == (p, len(mine)) for p, x in enumerate(mine, 1))
+    assert corpus.numbered(df.limit(0), ["k"], [F.col("i")]).count() == 0
+
+
+def test_datasets_have_no_leaks(spark):
+    docs = spark.createDataFrame([(i, f"  words of text {i // 2} and more" if i % 3 else f"WORDS of text {i // 2} and more") for i in range(600)] + [(900, None), (901, " ")], "doc_id long, text string")
+    found = corpus.build_dataset(docs, F.lit(True), {"val": 200, "test": 300}, "s|").collect()
+    text = {r.doc_id: r.text.strip().lower() for r in docs.collect() if r.text}
+    train = {text[r.doc_id] for r in found if r.split == "train"}
+    assert train and {r.split for r in found} == {"train", "val", "test"} and not any(text[r.doc_id] in train for r in found if r.split != "train")
+    for split in ("train", "val", "test"):
+        places = sorted(r.place for r in found if r.split == split)
+        assert places == list(range(1, len(places) + 1))
+
+
+@pytest.mark.parametrize("name", ["ord_frontier_first", "join_piece_id", "win_holdout_split", "win_head_split", "ord_seeded_shuffle", "agg_p95_nearest", "ext_rank_orders", "win_pack_rows", "win_budget_stop", "join_pareto", "gen_dataset_build"])
+def test_plans_have_no_pairs_and_no_single_task(spark, name):
+    """No nested loop; and only tables of one row a range go to one task."""
+    from quarry import registry
+
+    plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+    assert plan.count("Exchange SinglePartition") <= 1 or name in ("join_pareto", "ord_frontier_first")
+
+
 def test_scored_pieces():
     pieces = [("<unk>", 0.0), ("<s>", 0.0), ("</s>", 0.0), *[(f"<0x{b:02X}>", 0.0) for b in range(256)], (" ", -9.0), ("a", -9.0), ("b", -9.0), (" a", -2.0), ("ab", -1.0), (" ab", -3.0)]
     coder = tokens.ScoredPieces(pieces)
@@ -107,8 +185,12 @@ def test_model_file(spark, tmp_path):
     assert np.abs(loaded["q"][1] - x).max() < 0.02 and np.abs(loaded["n"][1] - x).max() < 0.3
     (tmp_path / "m.qmod").write_bytes(blob)
     assert model_blob.scan(spark, str(tmp_path)).count() == 16
-    fix = lambda b: b[:12] + struct.pack("<I", zlib.crc32(b[16:])) + b[16:]
-    for bad, why in [(b"", "size"), (b"X" + blob[1:], "magic"), (blob[:4] + b"\2" + blob[5:], "version"), (blob[:-1] + b"!", "checksum"), (fix(blob[:20]), "table"), (fix(blob[:48] + b"\7" + blob[49:]), "tensor"), (fix(blob[:-40]), "tensor")]:
+    assert model_blob.check(model_blob.dump({}, b"words"))[0] == b"words" and model_blob.load(model_blob.dump({"z": (1, np.zeros((2, 3)))}))["z"][1].tolist() == [[0] * 3] * 2
+    # 4-bit: the even column in the low half of a byte, seven the largest
+    part = model_blob.load(model_blob.dump({"n": (2, np.arange(-7, 25)[None] % 8 - 1.0)}))["n"][1]
+    assert np.abs(part - (np.arange(-7, 25) % 8 - 1.0)).max() < 0.5
+    fix = lambda b: b[:12] + struct.pack("<I", zlib.crc32(b[20:])) + b[16:]
+    for bad, why in [(b"", "size"), (b"X" + blob[1:], "magic"), (blob[:4] + b"\3" + blob[5:], "version"), (blob[:-1] + b"!", "checksum"), (fix(blob[:24]), "table"), (fix(blob[:52] + b"\7" + blob[53:]), "tensor"), (fix(blob[:-40]), "tensor")]:
         with pytest.raises(ValueError, match=why):
             model_blob.load(bad)
 

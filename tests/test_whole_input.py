@@ -155,8 +155,8 @@ def test_attention_uses_all_dimensions(asked):
         for h in range(8):
             head = slice(8 * h, 8 * h + 8)
             keys = [k for k in x if k // 16 == q // 16 and k <= q]
-            w = [math.exp(sum(a * b for a, b in zip(x[q][head], x[k][head])) / math.sqrt(8)) for k in keys]
+            w = [math.exp(sum(a * b for a, b in zip(x[q][head], x[k][shared])) / math.sqrt(8)) for k in keys]
             for d in range(8):
-                expected[q, h + 1, d + 1] = sum(a * x[k][8 * h + d] for a, k in zip(w, keys)) / sum(w)
+                expected[q, h + 1, d + 1] = sum(a * x[k][8 * (h // 2 + 4) + d] for a, k in zip(w, keys)) / sum(w)
     found = {(r.q_id, r.head, r.dim): r.y for r in asked("vec_causal_attention", "embeddings", rows, VECTORS)}
     assert found == pytest.approx(expected, abs=2e-6)
