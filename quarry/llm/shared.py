@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import uuid
 from array import array
 from collections.abc import Callable
 
@@ -13,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.sources.shared import root as shared_root
+from quarry.sources.shared import discard, written  # noqa: F401
+from quarry.sources.shared import path_for as shared_path  # noqa: F401
 
 #: The white space that separates words, as a Java class body and as plain characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -25,28 +25,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df, written once to the shared folder and read from there: later plans start at the files."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out.written_at = path
-    return out
-
-
-def discard(table: DataFrame) -> None:
-    """Deletes a table of ``written`` that no later plan reads."""
-    spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 #: A key with more than this share of the rows is split; there are at most 1 / HOT_SHARE such keys.
 HOT_SHARE = 0.001
 
