@@ -153,7 +153,8 @@ def test_attention_uses_all_dimensions(asked):
     expected = {}
     for q in x:
         for h in range(8):
-            head = slice(8 * h, 8 * h + 8)
+            # two query heads share a key head, whose values are four heads on
+            head, shared = slice(8 * h, 8 * h + 8), slice(8 * (h // 2), 8 * (h // 2) + 8)
             keys = [k for k in x if k // 16 == q // 16 and k <= q]
             w = [math.exp(sum(a * b for a, b in zip(x[q][head], x[k][shared])) / math.sqrt(8)) for k in keys]
             for d in range(8):
