@@ -37,14 +37,17 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str, total: i
     Such keys are a thousand at most by their very definition, and only they and their numbers of parts are broadcast;
     the other side of a split key is there once for each part, at most a thousand rows more in all.
     """
+    more = [c for c in counted.columns if c not in (key, n)]
+    top = None
     if total is None:
-        total = counted.agg(F.sum(n)).first()[0] or 0
-    size = max(1.0, HOT_SHARE * float(total))
+        total, top = counted.agg(F.sum(n), F.max(n)).first()
+    size = max(1.0, HOT_SHARE * float(total or 0))
+    if top is not None and top <= size:  # no key is split
+        return rows.join(counted.drop(n), key).select(*rows.columns, *more)
     parts = F.ceil(F.col(n) / size).cast("int")
     few = counted.where(F.col(n) > size).select(key, parts.alias("__parts"))
-    dealt = rows.join(F.broadcast(few), key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*rows.columns), "__parts"), F.lit(0)).cast("int"))
+    dealt = rows.join(F.broadcast(few), key, "left").withColumn("__part", F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(*rows.columns), "__parts")).otherwise(0).cast("int"))
     every = F.explode(F.when(F.col(n) > size, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0))))
-    more = [c for c in counted.columns if c not in (key, n)]
     return dealt.join(counted.withColumn("__part", every), [key, "__part"]).select(*rows.columns, *more)
 
 
