@@ -172,8 +172,9 @@ def _survivors(sent: DataFrame) -> DataFrame:
     """Of rows (doc_id, digest, weight, hashes, counts), each document's hashes that occur twice or more over all rows, with its weight."""
     rows = sent.select("doc_id", "digest", "weight", F.explode(F.arrays_zip("hashes", "counts")).alias("x"))
     rows = rows.select("doc_id", "digest", "weight", F.col("x.hashes").alias("h"), (F.col("x.counts") * F.col("weight")).alias("n"))
-    repeated = written(rows.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n >= 2").select("h", "rows"), "repeated")
-    return join_counted(rows.drop("n"), repeated, "h", "rows").groupBy("doc_id", "digest", "weight").agg(F.collect_list("h").alias("survived"))
+    total = sent.agg(F.sum(F.size("hashes"))).first()[0] or 0
+    repeated = rows.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n >= 2").select("h", "rows")
+    return join_counted(rows.drop("n"), repeated, "h", "rows", total).groupBy("doc_id", "digest", "weight").agg(F.collect_list("h").alias("survived"))
 
 
 def _cut(rows: DataFrame, window: int) -> DataFrame:
@@ -205,7 +206,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     summary = first.select("doc_id", "n_words", "digest").join(copies.select("digest", F.lit(True).alias("copied")), "digest", "left").select("doc_id", "n_words", "digest", F.coalesce("copied", F.lit(False)).alias("copied"))
     marked = first.where("size(hashes) > 0").join(copies, "digest", "left").where("least is null or doc_id is null or doc_id = least")
     # a copy whose least row stands for all; rows that repeat that very id and text are taken once
-    sent = marked.withColumn("weight", F.when(F.col("least").isNotNull(), 2).otherwise(1)).select("doc_id", "digest", "weight", "hashes", "counts")
+    sent = written(marked.withColumn("weight", F.when(F.col("least").isNotNull(), 2).otherwise(1)).select("doc_id", "digest", "weight", "hashes", "counts"), "sent")
     for level in range(1, LEVELS):
         right = _survivors(sent).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), F.col("weight").alias("__w"), "survived")
         if "text" not in sent.columns:
