@@ -149,7 +149,7 @@ class Codec:
         self.pieces = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.path, self.library = path, None
-        self.chunks, self.words = Cache(90 << 20), Cache(60 << 20)
+        self.chunks, self.words = Cache(180 << 20), Cache(110 << 20)
         # the offset table: token i, and the space after it, is blob[offsets[i]:offsets[i + 1]]
         parts = [names.get(i, "").encode() + b" " for i in range(max(names) + 1)]
         self.blob = np.frombuffer(b"".join(parts), np.uint8)
