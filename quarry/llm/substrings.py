@@ -46,7 +46,7 @@ class WordHash(Cache):
 
 def word_hashes() -> WordHash:
     """The cache of this Python process, kept from task to task."""
-    return kept_in_worker(("words",), lambda: WordHash(150 << 20))
+    return kept_in_worker(("words",), lambda: WordHash(220 << 20))
 
 
 def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
