@@ -45,6 +45,27 @@ def ranged(rows: DataFrame, order: list) -> DataFrame:
     return written(rows.repartitionByRange(n, *order).withColumn("__p", F.spark_partition_id()), "ranged")
 
 
+def carried(base: DataFrame, keys: list[str], found: dict[str, tuple]) -> DataFrame:
+    """Adds to rows of ``ranged`` what the earlier ranges hold of their keys, null where they hold none.
+
+    ``found`` gives each name the aggregate of a key within a range and the function that joins the earlier ranges'
+    aggregates.  The window is over one row for each key in a range, so no key's rows meet in one task.
+    """
+    sizes = base.groupBy("__p", *keys).agg(*[inner.alias(name) for name, (inner, _) in found.items()])
+    earlier = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    names = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    sizes = sizes.select(F.col("__p").alias("__q"), *names, *[outer(name).over(earlier).alias(name) for name, (_, outer) in found.items()])
+    same = F.col("__p") == F.col("__q")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return base.join(sizes, same).select(*base.columns, *found)
+
+
+def inside(keys: list[str], order: list):
+    """The window over the rows of a key within their range."""
+    return Window.partitionBy("__p", *keys).orderBy(*order)
+
+
 def numbered(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Adds __r, the row's place from 1 among those of its keys, and __n, how many they are; ``order`` should leave no ties.
 
@@ -62,6 +83,48 @@ def numbered(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return local.join(sizes, same).select(*rows.columns, (F.col("__b") + F.col("__r")).alias("__r"), "__n")
 
 
+def early_stop(rows: DataFrame, key: str, order: str, loss: str, patience: int) -> DataFrame:
+    """key and stopped, the first step of each run that ``patience`` steps before it and itself did not improve on the best.
+
+    A step improves if its loss is under the least before it, or none before it has a loss.  Runs that never stop give no row.
+    """
+    base = ranged(rows.select(key, order, loss), [F.col(key), F.col(order)])
+    within = inside([key], [F.col(order)])
+    steps = carried(base, [key], {"__b": (F.count("*"), F.sum), "__m": (F.min(loss), F.min)})
+    best = F.least("__m", F.min(loss).over(within.rowsBetween(Window.unboundedPreceding, -1)))
+    place = F.coalesce("__b", F.lit(0)) + F.row_number().over(within)
+    steps = steps.select("__p", key, place.alias("__r"), best.alias("__best"), loss).select("__p", key, "__r", F.when(F.col("__best").isNull() | (F.col(loss) < F.col("__best")), F.col("__r")).alias("__i"))
+    steps = carried(written(steps, "steps"), [key], {"__c": (F.max("__i"), F.max)})
+    since = F.greatest("__c", F.max("__i").over(inside([key], [F.col("__r")]).rowsBetween(Window.unboundedPreceding, 0)))
+    return steps.withColumn("__since", since).where(F.col("__r") - F.col("__since") >= patience).groupBy(key).agg(F.min("__r").alias("stopped"))
+
+
+def sessions(rows: DataFrame, key: str, order: str, starts: Column) -> DataFrame:
+    """Adds session, how many rows of the key up to this one start a session."""
+    base = ranged(rows.withColumn("__s", F.when(starts, 1).otherwise(0).cast("long")), [F.col(key), F.col(order)])
+    summed = carried(base, [key], {"__b": (F.sum("__s"), F.sum)})
+    here = F.sum("__s").over(inside([key], [F.col(order)]).rowsBetween(Window.unboundedPreceding, 0))
+    return summed.withColumn("session", F.coalesce("__b", F.lit(0)) + here).drop("__p", "__s", "__b")
+
+
+def since_last(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
+    """Adds delta, ``at`` less that of the key's row before; null for a key's first row."""
+    base = ranged(rows, [F.col(key), F.col(at), F.col(tie)])
+    within = inside([key], [F.col(at), F.col(tie)])
+    told = carried(base, [key], {"__b": (F.max(F.struct(at, tie)), F.max)})
+    before = F.when(F.row_number().over(within) == 1, F.col("__b")[at]).otherwise(F.lag(at).over(within))
+    return told.withColumn("delta", F.col(at) - before).drop("__p", "__b")
+
+
+def last_known(rows: DataFrame, key: str, order: str, fields: dict[str, Column]) -> DataFrame:
+    """key, order and, for each field, its last value up to this row that is not null."""
+    base = ranged(rows.select(key, order, *[c.alias(f) for f, c in fields.items()]), [F.col(key), F.col(order)])
+    latest = lambda f: F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order)))
+    told = carried(base, [key], {f"__b_{f}": (latest(f), lambda c: F.last(c, ignorenulls=True)) for f in fields})
+    within = inside([key], [F.col(order)]).rowsBetween(Window.unboundedPreceding, 0)
+    return told.select(key, order, *[F.coalesce(F.last(f, ignorenulls=True).over(within), f"__b_{f}").alias(f) for f in fields])
+
+
 def holdout_split(rows: DataFrame, keys: list[str], order: Column, tie: str, least: int = 3) -> DataFrame:
     """Adds part: per key a fifth of the rows, one at least, is test; keys with fewer than ``least`` rows have none."""
     cut = F.when(F.col("__n") >= least, F.greatest(F.lit(1), F.floor(F.col("__n") / 5))).otherwise(0)
@@ -70,9 +133,12 @@ def holdout_split(rows: DataFrame, keys: list[str], order: Column, tie: str, lea
 
 def history_within(turns: DataFrame, key: str, order: str, tokens: Column, budget: int, most: int | None = None) -> DataFrame:
     """The most recent turns of each conversation that fit a token budget, and ``most`` of them at most."""
-    recent = Window.partitionBy(key).orderBy(F.col(order).desc())
-    kept = turns.withColumn("__sum", F.sum(tokens).over(recent.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__r", F.row_number().over(recent))
-    kept = kept.where(F.col("__sum") <= budget)
+    recent = [F.col(order).desc()]
+    base = ranged(turns.withColumn("__t", tokens), [F.col(key), *recent])
+    told = carried(base, [key], {"__b": (F.sum("__t"), F.sum), "__c": (F.count("*"), F.sum)})
+    within = inside([key], recent)
+    used = F.coalesce("__b", F.lit(0)) + F.sum("__t").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    kept = told.select(*turns.columns, used.alias("__sum"), (F.coalesce("__c", F.lit(0)) + F.row_number().over(within)).alias("__r")).where(F.col("__sum") <= budget)
     return (kept.where(F.col("__r") <= most) if most else kept).drop("__sum", "__r")
 
 
