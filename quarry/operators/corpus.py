@@ -99,30 +99,33 @@ def early_stop(rows: DataFrame, key: str, order: str, loss: str, patience: int)
     return steps.withColumn("__since", since).where(F.col("__r") - F.col("__since") >= patience).groupBy(key).agg(F.min("__r").alias("stopped"))
 
 
-def sessions(rows: DataFrame, key: str, order: str, starts: Column) -> DataFrame:
+def sessions(rows: DataFrame, key: str, order: list[str], starts: Column) -> DataFrame:
     """Adds session, how many rows of the key up to this one start a session."""
-    base = ranged(rows.withColumn("__s", F.when(starts, 1).otherwise(0).cast("long")), [F.col(key), F.col(order)])
+    by = [*map(F.col, order)]
+    base = ranged(rows.withColumn("__s", F.when(starts, 1).otherwise(0).cast("long")), [F.col(key), *by])
     summed = carried(base, [key], {"__b": (F.sum("__s"), F.sum)})
-    here = F.sum("__s").over(inside([key], [F.col(order)]).rowsBetween(Window.unboundedPreceding, 0))
+    here = F.sum("__s").over(inside([key], by).rowsBetween(Window.unboundedPreceding, 0))
     return summed.withColumn("session", F.coalesce("__b", F.lit(0)) + here).drop("__p", "__s", "__b")
 
 
-def since_last(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
-    """Adds delta, ``at`` less that of the key's row before; null for a key's first row."""
-    base = ranged(rows, [F.col(key), F.col(at), F.col(tie)])
-    within = inside([key], [F.col(at), F.col(tie)])
-    told = carried(base, [key], {"__b": (F.max(F.struct(at, tie)), F.max)})
-    before = F.when(F.row_number().over(within) == 1, F.col("__b")[at]).otherwise(F.lag(at).over(within))
-    return told.withColumn("delta", F.col(at) - before).drop("__p", "__b")
+def before(rows: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """Adds before_ and the name of each of ``columns``: its value in the key's row before; null for a key's first row."""
+    by = [*map(F.col, order)]
+    base = ranged(rows, [F.col(key), *by])
+    within = inside([key], by)
+    told = carried(base, [key], {"__b": (F.max(F.struct(F.struct(*order).alias("o"), F.struct(*columns).alias("c"))), F.max)})
+    first = F.row_number().over(within) == 1
+    return told.select(*rows.columns, *[F.when(first, F.col("__b.c")[c]).otherwise(F.lag(c).over(within)).alias(f"before_{c}") for c in columns])
 
 
-def last_known(rows: DataFrame, key: str, order: str, fields: dict[str, Column]) -> DataFrame:
-    """key, order and, for each field, its last value up to this row that is not null."""
-    base = ranged(rows.select(key, order, *[c.alias(f) for f, c in fields.items()]), [F.col(key), F.col(order)])
-    latest = lambda f: F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order)))
+def last_known(rows: DataFrame, key: str, order: list[str], fields: dict[str, Column]) -> DataFrame:
+    """Adds to each row, for each field, its last value up to this row that is not null."""
+    by = [*map(F.col, order)]
+    base = ranged(rows.select(*rows.columns, *[c.alias(f) for f, c in fields.items()]), [F.col(key), *by])
+    latest = lambda f: F.max_by(f, F.when(F.col(f).isNotNull(), F.struct(*order)))
     told = carried(base, [key], {f"__b_{f}": (latest(f), lambda c: F.last(c, ignorenulls=True)) for f in fields})
-    within = inside([key], [F.col(order)]).rowsBetween(Window.unboundedPreceding, 0)
-    return told.select(key, order, *[F.coalesce(F.last(f, ignorenulls=True).over(within), f"__b_{f}").alias(f) for f in fields])
+    within = inside([key], by).rowsBetween(Window.unboundedPreceding, 0)
+    return told.select(*rows.columns, *[F.coalesce(F.last(f, ignorenulls=True).over(within), f"__b_{f}").alias(f) for f in fields])
 
 
 def holdout_split(rows: DataFrame, keys: list[str], order: Column, tie: str, least: int = 3) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import corpus
@@ -27,7 +26,17 @@ add("ext_except_all", "select l_returnflag as f from lineitem where l_linenumber
 add("ext_date_trunc", "select date_trunc('month', o_orderdate) as month, count(*) as n from orders group by 1")
 add("ext_tumbling", "select floor(@epoch_us(ts) / 3600000000) as hour, event_type, count(*) as n from events group by 1, 2".replace("floor(@epoch_us(ts) / 3600000000)", "@epoch_us(ts) div 3600000000"))
 add("ext_sliding", "select (@epoch_us(ts) div 1800000000) - k as half_hour, count(*) as n from (select ts, explode(sequence(0, 1)) as k from events) e group by 1")
-add("ext_session", "select user_id, session, count(*) as n, max(us) - min(us) as length_us from (select user_id, us, sum(case when us - before <= 1800000000 then 0 else 1 end) over (partition by user_id order by us, event_id) as session from (select user_id, event_id, @epoch_us(ts) as us, lag(@epoch_us(ts)) over (partition by user_id order by ts, event_id) as before from events) l) s group by user_id, session")
+
+
+def timed_sessions(spark, sf_dir: str):
+    """Sessions of a user's events end with a gap of more than half an hour."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", F.expr("unix_micros(cast(ts as timestamp))").alias("us"))
+    gaps = corpus.before(events, "user_id", ["us", "event_id"], ["us"])
+    found = corpus.sessions(gaps, "user_id", ["us", "event_id"], F.expr("before_us is null or us - before_us > 1800000000"))
+    return found.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.expr("max(us) - min(us)").alias("length_us"))
+
+
+pair("ext_session", timed_sessions, "select user_id, session, count(*) as n, max(us) - min(us) as length_us from (select user_id, us, sum(case when us - before <= 1800000000 then 0 else 1 end) over (partition by user_id order by us, event_id) as session from (select user_id, event_id, @epoch_us(ts) as us, lag(@epoch_us(ts)) over (partition by user_id order by ts, event_id) as before from events) l) s group by user_id, session")
 add("ext_revenue", "select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey join nation on n_nationkey = c_nationkey where l_returnflag = 'R' group by n_name")
 add("ext_full_outer", "select coalesce(c_nationkey, s_nationkey) as nation, c.n as customers, s.n as suppliers from (select c_nationkey, count(*) as n from customer group by 1) c full outer join (select s_nationkey, count(*) as n from supplier group by 1) s on c_nationkey = s_nationkey")
 
@@ -35,9 +44,9 @@ add("ext_full_outer", "select coalesce(c_nationkey, s_nationkey) as nation, c.n
 def asof(spark, sf_dir: str):
     """Each purchase with the user's last view before it: one ordering of both kinds, no range join."""
     events = table(spark, sf_dir, "events")
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(F.col("event_type") == "view", F.col("event_id")), ignorenulls=True).over(by)
-    return events.select("user_id", "event_id", "event_type", "ts").withColumn("view_id", last).where("event_type = 'purchase'").select("event_id", "view_id")
+    views = {"view_id": F.when(F.col("event_type") == "view", F.col("event_id"))}
+    told = corpus.last_known(events.select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"], views)
+    return told.where("event_type = 'purchase'").select("event_id", "view_id")
 
 
 pair("ext_asof_events", asof, "select event_id, view_id from (select event_id, event_type, last_value(case when event_type = 'view' then event_id end IGNORE NULLS) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as view_id from events) e where event_type = 'purchase'")

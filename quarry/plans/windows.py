@@ -39,12 +39,12 @@ pair("win_holdout_split", lambda s, d: corpus.holdout_split(table(s, d, "documen
 LOSS = "(select event_type as run, row_number() over (partition by event_type order by event_id) as step, value as loss from events)"
 pair("win_early_stop", lambda s, d: corpus.early_stop(events(s, d), "event_type", "event_id", "value", 8).withColumnRenamed("event_type", "run"), f"""select run, min(step) as stopped from (select run, step, sum(1 - improved) over (partition by run, era order by step) as stale from (select run, step, improved, sum(improved) over (partition by run order by step) as era
   from (select run, step, case when best is null or loss < best then 1 else 0 end as improved from (select run, step, loss, min(loss) over (partition by run order by step rows between unbounded preceding and 1 preceding) as best from {LOSS} l) b) i) e) s where stale >= 8 group by run""")
-pair("win_latency_delta", lambda s, d: corpus.since_last(events(s, d).select("user_id", "event_id", F.expr("unix_micros(cast(ts as timestamp))").alias("at")), "user_id", "at", "event_id").select("event_id", F.col("delta").alias("delta_us")), "select event_id, @epoch_us(ts) - lag(@epoch_us(ts)) over (partition by user_id order by ts, event_id) as delta_us from events")
+pair("win_latency_delta", lambda s, d: corpus.before(events(s, d).select("user_id", "event_id", F.expr("unix_micros(cast(ts as timestamp))").alias("at")), "user_id", ["at", "event_id"], ["at"]).select("event_id", F.expr("at - before_at").alias("delta_us")), "select event_id, @epoch_us(ts) - lag(@epoch_us(ts)) over (partition by user_id order by ts, event_id) as delta_us from events")
 pair("win_every_n", lambda s, d: corpus.numbered(events(s, d).select(F.col("event_type").alias("run"), "event_id"), ["run"], [F.col("event_id")]).where("(__r + 1) % 50 = 0 or __r = __n").select("run", F.col("__r").alias("step")), "select run, step from (select run, step, row_number() over (partition by run order by step desc) as back from " + LOSS + " l) x where (step + 1) % 50 = 0 or back = 1")
 add("win_recent_slice", "select doc_id, array_join(@part(@words(text), greatest(1, size(@words(text)) - 7), 8), ' ') as recent from documents")
 add("win_rank", "select a, row_number() over (order by n desc, a) - 1 as merge_rank from (select substr(text, 1, 2) as a, count(*) as n from documents group by 1) p")
 # the last value that is not null of each field, as the turns change it
-pair("win_state_fold", lambda s, d: corpus.last_known(events(s, d), "user_id", "event_id", {"fan": F.expr("case when event_type = 'view' then event_id % 4 end"), "heat": F.expr("case when event_type = 'click' then event_id % 2 end")}), """select user_id, event_id, @last_known(case when event_type = 'view' then event_id % 4 end) over w as fan, @last_known(case when event_type = 'click' then event_id % 2 end) over w as heat
+pair("win_state_fold", lambda s, d: corpus.last_known(events(s, d).select("user_id", "event_id", "event_type"), "user_id", ["event_id"], {"fan": F.expr("case when event_type = 'view' then event_id % 4 end"), "heat": F.expr("case when event_type = 'click' then event_id % 2 end")}).select("user_id", "event_id", "fan", "heat"), """select user_id, event_id, @last_known(case when event_type = 'view' then event_id % 4 end) over w as fan, @last_known(case when event_type = 'click' then event_id % 2 end) over w as heat
   from events window w as (partition by user_id order by event_id rows between unbounded preceding and current row)""")
 pair("ord_seeded_shuffle", lambda s, d: corpus.numbered(table(s, d, "documents").select("lang", "doc_id"), ["lang"], [F.md5(F.concat(F.lit("seed|"), F.col("doc_id").cast("string")))]).select("doc_id", F.col("__r").alias("place")), "select doc_id, row_number() over (partition by lang order by md5(concat('seed|', cast(doc_id as string)))) as place from documents")
 add("ord_sample_k", "select doc_id from documents order by md5(concat('sample|', cast(doc_id as string))), doc_id limit 100")
@@ -52,5 +52,5 @@ add("ord_limit_per_group", "select source, doc_id from (select source, doc_id, r
 V = "transform(embedding, v -> cast(v as double))"
 add("ord_topk_ties", f"select vec_id, size(filter({V}, v -> v >= cutoff)) as n_kept, round(cutoff, 6) as cutoff from (select vec_id, embedding, element_at(array_sort({V}), size(embedding) - 4) as cutoff from embeddings) e")
 add("ord_argmax_first", f"select vec_id, cast(array_position({V}, array_max({V})) as bigint) as at from embeddings")
-pair("stream_sessionize_reset", lambda s, d: corpus.sessions(events(s, d).select("user_id", "event_id", "event_type"), "user_id", "event_id", F.col("event_type") == "purchase").groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event")), "select user_id, session, count(*) as n, min(event_id) as first_event from (select user_id, event_id, sum(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id order by event_id) as session from events) s group by user_id, session")
+pair("stream_sessionize_reset", lambda s, d: corpus.sessions(events(s, d).select("user_id", "event_id", "event_type"), "user_id", ["event_id"], F.col("event_type") == "purchase").groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event")), "select user_id, session, count(*) as n, min(event_id) as first_event from (select user_id, event_id, sum(case when event_type = 'purchase' then 1 else 0 end) over (partition by user_id order by event_id) as session from events) s group by user_id, session")
 pair("stream_stop_rule", lambda s, d: corpus.numbered(events(s, d).select("user_id", "event_id", "event_type"), ["user_id"], [F.col("event_id")]).groupBy("user_id").agg(F.expr("min(case when event_type = 'purchase' or __r >= 24 then __r end)").alias("stop_at"), F.count("*").alias("n")), "select user_id, min(case when event_type = 'purchase' or r >= 24 then r end) as stop_at, count(*) as n from (select user_id, event_type, row_number() over (partition by user_id order by event_id) as r from events) e group by user_id")

@@ -34,16 +34,17 @@ def test_early_stop(rows):
 
 def test_sessions(rows):
     want = {i: sum(v == 5 for j, v in run if j <= i) for run in RUNS.values() for i, _ in run}
-    assert {r.i: r.session for r in corpus.sessions(rows, "k", "i", F.col("v") == 5).collect()} == want
+    assert {r.i: r.session for r in corpus.sessions(rows, "k", ["i"], F.col("v") == 5).collect()} == want
 
 
-def test_since_last(rows):
+def test_before(rows):
     want = {}
     for run in RUNS.values():
         run = sorted(run, key=lambda x: (x[1] is not None, x[1] or 0, x[0]))
-        for before, (i, v) in zip([None, *(v for _, v in run)], run):
-            want[i] = None if before is None or v is None else v - before
-    assert {r.i: r.delta for r in corpus.since_last(rows, "k", "v", "i").collect()} == want
+        for last, (i, _) in zip([(None, None), *run], run):
+            want[i] = last
+    found = corpus.before(rows, "k", ["v", "i"], ["i", "v"]).collect()
+    assert {r.i: (r.before_i, r.before_v) for r in found} == want
 
 
 def test_last_known(rows):
@@ -53,7 +54,7 @@ def test_last_known(rows):
         for i, v in run:
             last = v if v is not None and v > 4 else last
             want[i] = last
-    found = corpus.last_known(rows, "k", "i", {"kept": F.when(F.col("v") > 4, F.col("v"))}).collect()
+    found = corpus.last_known(rows, "k", ["i"], {"kept": F.when(F.col("v") > 4, F.col("v"))}).collect()
     assert {r.i: r.kept for r in found} == want
 
 
