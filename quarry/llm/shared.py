@@ -29,13 +29,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 HOT_SHARE = 0.001
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str, total: int | None = None) -> DataFrame:
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str, total: int | None = None, part: str | None = None) -> DataFrame:
     """rows joined by ``key`` to ``counted``, one row a key, with ``n``, how many of the rows hold it (n itself is left out).
 
     ``total`` is the sum of n or more; without it ``counted`` should be a written table, since it is read for the sum.
     No key's rows meet in one task: a key with more than HOT_SHARE of the total is split into parts of that size.
     Such keys are a thousand at most by their very definition, and only they and their numbers of parts are broadcast;
-    the other side of a split key is there once for each part, at most a thousand rows more in all.
+    the other side of a split key is there once for each part, at most a thousand rows more in all.  ``part`` names a
+    column for the part that a row is in; rows of a key and part are together.
     """
     if total is None:
         total = counted.agg(F.sum(n)).first()[0] or 0
@@ -45,7 +46,7 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str, total: i
     dealt = rows.join(F.broadcast(few), key, "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*rows.columns), "__parts"), F.lit(0)).cast("int"))
     every = F.explode(F.when(F.col(n) > size, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0))))
     more = [c for c in counted.columns if c not in (key, n)]
-    return dealt.join(counted.withColumn("__part", every), [key, "__part"]).select(*rows.columns, *more)
+    return dealt.join(counted.withColumn("__part", every), [key, "__part"]).select(*rows.columns, *more, *([F.col("__part").alias(part)] if part else []))
 
 
 #: Rows in an Arrow batch at most: whole texts are in a batch, in the JVM and in Python.

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -56,6 +56,12 @@ def fingerprint(text: str | None, words_in_shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * bits > n, bitorder="little").view("<u8")[0])
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row; columns with maps, which have no hash, go by their JSON."""
+    plain = lambda f: not any(k in f.dataType.simpleString() for k in ("map<", "variant"))
+    return F.xxhash64(*[F.col(f"`{f.name}`") if plain(f) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in docs.schema])
+
+
 def fingerprints(docs: DataFrame, by_row: bool = False) -> DataFrame:
     """doc_id and fp (a signed long of the same bits), and row, a hash of all columns, if asked for."""
     keys = ["doc_id", "row"] if by_row else ["doc_id"]
@@ -65,7 +71,7 @@ def fingerprints(docs: DataFrame, by_row: bool = False) -> DataFrame:
             found = np.array([fingerprint(t.as_py()) for t in batch.column(len(keys))], np.uint64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(found.view(np.int64))], [*keys, "fp"])
 
-    columns = {"doc_id": F.col("doc_id").cast("long"), "row": F.xxhash64(*docs.columns)}
+    columns = {"doc_id": F.col("doc_id").cast("long"), "row": row_hash(docs)}
     return small_batches(docs.select(*[columns[k].alias(k) for k in keys], F.col("text").cast("string").alias("text"))).mapInArrow(scan, ", ".join(f"{k} long" for k in [*keys, "fp"]))
 
 
@@ -109,11 +115,13 @@ def one_of_each(docs: DataFrame, placed: DataFrame) -> DataFrame:
     marked = join_counted(rows, written(first.drop("all"), "classes"), "root", "rows")
     marked = marked.select(F.col("doc_id").alias("id"), "row", "copies", F.expr("doc_id <=> first.doc_id and row = first.row").alias("stays"))
     marked = written(marked.where("not stays or copies > 1"), "marked")
-    keyed = docs.select(F.struct("*").alias("doc"), F.xxhash64(*docs.columns).alias("at"), F.col("doc_id").cast("long").alias("doc_id"))
+    keyed = docs.select(F.struct("*").alias("doc"), row_hash(docs).alias("at"), F.col("doc_id").cast("long").alias("doc_id"))
     same = lambda m: (F.col("at") == m["row"]) & F.col("doc_id").eqNullSafe(m["id"])
     repeated = marked.where("stays")
-    single = keyed.join(marked, same(marked), "left_anti")
-    return single.select("doc").union(keyed.join(repeated, same(repeated), "left_semi").select("doc").dropDuplicates()).select("doc.*")
+    single = keyed.join(marked, same(marked), "left_anti").select("doc")
+    # fully repeated rows: the first of each, taken as a whole, since maps cannot be compared
+    first = keyed.join(repeated, same(repeated), "left_semi").groupBy("doc_id", "at").agg(F.first("doc").alias("doc"))
+    return single.union(first.select("doc")).select("doc.*")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,9 @@ when no candidate survives or the length is reached.  Counts are taken over all
 Documents with the same words are counted once with weight two: all their windows are repeated, so they need no
 further level themselves.
 
-Windows are compared by 64-bit hashes of the words' own 64-bit hashes.
+Windows are compared by hashes of the words' own 64-bit hashes: of 64 bits on the levels that only select, of 128 bits on
+the last.  Texts are joined to their survivors by doc_id and a hash of the text, so that rows of one id, or of none, do not
+meet all with all.
 
 Defined results: a null text has no words; a null doc_id is a document like any other; rows that repeat a
 doc_id are documents of their own; a text of fewer words than a window loses nothing; an empty table gives no
@@ -31,6 +33,7 @@ from .shared import SPACE_CHARS, Cache, batched, documents, join_counted, kept_i
 
 WINDOW = 35
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+K3, K4 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 class WordHash(Cache):
@@ -49,11 +52,11 @@ def word_hashes() -> WordHash:
     return kept_in_worker(("words",), lambda: WordHash(64 << 20))
 
 
-def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def mixed(left: np.ndarray, right: np.ndarray, k1: np.uint64 = K1, k2: np.uint64 = K2) -> np.ndarray:
     """The hash of a pair of hashes."""
-    x = left * K1 + (right ^ (right >> np.uint64(29))) * K2
+    x = left * k1 + (right ^ (right >> np.uint64(29))) * k2
     x ^= x >> np.uint64(32)
-    x *= K1
+    x *= k1
     x ^= x >> np.uint64(29)
     return x
 
@@ -65,7 +68,7 @@ class Windows:
         self.window, self.half = window, -(-window // 2)
         self.quarter = -(-self.half // 2)
         level, length = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words)), 1
-        made = {}
+        self.words, made = level, {}
         for target in (self.quarter, self.half, window):
             while length < target:
                 step = min(length, target - length)
@@ -86,10 +89,19 @@ class Windows:
             length += step
         return at
 
-    def sent(self, level: int, survived: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes that this document sends at a level, distinct, and how often each occurs."""
+    def second(self) -> np.ndarray:
+        """Further 64 bits of each whole window's hash."""
+        level, length = self.words, 1
+        while length < self.window:
+            step = min(length, self.window - length)
+            level = mixed(level[:-step], level[step:], K3, K4)
+            length += step
+        return level
+
+    def sent(self, level: int, survived: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hashes that this document sends at a level, distinct, how often each occurs, and on the last level the hashes' further bits."""
         if not self.n:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
+            return NONE
         at = self.least()
         if level == 0:
             places, source = np.unique(at), self.small
@@ -98,18 +110,29 @@ class Windows:
             if level == 1:
                 places, source = np.unique(start[np.isin(self.small[at], survived)]), self.middle
             else:
-                places, source = np.flatnonzero(np.isin(self.middle[start], survived)), self.whole
-        return np.unique(source[places], return_counts=True)
+                places = np.flatnonzero(np.isin(self.middle[start], survived))
+                both = np.unique(np.stack([self.whole[places], self.second()[places]]), axis=1, return_counts=True)
+                return both[0][0], both[1], both[0][1]
+        return *np.unique(source[places], return_counts=True), NONE[2]
 
     def extended(self, at: np.ndarray) -> np.ndarray:
         """Where the middle window around a small one starts: with it if there is room to the right, else so as to end with it."""
         right = at + self.half <= np.arange(self.n) + self.window
         return np.where(right, at, at + self.quarter - self.half)
 
-    def kept(self, repeated: np.ndarray) -> np.ndarray:
-        """A mask of the words that no repeated window covers."""
+    def kept(self, repeated: np.ndarray, further: np.ndarray) -> np.ndarray:
+        """A mask of the words that no repeated window covers; ``repeated`` and ``further`` are the hashes' first and further bits."""
         change = np.zeros(self.n + self.window, np.int64)
         hit = np.flatnonzero(np.isin(self.whole, repeated)) if self.n else np.empty(0, np.int64)
+        if len(hit):
+            order = np.argsort(repeated, kind="stable")
+            first, rest, second = repeated[order], further[order], self.second()[hit]
+            at = np.searchsorted(first, self.whole[hit])
+            good = rest[at] == second
+            for i in np.flatnonzero(~good):  # another window with the same first bits
+                a, b = np.searchsorted(first, self.whole[hit[i]], "left"), np.searchsorted(first, self.whole[hit[i]], "right")
+                good[i] = second[i] in rest[a:b]
+            hit = hit[good]
         change[hit] += 1
         change[hit + self.window] -= 1
         return np.cumsum(change)[:-1] == 0
@@ -119,15 +142,16 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
-NONE = np.empty(0, np.uint64), np.empty(0, np.int64)
-SENT = "hashes array<bigint>, counts array<bigint>"
+NONE = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
+SENT = "hashes array<bigint>, counts array<bigint>, further array<bigint>"
+SENT_NAMES = ["hashes", "counts", "further"]
 #: Window lengths: a quarter, a half and the whole of the target.
 LEVELS = 3
 CHARS = 1_000_000
 
 
-def _sent_columns(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
-    return [lists([h.view(np.int64) for h, _ in rows], pa.int64(), np.int64), lists([c for _, c in rows], pa.int64(), np.int64)]
+def _sent_columns(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[pa.Array]:
+    return [lists([np.ascontiguousarray(r[k]).view(np.int64) for r in rows], pa.int64(), np.int64) for k in range(3)]
 
 
 def _first(docs: DataFrame, window: int) -> DataFrame:
@@ -142,9 +166,9 @@ def _first(docs: DataFrame, window: int) -> DataFrame:
                     n.append(len(words))
                     digests.append(hashlib.sha256(b" ".join(words)).digest())
                     rows.append(Windows(words, cache, window).sent(0, None) if len(words) >= window else NONE)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), *_sent_columns(rows)], ["doc_id", "n_words", "digest", "hashes", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), *_sent_columns(rows)], ["doc_id", "at", "n_words", "digest", *SENT_NAMES])
 
-    return small_batches(docs.select("doc_id", "text")).mapInArrow(scan, f"doc_id long, n_words long, digest binary, {SENT}")
+    return small_batches(docs.select("doc_id", "text", "at")).mapInArrow(scan, f"doc_id long, at long, n_words long, digest binary, {SENT}")
 
 
 def _next(candidates: DataFrame, window: int, level: int) -> DataFrame:
@@ -153,9 +177,6 @@ def _next(candidates: DataFrame, window: int, level: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_hashes()
         for batch in batches:
-            if level == 1:  # rows that share an id with another text were joined to both
-                same = [hashlib.sha256(b" ".join(words_of(t.as_py()))).digest() == d.as_py() for t, d in zip(batch.column("text"), batch.column("digest"))]
-                batch = batch.filter(pa.array(same, pa.bool_()))
             texts = batch.column("text").to_pylist()
             for a, b in batched(texts, CHARS):
                 rows = []
@@ -163,21 +184,25 @@ def _next(candidates: DataFrame, window: int, level: int) -> DataFrame:
                     values = survived.values.to_numpy(zero_copy_only=False).view(np.uint64)
                     rows.append(Windows(words_of(text), cache, window).sent(level, values))
                 kept = [batch.column(c).slice(a, b - a) for c in ("doc_id", "text", "digest", "weight")]
-                yield pa.RecordBatch.from_arrays([*kept, *_sent_columns(rows)], ["doc_id", "text", "digest", "weight", "hashes", "counts"])
+                yield pa.RecordBatch.from_arrays([*kept, *_sent_columns(rows)], ["doc_id", "text", "digest", "weight", *SENT_NAMES])
 
     return small_batches(candidates.select("doc_id", "text", "digest", "weight", "survived")).mapInArrow(scan, f"doc_id long, text string, digest binary, weight int, {SENT}").where("size(hashes) > 0")
 
 
-def _survivors(sent: DataFrame) -> DataFrame:
-    """Of rows (doc_id, digest, weight, hashes, counts), each document's hashes that occur twice or more over all rows, with its weight."""
-    rows = sent.select("doc_id", "digest", "weight", F.explode(F.arrays_zip("hashes", "counts")).alias("x"))
-    rows = rows.select("doc_id", "digest", "weight", F.col("x.hashes").alias("h"), (F.col("x.counts") * F.col("weight")).alias("n"))
+def _survivors(sent: DataFrame, last: bool = False) -> DataFrame:
+    """Of rows (doc_id, at if there, digest, weight, hashes, counts, further), each document's hashes that occur twice or more over all
+    rows, with its weight: survived, and on the last level the further bits that belong to them."""
+    keys = [c for c in ("doc_id", "at", "digest", "weight") if c in sent.columns]
+    rows = sent.select(*keys, F.explode(F.arrays_zip(*SENT_NAMES[: 3 if last else 2])).alias("x"))
+    h = F.struct(F.col("x.hashes").alias("h"), F.col("x.further").alias("f")) if last else F.col("x.hashes")
+    rows = rows.select(*keys, h.alias("h"), (F.col("x.counts") * F.col("weight")).alias("n"))
     repeated = written(rows.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n >= 2").select("h", "rows"), "repeated")
-    return join_counted(rows.drop("n"), repeated, "h", "rows").groupBy("doc_id", "digest", "weight").agg(F.collect_list("h").alias("survived"))
+    found = join_counted(rows.drop("n"), repeated, "h", "rows").groupBy(*keys).agg(F.collect_list("h").alias("survived"))
+    return found.select(*keys, F.col("survived.h").alias("survived"), F.col("survived.f").alias("further")) if last else found
 
 
 def _cut(rows: DataFrame, window: int) -> DataFrame:
-    """Of rows (doc_id, digest, text, survived) the words that stay."""
+    """Of rows (doc_id, digest, text, survived, further) the words that stay."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_hashes()
@@ -185,39 +210,40 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
             whole = batch.column("text").to_pylist()
             for a, b in batched(whole, CHARS):
                 texts, removed = [], []
-                for text, survived in zip(whole[a:b], batch.column("survived").slice(a, b - a)):
+                for text, survived, further in zip(whole[a:b], batch.column("survived").slice(a, b - a), batch.column("further").slice(a, b - a)):
                     words = words_of(text)
-                    kept = Windows(words, cache, window).kept(survived.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                    kept = Windows(words, cache, window).kept(*[x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (survived, further)])
                     texts.append(b" ".join(w for w, k in zip(words, kept) if k).decode("utf-8", "replace"))
                     removed.append(len(words) - int(kept.sum()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("digest").slice(a, b - a), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "digest", "n_removed", "kept"])
 
-    return small_batches(rows.select("doc_id", "digest", "text", "survived")).mapInArrow(scan, "doc_id long, digest binary, n_removed long, kept string")
+    return small_batches(rows.select("doc_id", "digest", "text", "survived", "further")).mapInArrow(scan, "doc_id long, digest binary, n_removed long, kept string")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(summary, cut): per row of ``docs`` doc_id, n_words, digest (of the joined words) and copied; per document that
     loses words, and is not a copy, doc_id, digest, n_removed and kept, the text of the words that stay."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("at", F.xxhash64("text"))
     first = written(_first(docs, window), "windows-0")
     copies = first.where(F.col("n_words") >= window).groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"))).alias("x")).where("n > 1")
     copies = written(copies.select("digest", F.col("x.doc_id").alias("least")), "copies")
     summary = first.select("doc_id", "n_words", "digest").join(copies.select("digest", F.lit(True).alias("copied")), "digest", "left").select("doc_id", "n_words", "digest", F.coalesce("copied", F.lit(False)).alias("copied"))
     marked = first.where("size(hashes) > 0").join(copies, "digest", "left").where("least is null or doc_id is null or doc_id = least")
     # a copy whose least row stands for all; rows that repeat that very id and text are taken once
-    sent = marked.withColumn("weight", F.when(F.col("least").isNotNull(), 2).otherwise(1)).select("doc_id", "digest", "weight", "hashes", "counts")
+    sent = marked.withColumn("weight", F.when(F.col("least").isNotNull(), 2).otherwise(1)).select("doc_id", "at", "digest", "weight", *SENT_NAMES)
     for level in range(1, LEVELS):
-        right = _survivors(sent).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), F.col("weight").alias("__w"), "survived")
+        right = _survivors(sent).withColumnsRenamed({"doc_id": "__id", "at": "__at", "digest": "__d", "weight": "__w"})
         if "text" not in sent.columns:
-            candidates = docs.join(right, docs["doc_id"].eqNullSafe(right["__id"])).withColumnsRenamed({"__d": "digest", "__w": "weight"})
+            candidates = docs.join(right, docs["doc_id"].eqNullSafe(right["__id"]) & (docs["at"] == right["__at"])).withColumnsRenamed({"__d": "digest", "__w": "weight"})
         else:
             candidates = sent.join(right, sent["doc_id"].eqNullSafe(right["__id"]) & (sent["digest"] == right["__d"]))
         sent = written(_next(candidates, window, level), f"windows-{level}")
         if sent.isEmpty():
             return summary, docs.sparkSession.createDataFrame([], "doc_id long, digest binary, n_removed long, kept string")
-    right = _survivors(sent).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), "survived")
-    last = sent.join(right, sent["doc_id"].eqNullSafe(right["__id"]) & (sent["digest"] == right["__d"])).where("weight = 1")
-    return summary, _cut(last, window)
+    right = _survivors(sent, True).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), "survived", F.col("further").alias("__f"))
+    last = sent.drop("further").join(right, sent["doc_id"].eqNullSafe(right["__id"]) & (sent["digest"] == right["__d"])).where("weight = 1")
+    return summary, _cut(last.withColumnRenamed("__f", "further"), window)
 
 
 def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -2,10 +2,14 @@
 
 import itertools
 import random
+import time
 
+import numpy as np
 import pytest
 
-from quarry.llm import near_copies, simhash
+from pyspark.sql import functions as F
+
+from quarry.llm import near_copies, simhash, substrings
 
 
 def shingles(text):
@@ -73,3 +77,77 @@ def test_repeated_and_missing_ids(spark, keep_one):
     kept = keep_one(spark.createDataFrame(given, "doc_id long, text string")).collect()
     assert [(r[0], r[1]) for r in sorted(kept, key=str) if r[1] not in ("lost words here", "Lost words here")] == sorted([(1, text), (2, "quite another text of its own"), (3, "same row"), (7, "")], key=lambda x: f"Row(doc_id={x[0]}, text={x[1]!r})")
     assert len(kept) == 5
+
+
+@pytest.mark.parametrize("keep_one", [near_copies.keep_one, simhash.keep_one])
+def test_columns_that_have_no_hash(spark, keep_one):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, {"a": 1}, "x"), (2, text, {"b": 2}, "y"), (3, "another text", None, "z"), (3, "another text", None, "z"), (4, None, {}, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, tags map<string, int>, row string").withColumn("deep", F.struct(F.array("tags").alias("m")))
+    kept = keep_one(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
+def test_copies_among_many_unlike_texts_of_one_template(spark):
+    """The hard case: 2,000 texts of one template, unlike pairs at about 0.75, and 200 planted pairs above 0.8."""
+    r = random.Random(21)
+    template = [f"t{i}" for i in range(800)]
+    docs = []
+    for k in range(1800):
+        words = list(template)
+        for i in r.sample(range(0, 800, 5), 14):  # each changed place takes five shingles: two such texts are some 0.72 alike
+            words[i] = f"v{k}x{i}"
+        docs.append(words)
+    pairs = []
+    for k in range(200):
+        words = list(docs[k])
+        for i in r.sample(range(2, 800, 5), 16):
+            words[i] = f"p{k}x{i}"
+        pairs.append((k, 1800 + k))
+        docs.append(words)
+    sets = [shingles(" ".join(w)) for w in docs]
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(like(a, b) >= 0.8 for a, b in pairs)
+    unlike = [like(a, b) for a, b in itertools.islice(itertools.combinations(range(1800), 2), 3000)]
+    assert max(unlike) < 0.8 and sum(unlike) / len(unlike) > 0.69
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string").repartition(8)
+    root = {x.doc_id: x.root for x in near_copies.classes(df).collect()}
+    assert sum(root[a] == root[b] for a, b in pairs) >= 195
+    assert len(set(root.values())) >= 1800
+
+
+def test_sifting_keeps_what_is_alike(spark):
+    r, texts = random.Random(31), []
+    for _ in range(150):
+        base = " ".join(f"w{r.randrange(10**6)}" for _ in range(200))
+        texts += [base, edited(r, base, 4), edited(r, base, 40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = near_copies.sketches(docs).cache()
+    sig = {x.doc_id: x.sig for x in found.collect()}
+    pairs = [(sig[3 * k], sig[3 * k + j]) for k in range(150) for j in (1, 2)]
+    kept = {tuple(x) for x in near_copies.sifted(found, spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert all(p in kept for p in pairs[::2]) and sum(p in kept for p in pairs[1::2]) < 15
+
+
+def test_passages_of_rows_without_ids_take_time_linear_in_the_rows(spark):
+    passage = " ".join(f"p{i}" for i in range(50))
+
+    def seconds(n):
+        df = spark.createDataFrame([(None, f"own{i} text{i} {passage} end{i}") for i in range(n)], "doc_id long, text string").repartition(8)
+        start = time.perf_counter()
+        assert [tuple(r) for r in substrings.removed(df).select("n_words", "n_removed").distinct().collect()] == [(53, 50)]
+        return time.perf_counter() - start
+
+    seconds(50)
+    short, long = seconds(2500), seconds(20000)
+    assert long < 8 * short + 5
+
+
+def test_windows_that_share_their_first_64_bits_are_told_apart():
+    words = [f"w{i}".encode() for i in range(40)]
+    w = substrings.Windows(words, substrings.WordHash(1 << 20), 35)
+    first, further = w.whole[[2, 3]], w.second()[[2, 3]]
+    assert list(range(2, 38)) == [i for i, k in enumerate(w.kept(first, further)) if not k]
+    assert w.kept(first, further + np.uint64(1)).all()  # the same first bits, another window
+    twice = w.kept(first[[0, 0]], np.array([further[0] + np.uint64(1), further[0]]))
+    assert [i for i, k in enumerate(twice) if not k] == list(range(2, 37))

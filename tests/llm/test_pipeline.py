@@ -62,7 +62,7 @@ def pairs(df):
 def test_stages(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     names, stages = zip(*corpus_pipeline.STAGES)
-    assert names == ("toxicity", "line dedup", "simhash near-dedup", "substring dedup", "best-fit packing")
+    assert names == ("toxicity", "line dedup", "near-dedup by MinHash", "substring dedup", "best-fit packing")
     model = toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
     cache = toxicity.WordWeights(model.weights)
     expected = [(d, t) for d, t in pairs(docs) if model.score(model.sentences(t, cache)[1]) < 0.3]
@@ -111,5 +111,5 @@ def test_entry_with_them():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert "pipeline" in names and {f"op{i}_" for i in range(1, 11)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")}
+    assert "pipeline" in names and {f"op{i}_" for i in range(1, 14)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")}
     assert set(e.oracle_sql()) <= set(names)
