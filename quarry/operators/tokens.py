@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 #: A run of spaces at the end, spaces before the last one of a run, letters with a space before and an equals sign after, or any one byte.
 PRETOKEN = r"(?s) +\z| +(?= [^ ])| ?[A-Za-z]+=?| ?[^ ]"
 
@@ -26,62 +29,190 @@ def piece_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(pretokens(F.col("text"))).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
 
 
-def train_merges(pieces: DataFrame, n_merges: int) -> list[tuple[str, str, int]]:
-    """The first merges: the most frequent adjacent pair, ties to the smaller pair, never across pieces.
+def _byte_pairs(letters: bytes) -> set[int]:
+    return {256 * x + y for x, y in zip(letters, letters[1:])}
+
+
+def postings(pieces: DataFrame) -> DataFrame:
+    """An inverted index of pieces (piece, n): pair (256 * byte + next byte), piece and n, written in the order of the pair.
+
+    A pair of merged symbols stands only where the last byte of the one meets the first byte of the other, so the index of byte
+    pairs finds the pieces of every later pair and is written once.  Files are ranged and sorted by pair: a look at a few
+    pairs reads few of their row groups.
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch["pair"] = [sorted(_byte_pairs(p.encode("latin-1"))) for p in batch["piece"]]
+            yield batch.explode("pair").astype({"pair": "int32"})[["pair", "piece", "n"]]
+
+    found = pieces.where(F.length("piece") > 1).mapInPandas(scan, "pair int, piece string, n long")
+    return written(found.repartitionByRange(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair", "piece").sortWithinPartitions("pair"), "postings")
+
+
+def _pair_sums(rows: DataFrame, count, looked: set[int] = frozenset()) -> DataFrame:
+    """a, b and n: what ``count(piece, n, totals)`` adds to the totals of pairs, summed in each task first.
+
+    Of postings, a piece counts once: under the least of its pairs that are ``looked`` for.
+    """
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: Counter = Counter()
+        for batch in batches:
+            pairs = batch["pair"] if len(looked) > 1 else [None] * len(batch)
+            for pair, piece, n in zip(pairs, batch["piece"], batch["n"]):
+                letters = piece.encode("latin-1")
+                if pair is None or pair == min(_byte_pairs(letters) & looked):
+                    count(letters, n, totals)
+        rows = [(a, b, n) for (a, b), n in totals.items() if n]
+        yield pd.DataFrame(rows, columns=["a", "b", "n"])
+
+    found = rows.mapInPandas(scan, "a int, b int, n long")
+    return found.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n <> 0")
+
 
-    Each step is one aggregation over the distinct pieces; only its best row comes to the driver.
+def independent(counts: dict[tuple[int, int], int], floor: int, most: int) -> list[tuple[tuple[int, int], int]]:
+    """The merges that come next one after the other, whatever the earlier of them change: pairs and counts.
+
+    A merge changes only counts of pairs that share a symbol with it, and the pairs that it makes stand no more often
+    than such a pair did.  So the best pairs follow each other as long as they share no symbol and stand more often than
+    every pair that shares one with those before.  Counts up to ``floor`` are not known in full.
     """
-    spark = pieces.sparkSession
-    from ..sources.shared import root
-
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(root(spark))
-    words = pieces.select(F.split("piece", "").alias("s"), "n").checkpoint()
-    out: list[tuple[str, str, int]] = []
-    for _ in range(n_merges):
-        pairs = words.where(F.size("s") > 1).select(F.explode(F.arrays_zip(F.expr("slice(s, 1, size(s) - 1)").alias("a"), F.expr("slice(s, 2, size(s) - 1)").alias("b"))).alias("p"), "n")
-        best = pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a", "b").first()
-        if best is None:
+    best = heapq.nsmallest(8 * most, counts.items(), key=lambda x: (-x[1], x[0]))
+    if not best:
+        return []
+    taken, symbols, least = [], set(), max(floor, best[-1][1] if len(best) < len(counts) else 0, 0)
+    for k, (pair, n) in enumerate(best[:most]):
+        rival = next((m for other, m in best[k:] if symbols & {*other}), least)
+        if n <= (max(rival, floor) if taken else floor):
             break
-        out.append((best["a"], best["b"], best["n"]))
-        a, b = F.lit(best["a"]), F.lit(best["b"])
-        # left to right without overlap: a symbol that just took its right neighbour cannot be taken again
-        merged = F.aggregate("s", F.array().cast("array<string>"), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1) == a) & (x == b), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(a, b)))).otherwise(F.concat(acc, F.array(x))))
-        hit = F.exists(F.arrays_zip(F.expr("slice(s, 1, greatest(size(s) - 1, 0))").alias("a"), F.expr("slice(s, 2, greatest(size(s) - 1, 0))").alias("b")), lambda p: (p["a"] == a) & (p["b"] == b))
-        words = words.withColumn("s", F.when(hit, merged).otherwise(F.col("s")))
-        # else each step's plan would hold all steps before it
-        words = words.checkpoint()
-    return out
+        taken.append((pair, n))
+        symbols |= {*pair}
+    return taken
+
+
+#: Pair counts that the driver holds at most, and merges that are made together at most.
+HELD, TOGETHER = 500_000, 64
+
+
+def train(pieces: DataFrame, n_merges: int, held: int = HELD) -> list[tuple[int, int, int]]:
+    """The first merges (a, b, n) of distinct pieces (piece, n): the most frequent adjacent pair, ties to the smaller pair, never across pieces.
+
+    Symbols are the 256 bytes and then the merges in order.  Counts are kept by differences: a round makes the merges that
+    ``independent`` allows, looks up the pieces that can hold them in the index, and sums how their pairs change; nothing is
+    counted anew and no table is written after the index.  The driver holds pair counts, which number as the
+    vocabulary makes them, not the corpus: the ``held`` greatest, and counts again when those are used up.
+    """
+    pieces = written(pieces.select("piece", "n"), "pieces")
+    index = postings(pieces)
+    merges: list[tuple[int, int, int]] = []
+    ends = [(i, i) for i in range(256)]  # first and last byte of each symbol
+
+    def counted() -> tuple[dict, int]:
+        coder = RankedMerges([m[:2] for m in merges])
+
+        def count(piece: bytes, n: int, totals: Counter) -> None:
+            s = coder.symbols(piece)
+            for pair in zip(s, s[1:]):
+                totals[pair] += n
+
+        rows = _pair_sums(pieces, count).orderBy(F.desc("n"), "a", "b").limit(held + 1).collect()
+        return {(r.a, r.b): r.n for r in rows[:held]}, rows[held].n if len(rows) > held else 0
+
+    counts, floor = counted()
+    fresh = True
+    while len(merges) < n_merges:
+        batch = independent(counts, floor, min(TOGETHER, n_merges - len(merges)))
+        if not batch:
+            if fresh or not floor:
+                break
+            (counts, floor), fresh = counted(), True
+            if counts and not independent(counts, floor, 1):
+                floor = max(counts.values()) - 1  # ties beyond what is held: the first of them is the least pair
+            continue
+        done, fresh = len(merges), False
+        merges += [(a, b, n) for (a, b), n in batch]
+        ends += [(ends[a][0], ends[b][1]) for (a, b), _ in batch]
+        wanted = sorted({256 * ends[a][1] + ends[b][0] for (a, b), _ in batch})
+        coder, looked = RankedMerges([m[:2] for m in merges]), set(wanted)
+
+        def change(piece: bytes, n: int, totals: Counter) -> None:
+            before = coder.symbols(piece, done)
+            after = coder.symbols(piece)
+            if len(before) != len(after):
+                for pair in zip(before, before[1:]):
+                    totals[pair] -= n
+                for pair in zip(after, after[1:]):
+                    totals[pair] += n
+
+        for r in _pair_sums(index.where(F.col("pair").isin(wanted)), change, looked).collect():
+            pair = (r.a, r.b)
+            if pair in counts or max(pair) >= 256 + done:
+                counts[pair] = counts.get(pair, 0) + r.n
+                if counts[pair] <= 0:
+                    del counts[pair]
+        if len(counts) > 2 * held:
+            cut = heapq.nlargest(held + 1, counts.values())[-1]
+            counts, floor = {p: n for p, n in counts.items() if n > cut}, max(floor, cut)
+    return merges
+
+
+def texts_of(merges: list[tuple[int, int]]) -> list[str]:
+    """The Latin-1 letters of each merge."""
+    names = [chr(i) for i in range(256)]
+    for a, b, *_ in merges:
+        names.append(names[a] + names[b])
+    return names[256:]
 
 
 class RankedMerges:
     """Encodes pieces by repeatedly merging the adjacent pair of least rank, the leftmost first.
 
-    Ids are the 256 bytes, the special tokens in their order, and then the merges.
+    Merges are pairs of symbols: the 256 bytes and the merges before, from 256 on.  Ids are the 256 bytes, the special tokens in
+    their order, and then the merges.
     """
 
-    def __init__(self, merges: list[tuple[str, str]], specials: list[str] = ()):
+    def __init__(self, merges: list[tuple[int, int]], specials: list[str] = ()):
         self.rank = {}
-        for i, p in enumerate(merges):
-            self.rank.setdefault(tuple(p), i)
-        self.ids = {chr(i): i for i in range(256)}
+        for i, (a, b) in enumerate(merges):
+            self.rank.setdefault((a, b), i)
         self.specials = {s: 256 + i for i, s in enumerate(specials)}
-        for a, b in merges:
-            if a + b not in self.ids:
-                self.ids[a + b] = len(self.ids) + len(self.specials)
-        self.names = {i: t.encode("latin-1") for t, i in self.ids.items()} | {i: s.encode() for s, i in self.specials.items()}
+        self.names = {i: bytes([i]) for i in range(256)} | {i: s.encode() for s, i in self.specials.items()}
+        self.names |= {256 + len(specials) + i: t.encode("latin-1") for i, t in enumerate(texts_of(merges))}
         #: The longest special token that starts at a place wins.
         self.split = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
 
+    def symbols(self, piece: bytes, ranks: int | None = None) -> list[int]:
+        """The symbols of a piece by the merges of the first ``ranks`` only.
+
+        A heap holds the pairs that can be merged, by rank and place; one whose symbols have gone is stale.
+        """
+        s, n = [*piece], len(piece)
+        rank, top = self.rank.get, 1 << 60
+        ranks = top if ranks is None else ranks
+        heap = [(k, i) for i in range(n - 1) if (k := rank((s[i], s[i + 1]), top)) < ranks]
+        if not heap:
+            return s
+        heapq.heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            k, i = heapq.heappop(heap)
+            j = after[i]
+            if s[i] < 0 or j >= n or rank((s[i], s[j]), top) != k:
+                continue
+            s[i], s[j], after[i] = 256 + k, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                if (k := rank((s[i], s[after[i]]), top)) < ranks:
+                    heapq.heappush(heap, (k, i))
+            if before[i] >= 0 and (k := rank((s[before[i]], s[i]), top)) < ranks:
+                heapq.heappush(heap, (k, before[i]))
+        return [x for x in s if x >= 0]
+
     def encode(self, piece: str) -> list[int]:
         """Ids of one piece, whose letters stand for bytes."""
-        s = list(piece)
-        while len(s) > 1:
-            k, i = min((self.rank.get((s[i], s[i + 1]), 1 << 60), i) for i in range(len(s) - 1))
-            if k == 1 << 60:
-                break
-            s[i : i + 2] = [s[i] + s[i + 1]]
-        return [self.ids[x] for x in s]
+        more = len(self.specials)
+        return [x if x < 256 else x + more for x in self.symbols(piece.encode("latin-1"))]
 
     def plain(self, text: str) -> list[int]:
         """Ids of a text without regard to special tokens."""
@@ -103,7 +234,7 @@ class RankedMerges:
         return b"".join(self.names[i] for i in ids).decode("utf-8", "replace")
 
 
-def encode_documents(docs: DataFrame, merges: list[tuple[str, str]], specials: list[str] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, merges: list[tuple[int, int]], specials: list[str] = ()) -> DataFrame:
     """doc_id and ids.  Texts are parted at special tokens, the longest first; distinct pieces are encoded once in each task."""
 
     @F.pandas_udf("array<int>")
@@ -139,12 +270,12 @@ class ScoredPieces:
                 a, b = ids[i], ids[after[i]]
                 j = self.place.get(self.pieces[a][0] + self.pieces[b][0])
                 if j is not None:
-                    heappush(heap, (-self.pieces[j][1], i, a, after[i], b, j))
+                    heapq.heappush(heap, (-self.pieces[j][1], i, a, after[i], b, j))
 
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, a, k, b, j = heappop(heap)
+            _, i, a, k, b, j = heapq.heappop(heap)
             if ids[i] != a or after[i] != k or ids[k] != b:
                 continue
             ids[i], ids[k], after[i] = j, -1, after[k]

@@ -42,13 +42,12 @@ pair("fn_pretokenize", lambda s, d: pretokenized(s, d).select("doc_id", F.array_
 pair("udtf_tokens", lambda s, d: pretokenized(s, d).select("doc_id", F.posexplode("pieces").alias("at", "piece")))
 
 
-def merges(spark, sf_dir: str, n: int):
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.regexp_replace(F.translate("text", UP, LOW), "[^a-z]+", " "), " ")).alias("piece")).where("piece <> ''").groupBy("piece").agg(F.count("*").alias("n"))
-    return tokens.train_merges(words, n)
-
-
 def first_merges(spark, sf_dir: str):
-    return spark.createDataFrame([(a, b, n) for a, b, n in merges(spark, sf_dir, 2)], "a string, b string, n long")
+    """The first two merges of the words of plain letters, as texts."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.regexp_replace(F.translate("text", UP, LOW), "[^a-z]+", " "), " ")).alias("piece")).where("piece <> ''").groupBy("piece").agg(F.count("*").alias("n"))
+    found = tokens.train(words, 2)
+    names = [chr(i) for i in range(256)] + tokens.texts_of(found)
+    return spark.createDataFrame([(names[a], names[b], n) for a, b, n in found], "a string, b string, n long")
 
 
 # the second merge counts pairs after the first is made; a one-letter stand-in marks it
@@ -57,10 +56,32 @@ BEST = "(select {k} as step, a, b, cast(sum(f) as bigint) as n from (select subs
 pair("fn_bpe_first_merges", first_merges, f"with m as materialized {M}, one as {BEST.format(k=1, w='m', order='a, b')}, m2 as materialized (select replace(w, (select a || b from one), 'Z') as w, f from m), two as {BEST.format(k=2, w='m2', order="replace(a, 'Z', (select a || b from one)), replace(b, 'Z', (select a || b from one))")} select a, b, n from one union all select replace(two.a, 'Z', one.a || one.b), replace(two.b, 'Z', one.a || one.b), two.n from two, one")
 
 
+MERGES = 200
+
+
+def trained(spark, sf_dir: str):
+    """The first 200 merges over the pre-tokens of all texts: rank, the two symbols (bytes, then merges from 256 on) and how often they stood together."""
+    found = tokens.train(tokens.piece_counts(table(spark, sf_dir, "documents")), MERGES)
+    return spark.createDataFrame([(k, *m) for k, m in enumerate(found)], "rank int, a int, b int, n long")
+
+
+# the pre-tokens without looking ahead: a mark goes between the last space of a run and those before; a symbol is one character from U+2710 on,
+# of a character beyond ASCII the first byte matters only, since bytes are pieces of their own.  A merge is a replacement, all words at each step.
+SYMBOL = "chr((10000 + {})::INTEGER)"
+FIRST_BYTE = "case when unicode(c) < 128 then unicode(c) when unicode(c) < 2048 then 192 + unicode(c) // 64 when unicode(c) < 65536 then 224 + unicode(c) // 4096 else 240 + unicode(c) // 262144 end"
+pair("fn_bpe_train", trained, f"""with recursive marked as (select regexp_replace(text, '( +)( [^ ])', '\\1' || chr(1) || '\\2', 'g') as text from documents),
+  pieces as materialized (select w, count(*)::BIGINT as n from (select replace(unnest(regexp_extract_all(text, ' +$| +' || chr(1) || '| ?[A-Za-z]+=?| ?[^ ' || chr(1) || ']', 0, 's')), chr(1), '') as w from marked) x where length(w) > 1 group by w),
+  words as materialized (select array_to_string([{SYMBOL.format(FIRST_BYTE)} for c in string_split(w, '')], '') as w, n from pieces),
+  steps as (select -1 as rank, w, n, null::VARCHAR as p, null::BIGINT as c from words
+  union all select s.rank + 1, replace(s.w, b.p, {SYMBOL.format("256 + s.rank + 1")}), s.n, b.p, b.c from steps s,
+    (select p, sum(n)::BIGINT as c from (select substr(w, i, 2) as p, n from (select w, n, unnest(range(1, length(w))) as i from steps) k) q group by p order by c desc, p limit 1) b where s.rank < {MERGES - 1})
+  select rank::INTEGER as rank, (unicode(substr(p, 1, 1)) - 10000)::INTEGER as a, (unicode(substr(p, 2, 1)) - 10000)::INTEGER as b, c as n from (select distinct rank, p, c from steps where rank >= 0) d""")
+
+
 def encoded(spark, sf_dir: str):
     """Ids by the first 8 merges of the corpus itself, with special tokens of which one begins another."""
     docs = table(spark, sf_dir, "documents")
-    found = tokens.train_merges(tokens.piece_counts(docs), 8)
+    found = tokens.train(tokens.piece_counts(docs), 8)
     marked = docs.select("doc_id", F.expr("concat('<s>', coalesce(text, ''), '<s><end')").alias("text"))
     return tokens.encode_documents(marked, [(a, b) for a, b, _ in found], ["<s>", "<s><end", "<end"]).select("doc_id", F.size("ids").alias("n"), F.crc32(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary")).alias("crc"))
 
