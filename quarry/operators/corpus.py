@@ -178,6 +178,12 @@ def nearest_rank(rows: DataFrame, key: str, value: str, tie: str, percent: int =
     return placed.where(F.expr(f"__r - 1 = least({percent} * __n div 100, __n - 1)")).select(key, F.col(value).alias(f"p{percent}"), F.col("__n").alias("n"))
 
 
+def grouped_median(rows: DataFrame, key: str, value: str, tie: str) -> DataFrame:
+    """The median of each group's values that are there: the mean of the one or two in the middle, found by place, so that no group's values meet."""
+    placed = numbered(rows.where(F.col(value).isNotNull()).select(key, value, tie), [key], [F.col(value), F.col(tie)])
+    return placed.where("__r in ((__n + 1) div 2, (__n + 2) div 2)").groupBy(key).agg(F.round(F.avg(value), 6).alias("middle"))
+
+
 def build_dataset(docs: DataFrame, accepted: Column, shares: dict[str, int], seed: str) -> DataFrame:
     """A dataset from documents (doc_id, text): split, place and doc_id of each row.
 

@@ -295,7 +295,3 @@ class ScoredPieces:
             before = i
         return out.decode("utf-8", "replace")
 
-
-def grouped_median(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """The median of each group, as a mergeable built-in aggregate."""
-    return rows.groupBy(key).agg(F.round(F.median(value), 6).alias("middle"))

@@ -48,4 +48,4 @@ add("agg_distinct_lines", "select lang, count(distinct md5(text)) as n_lines fro
 add("agg_collect_bank", "select lang, @listed(source, source) as sources from (select distinct lang, source from documents) d group by lang")
 add("set_union_distinct", "select lang, md5(text) as line from documents where doc_id % 2 = 0 union select lang, md5(text) as line from documents where doc_id % 3 = 0")
 add("set_replicate_union", "select doc_id, copy from (select doc_id, explode(sequence(1, 3)) as copy from documents where doc_id % 20 = 0) r union all select doc_id, 0 as copy from documents where @draw(concat('replay|', cast(doc_id as string))) % 10 = 0")
-pair("udaf_grouped", lambda s, d: tokens.grouped_median(table(s, d, "events"), "event_type", "value"), "select event_type, round(median(value), 6) as middle from events group by event_type")
+pair("udaf_grouped", lambda s, d: corpus.grouped_median(table(s, d, "events"), "event_type", "value", "event_id"), "select event_type, round(median(value), 6) as middle from events group by event_type")

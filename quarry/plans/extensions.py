@@ -24,7 +24,7 @@ def ranked_orders(spark, sf_dir: str):
 pair("ext_rank_orders", ranked_orders, "select o_orderkey, rank() over (partition by o_orderpriority order by o_totalprice desc) as r, dense_rank() over (partition by o_orderpriority order by o_totalprice desc) as dr, ntile(4) over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as q from orders")
 add("ext_except_all", "select l_returnflag as f from lineitem where l_linenumber <= 2 except all select l_returnflag from lineitem where l_linenumber = 2")
 add("ext_date_trunc", "select date_trunc('month', o_orderdate) as month, count(*) as n from orders group by 1")
-add("ext_tumbling", "select floor(@epoch_us(ts) / 3600000000) as hour, event_type, count(*) as n from events group by 1, 2".replace("floor(@epoch_us(ts) / 3600000000)", "@epoch_us(ts) div 3600000000"))
+add("ext_tumbling", "select @epoch_us(ts) div 3600000000 as hour, event_type, count(*) as n from events group by 1, 2")
 add("ext_sliding", "select (@epoch_us(ts) div 1800000000) - k as half_hour, count(*) as n from (select ts, explode(sequence(0, 1)) as k from events) e group by 1")
 
 

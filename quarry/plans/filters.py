@@ -31,15 +31,19 @@ add("flt_line_accept", f"select conv_id, turn from {TURN} t where n between 3 an
 FRAMES = {1: "the <d> and", 2: "<n>", 3: "from the <d>"}
 FOUND = " ".join("when regexp_like(low, '(^|[^a-z])" + f.replace("<d>", "(light|fan|anea|thnd|and|of)").replace("<n>", "[0-9]+") + f"([^a-z]|$)') then {i}" for i, f in FRAMES.items())
 add("flt_heldout_pattern", f"select conv_id, turn, frame from (select conv_id, turn, case {FOUND} end as frame from {TURN} t) f where frame is not null")
-add("flt_ctx_fit", "select conv_id, sum_n, keep from (select conv_id, cast(sum(size(split(text, ' '))) as bigint) as sum_n, sum(size(split(text, ' '))) <= 120 as keep from conversations group by conv_id) c where keep")
-add("prj_fallback", "select doc_id, case when startswith(marked, '<fb:') then regexp_extract(marked, '^<fb:([a-z]+)>', 1) end as fallback, trim(regexp_replace(marked, '^<fb:[a-z]+>', '')) as reply_start from (select doc_id, case when doc_id % 4 = 0 then concat('<fb:unsure> ', substr(replace(text, chr(10), ' '), 1, 20)) else substr(replace(text, chr(10), ' '), 1, 20) end as marked from documents) m")
+# a question with its answer and four control tokens, without any history, has to fit the context
+add("flt_ctx_fit", "select conv_id, turn, n from (select q.conv_id, q.turn, cast(size(@words(q.text)) + size(@words(a.text)) + 4 as bigint) as n from conversations q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1 where q.role = 'user') x where n <= 120")
+add("prj_fallback", "select doc_id, case when startswith(marked, '<fb:') then regexp_extract(marked, '^<fb:([a-z]+)>', 1) end as fallback, trim(regexp_replace(marked, '^<fb:[a-z]+>', '')) as reply from (select doc_id, case when doc_id % 4 = 0 then concat('<fb:unsure> ', replace(text, chr(10), ' ')) else replace(text, chr(10), ' ') end as marked from documents) m")
 COMMAND = "case event_id % 7 when 0 then '/reset' when 1 then '/set t=3' when 2 then '/seed 12' when 3 then '/temp 0.7' when 4 then 'hello' when 5 then '/resets' else '/tokenize x y' end"
 add("flt_allow_list", f"select event_id, cmd from (select event_id, {COMMAND} as cmd from events) c where cmd in ('/reset', '/help') or startswith(cmd, '/set ') or startswith(cmd, '/seed ')")
 add("fn_command_parse", f"""select event_id, verb, case when verb in ('/reset', '/help') then case when arg is null then 'ok' else 'bad' end
    when verb = '/seed' then case when try_cast(arg as int) between 0 and 1000000 then 'ok' else 'bad' end when verb = '/temp' then case when try_cast(arg as double) between 0 and 2 then 'ok' else 'bad' end
    when verb in ('/set', '/tokenize') then case when arg is not null then 'ok' else 'bad' end when startswith(verb, '/') then 'unknown' else 'chat' end as result
   from (select event_id, element_at(split(cmd, ' '), 1) as verb, nullif(case when instr(cmd, ' ') > 0 then substr(cmd, instr(cmd, ' ') + 1) end, '') as arg from (select event_id, {COMMAND} as cmd from events) c) p""")
-add("prj_normalise_input", f"select conv_id, turn, line from (select conv_id, turn, trim(substr(translate(replace(replace(text, chr(13), ''), chr(10), ''), '{UP}', '{LOW}'), 1, 256)) as line from conversations) n where line <> ''")
+# the first 256 bytes, which may end within a character, so the line is given by its bytes
+BARE = f"translate(replace(replace(text, chr(13), ''), chr(10), ''), '{UP}', '{LOW}')"
+pair("prj_normalise_input", f"select conv_id, turn, line from (select conv_id, turn, hex(trim(cast(substring(encode({BARE}, 'UTF-8'), 1, 256) as string))) as line from conversations) n where line <> ''",
+     f"select conv_id, turn, line from (select conv_id, turn, regexp_replace(substr(hex(encode({BARE})), 1, 512), '^(20)+|(20)+$', '', 'g') as line from conversations) n where line <> ''")
 add("flt_message_guard", "select conv_id, turn, message from (select conv_id, turn, substr(trim(text), 1, 240) as message from conversations) m where message <> '' and not startswith(message, '/')")
 CONFIG = "(select id, 64 + (id % 5) * 32 as d, 1 + id % 9 as heads, 1 + id % 4 as kv, id % 14 as layers, 250 + (id % 3) * 10 as vocab, id % 5 as norm from (select explode(sequence(1, 500)) as id) r)"
 add("flt_config_validate", f"select id, case when layers < 1 or layers > 12 then 'layers' when vocab < 256 then 'vocab' when d % heads <> 0 then 'heads' when heads % kv <> 0 then 'kv' when (d div heads) % 2 <> 0 then 'odd head' when norm > 3 then 'norm' else 'ok' end as reason from {CONFIG} c")

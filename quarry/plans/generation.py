@@ -19,7 +19,20 @@ add("gen_weighted_choice", f"with w as ({' union all '.join(RANGES)}) select id,
 add("gen_turn_mix", f"select intent, count(*) as n, count_if(refers) as refers from (select case when u < 40 then 'set' when u < 70 then 'ask' when u < 90 then 'status' else 'chat' end as intent, @draw(concat('ref|', cast(id as string))) % 2 = 0 as refers from (select id, @draw(concat('intent|', cast(id as string))) % 100 as u from {IDS} r) d) m group by intent")
 add("gen_frame_split", "select ord, frame from (select 1 as ord, 'put the <d> on' as frame, false as heldout union all select 2, 'could the <d> be off', true union all select 3, 'is the <d> on', false) f where not heldout")
 add("gen_synthetic_fact", f"select id, case when @draw(concat('f|', cast(id as string))) % 10 < 3 then concat('the code of room ', cast(id % 90 as string), ' is ', cast(@draw(concat('c|', cast(id as string))) % 1000 as string)) else array_join(transform(sequence(1, 6), i -> element_at(array('oak', 'tin', 'map', 'fog', 'rug'), cast(1 + @draw(concat('w|', cast(id as string), '|', cast(i as string))) % 5 as int))), ' ') end as fact from {IDS} r")
-add("gen_smalltalk", "with bank as (select role, md5(text) as line, row_number() over (partition by role order by md5(text), conv_id, turn) - 1 as r, count(*) over (partition by role) as n from conversations) select b.role, t.id, b.line from (select explode(sequence(1, 200)) as id) t join bank b on b.r = @draw(concat('talk|', cast(t.id as string))) % b.n")
+TALKS = 200
+
+
+def smalltalk(spark, sf_dir: str):
+    """For each role as many drawn lines; lines are numbered over ranges, so that no role's lines meet in one task."""
+    lines = table(spark, sf_dir, "conversations").select("role", F.md5("text").alias("line"), "conv_id", "turn")
+    placed = corpus.numbered(lines, ["role"], [F.col("line"), F.col("conv_id"), F.col("turn")])
+    roles = placed.groupBy("role").agg(F.max("__n").alias("n"))
+    picks = roles.select("role", "n", F.explode(F.expr(f"sequence(1, {TALKS})")).alias("id")).select("role", "id", (corpus.draw(F.concat(F.lit("talk|"), F.col("id").cast("string"))) % F.col("n") + 1).alias("at"))
+    picks = picks.withColumnsRenamed({"role": "__role", "at": "__at"})
+    return placed.join(picks, F.col("role").eqNullSafe(F.col("__role")) & (F.col("__r") == F.col("__at"))).select("role", "id", "line")
+
+
+pair("gen_smalltalk", smalltalk, f"with bank as (select role, md5(text) as line, row_number() over (partition by role order by md5(text), conv_id, turn) - 1 as r, count(*) over (partition by role) as n from conversations) select b.role, t.id, b.line from (select explode(sequence(1, {TALKS})) as id) t join bank b on b.r = @draw(concat('talk|', cast(t.id as string))) % b.n")
 add("gen_split_sizes", " union all ".join(f"select '{n}' as split, {s} as seed, cast(greatest(4, floor({k} * 0.01E0)) as bigint) as n" for n, k, s in SPLITS))
 
 

@@ -48,5 +48,8 @@ add("join_variant_report", f"""with evaluation as (select {VARIANT} as name, rou
   select evaluation.name, quality, rows_kept, bytes, mean_len from evaluation join manifest on evaluation.name = manifest.name join estimate on evaluation.name = estimate.name join reply on evaluation.name = reply.name""")
 add("join_cross_keys", "select concat_ws('|', intent, device, cast(v as string)) as k from (select 'set' as intent union all select 'ask' union all select 'stop') i cross join (select 'light' as device union all select 'fan') d cross join (select explode(sequence(0, 14)) as v) n")
 add("join_semi_unambiguous", "select role, line from (select distinct role, md5(text) as line from conversations) c where line in (select md5(text) from conversations group by 1 having count(distinct role) = 1)")
-add("join_embedding_gather", "select d.doc_id, e.label, round(cast(element_at(e.embedding, 1) as double), 6) as first from (select doc_id, length(text) % 500 as tok from documents) d join embeddings e on d.tok = e.vec_id")
+# every word of a text gathers a whole row of weights
+GATHERED = "(select vec_id, label, {} as total, {} as squares from embeddings)"
+ROW = "@fold(transform(embedding, v -> cast(v as double)), 0.0E0, (a, y) -> a + y)"
+add("join_embedding_gather", f"select doc_id, count(*) as n, round(sum(total), 6) as total, round(sum(squares), 6) as squares from (select doc_id, @draw(w) % (select count(*) from embeddings) as tok from (select doc_id, explode(@words(text)) as w from documents) e) t join {GATHERED.format(ROW, ROW.replace('cast(v as double)', 'cast(v as double) * cast(v as double)'))} g on tok = vec_id group by doc_id")
 pair("win_prev_turn", lambda s, d: corpus.before(table(s, d, "conversations").select("conv_id", "turn", "role", F.md5("text").alias("text")), "conv_id", ["turn"], ["role", "text"]).select("conv_id", "turn", F.col("before_role").alias("prev_role"), F.col("before_text").alias("prev_text")), "select conv_id, turn, lag(role) over (partition by conv_id order by turn) as prev_role, lag(md5(text)) over (partition by conv_id order by turn) as prev_text from conversations")

@@ -21,7 +21,7 @@ pair("fn_number_words", lambda s, d: table(s, d, "conversations").select("conv_i
 pair("fn_numbers_grounded", lambda s, d: table(s, d, "events").select("event_id", columns.numbers_grounded(F.expr("concat('at ', cast(user_id % 40 as string), ' and 3')"), F.expr("concat('now ', cast(event_id % 400 as string), ' or 36')")).alias("grounded")), "select event_id, size(filter(regexp_extract_all(expected, '-?[0-9]+([.][0-9]+)?', 0), n -> instr(reply, n) = 0)) = 0 as grounded from (select event_id, concat('at ', cast(user_id % 40 as string), ' and 3') as expected, concat('now ', cast(event_id % 400 as string), ' or 36') as reply from events) e")
 pair("fn_has_word", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", columns.has_word(F.col("text"), "the").alias("has_the")), f"select conv_id, turn, regexp_like(translate(text, '{UP}', '{LOW}'), '(^|[^a-z])the([^a-z]|$)') as has_the from conversations")
 add("fn_prompt_layout", "select conv_id, concat('<bos>', @listed(concat(case role when 'user' then '<user>' else '<bot>' end, case when startswith(text, '<') then '' else ' ' end, text), turn), '<bot>') as prompt from conversations group by conv_id")
-add("fn_plain_segments", "select conv_id, turn, array_join(filter(split(@replace_all(concat('<user> ', text, '<end>'), '<[a-z]+>', '|'), '|'), s -> s <> ''), '/') as segments from conversations".replace("split(@replace_all(concat('<user> ', text, '<end>'), '<[a-z]+>', '|'), '|')", "split(@replace_all(concat('<user> ', text, '<end>'), '<[a-z]+>', chr(1)), chr(1))"))
+add("fn_plain_segments", "select conv_id, turn, array_join(filter(split(@replace_all(concat('<user> ', text, '<end>'), '<[a-z]+>', chr(1)), chr(1)), s -> s <> ''), '/') as segments from conversations")
 OUTPUT = "case event_id % 6 when 0 then 'light is on<end><act> light=40</act>' when 1 then '<fb:unsure> which one<end>' when 2 then 'no end' when 3 then 'x<end> junk' when 4 then 'done<end><act> fan=9</act><eos>' else 'fine<end><eos>' end"
 add("fn_output_parse", f"""select event_id, reply, fallback, action, closed = 0 or (rest <> '' and not regexp_like(rest, '^<act> [^<]*</act>$')) or coalesce(regexp_like(action, '=9$'), false) as malformed
   from (select event_id, closed, rest, trim(regexp_replace(head, '^<fb:[a-z]+>', '')) as reply, nullif(regexp_extract(head, '^<fb:([a-z]+)>', 1), '') as fallback, nullif(regexp_extract(rest, '^<act> ([^<]*)</act>$', 1), '') as action

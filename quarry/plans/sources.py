@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
 import struct
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import corpus
 from ..sources import model_blob, shared, tokenizer_blob
-from .dialect import add, pair, table
+from .dialect import add, pair, table, to_spark
 from .rules import STATE
 
 IDS = "transform(@part(split(text, ' '), 1, 16), w -> length(w))"
@@ -21,17 +21,25 @@ add("src_delimited_records", f"select doc_id, md5(record) as record from {RECORD
 add("sink_manifest_stats", "select @json('documents', count(*), 'languages', count(distinct lang), 'characters', cast(sum(length(text)) as bigint), 'digest', cast(sum(@draw(text)) as bigint)) as manifest from documents")
 
 
-def bank(spark, sf_dir: str):
-    """A bank as JSON, a row for each language: key -> lines for training and for testing."""
-    lines = table(spark, sf_dir, "documents").select(F.concat_ws("|", "lang", "source").alias("key"), "lang", F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("part"), F.md5("text").alias("line"))
-    parts = lines.groupBy("lang", "key").agg(*[F.array_sort(F.collect_list(F.when(F.col("part") == p, F.col("line")))).alias(p) for p in ("train", "test")])
-    return parts.groupBy("lang").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", F.struct("train", "test"))))).alias("json"))
+#: Lines of a key that stand in one record of a bank.
+RECORD = 500
+PART = "case when @draw(concat('part|', cast(doc_id as string))) % 5 = 0 then 'test' else 'train' end"
+
+
+def bank(spark, sf_dir: str) -> str:
+    """A bank written as JSON lines: records of a key with lines for training and for testing, at most RECORD of a key's lines in one."""
+    lines = table(spark, sf_dir, "documents").select(F.concat_ws("|", "lang", "source").alias("key"), F.expr(to_spark(PART)).alias("part"), F.md5("text").alias("line"), "doc_id")
+    placed = corpus.numbered(lines, ["key"], [F.col("line"), F.col("doc_id")]).withColumn("record", F.expr(f"(__r - 1) div {RECORD}"))
+    records = placed.groupBy("key", "record").agg(*[F.array_sort(F.collect_list(F.when(F.col("part") == p, F.col("line")))).alias(p) for p in ("train", "test")])
+    path = shared.path_for(spark, "bank")
+    records.select("key", "train", "test").write.json(path)
+    return path
 
 
 def bank_lines(spark, sf_dir: str):
-    """Key, part and line of a bank in JSON."""
-    read = bank(spark, sf_dir).select(F.explode(F.from_json("json", "map<string, struct<train: array<string>, test: array<string>>>")).alias("key", "v"))
-    return read.select("key", F.explode(F.create_map(F.lit("train"), F.col("v.train"), F.lit("test"), F.col("v.test"))).alias("part", "lines")).select("key", "part", F.explode("lines").alias("line"))
+    """Key, part and line of a bank, read from its JSON lines."""
+    read = spark.read.schema("key string, train array<string>, test array<string>").json(bank(spark, sf_dir))
+    return read.select("key", F.explode(F.create_map(F.lit("train"), "train", F.lit("test"), "test")).alias("part", "lines")).select("key", "part", F.explode("lines").alias("line"))
 
 
 def bank_part(spark, sf_dir: str):
@@ -41,9 +49,9 @@ def bank_part(spark, sf_dir: str):
     return lines.where("part = 'train'").join(both, "key", "left_semi").select("key", "line")
 
 
-LINES = "(select concat_ws('|', lang, source) as key, case when doc_id % 5 = 0 then 'test' else 'train' end as part, md5(text) as line from documents)"
-pair("src_bank_explode", bank_lines, f"select key, part, line from {LINES} l")
-pair("src_bank_part_filter", bank_part, f"select key, line from {LINES} l where part = 'train' and key in (select key from {LINES} l group by key having count(distinct part) = 2)")
+LINES = f"(select concat_ws('|', lang, source) as key, {PART} as part, md5(text) as line from documents)"
+pair("src_bank_explode", bank_lines, f"select key, part, line from {LINES} l where line is not null")
+pair("src_bank_part_filter", bank_part, f"select key, line from {LINES} l where line is not null and part = 'train' and key in (select key from {LINES} l where line is not null group by key having count(distinct part) = 2)")
 KEY = "substr(@sha(concat_ws(chr(10), 'model', 'system', text, '7')), 1, 16)"
 add("src_content_cache", f"with cache as (select distinct {KEY} as k from documents where doc_id % 2 = 0) select doc_id, {KEY} as cache_key, cache.k is not null as hit from documents left join cache on {KEY} = cache.k")
 #: Event lines as a device prints them, with noise between.
@@ -56,8 +64,8 @@ add("src_link_scan", f"with known as (select distinct concat('/', element_at(spl
 add("fn_checksums", "select doc_id, @sha(text) as sha256, md5(text) as md5 from documents")
 add("src_priority_fallback", "select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by priority, doc_id) as r from (select lang, doc_id, 1 as priority from documents where source = 'src1' and lang <> 'en' union all select lang, doc_id, 2 as priority from documents) u) x where r = 1")
 add("agg_tensor_absmax", "select label, size(embedding) as width, max(a) as absmax from (select label, embedding, array_max(transform(embedding, v -> abs(cast(v as double)))) as a from embeddings) e group by label, size(embedding)")
-# both representations of the same states agree
-add("join_parity_diff", f"select count(*) as differences from (select event_id, case when t >= 32.0E0 then 1 else 0 end as a from {STATE} s) x full outer join (select event_id, case when t < 32.0E0 or t is null then 0 else 1 end as b from {STATE} s) y on x.event_id = y.event_id where a is distinct from b")
+# two forms of one rule over the same states, the second with planted faults: as many differences are found as were planted
+add("join_parity_diff", f"select x.event_id, a, b from (select event_id, case when t >= 32.0E0 then 1 else 0 end as a from {STATE} s) x full outer join (select event_id, case when (t < 32.0E0 or t is null) = (event_id % 97 = 5) then 1 else 0 end as b from {STATE} s where event_id % 101 <> 7) y on x.event_id = y.event_id where a is distinct from b")
 
 
 def jsonl_split(spark, sf_dir: str):
@@ -72,19 +80,19 @@ pair("sink_jsonl_split", jsonl_split, "select case when doc_id % 10 = 0 then 'va
 
 
 def run_results(spark, sf_dir: str):
-    """Result files of runs, a file a language, written with files of other names beside them, and read back by name."""
+    """Results of runs, written by the tasks that hold them under names of their own, with other files beside them, and read back by name."""
     folder = shared.path_for(spark, "runs")
-    runs = table(spark, sf_dir, "documents").where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
-    for run in runs.limit(100).collect():  # as many files as there are languages
-        for name in (f"e-{run['lang']}.json", f"e-{run['lang']}.model.json", f"notes-{run['lang']}.json"):
-            shared.write_file(spark, f"{folder}/{name}", json.dumps({"rows": run["n"], "suites": {"all": {"sources": run["sources"]}}}).encode())
+    found = table(spark, sf_dir, "documents").where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"))
+    result = F.to_json(F.struct(F.col("n").alias("rows"), F.struct(F.struct("sources").alias("all")).alias("suites")))
+    names = F.array(F.concat(F.lit("e-"), "lang", F.lit(".json")), F.concat(F.lit("e-"), "lang", F.lit(".model.json")), F.concat(F.lit("notes-"), "lang", F.lit(".json")))
+    found.select(result.alias("value"), F.explode(names).alias("name")).write.partitionBy("name").text(folder)
     return scan_runs(spark, folder).select("run", F.get_json_object("content", "$.rows").cast("long").alias("n"), F.get_json_object("content", "$.suites.all.sources").cast("long").alias("sources"))
 
 
 def scan_runs(spark, folder: str, skip: str = ".model.json"):
-    """run, the name without its ending, and content of the files ``e*.json`` in a folder, but for those that end in ``skip``, in the order of their names."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "e*.json").load(folder).where(~F.endswith("path", F.lit(skip)))
-    return files.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("run"), F.decode("content", "UTF-8").alias("content")).orderBy("run")
+    """run, the name without its ending, and content of the results ``name=e*.json`` in a folder, but for those that end in ``skip``; only these are read."""
+    files = spark.read.schema("value string, name string").text(folder).where("name like 'e%.json'").where(~F.endswith("name", F.lit(skip)))
+    return files.select(F.regexp_extract("name", r"(.+)\.json$", 1).alias("run"), F.col("value").alias("content"))
 
 
 pair("src_run_files", run_results, "select 'e-' || lang as run, count(*) as n, count(distinct source) as sources from documents where lang is not null group by lang")

@@ -42,7 +42,8 @@ pair("win_early_stop", lambda s, d: corpus.early_stop(events(s, d), "event_type"
 pair("win_latency_delta", lambda s, d: corpus.before(events(s, d).select("user_id", "event_id", F.expr("unix_micros(cast(ts as timestamp))").alias("at")), "user_id", ["at", "event_id"], ["at"]).select("event_id", F.expr("at - before_at").alias("delta_us")), "select event_id, @epoch_us(ts) - lag(@epoch_us(ts)) over (partition by user_id order by ts, event_id) as delta_us from events")
 pair("win_every_n", lambda s, d: corpus.numbered(events(s, d).select(F.col("event_type").alias("run"), "event_id"), ["run"], [F.col("event_id")]).where("(__r + 1) % 50 = 0 or __r = __n").select("run", F.col("__r").alias("step")), "select run, step from (select run, step, row_number() over (partition by run order by step desc) as back from " + LOSS + " l) x where (step + 1) % 50 = 0 or back = 1")
 add("win_recent_slice", "select doc_id, array_join(@part(@words(text), greatest(1, size(@words(text)) - 7), 8), ' ') as recent from documents")
-add("win_rank", "select a, row_number() over (order by n desc, a) - 1 as merge_rank from (select substr(text, 1, 2) as a, count(*) as n from documents group by 1) p")
+# pairs of letters of whole texts, ranked by how often they stand; the window is over the distinct pairs only
+add("win_rank", "select a, row_number() over (order by n desc, a) - 1 as merge_rank from (select concat(element_at(c, i), element_at(c, i + 1)) as a, count(*) as n from (select c, explode(sequence(1, size(c) - 1)) as i from (select split(text, '') as c from documents where length(text) > 1) s) p group by 1) q")
 # the last value that is not null of each field, as the turns change it
 pair("win_state_fold", lambda s, d: corpus.last_known(events(s, d).select("user_id", "event_id", "event_type"), "user_id", ["event_id"], {"fan": F.expr("case when event_type = 'view' then event_id % 4 end"), "heat": F.expr("case when event_type = 'click' then event_id % 2 end")}).select("user_id", "event_id", "fan", "heat"), """select user_id, event_id, @last_known(case when event_type = 'view' then event_id % 4 end) over w as fan, @last_known(case when event_type = 'click' then event_id % 2 end) over w as heat
   from events window w as (partition by user_id order by event_id rows between unbounded preceding and current row)""")

@@ -133,8 +133,27 @@ def wait_until(events: DataFrame, session: Column, found: Column, seconds: int,
     return rows.groupBy("session").transformWithStateInPandas(statefulProcessor=Waiting(seconds), outputStructType="session long, at_us long, event_id long, timed_out boolean", outputMode="Append", timeMode="EventTime")
 
 
-def run_available(stream_df: DataFrame, folder: str) -> DataFrame:
-    """All that a stream has now, written to a table in ``folder`` and read from it."""
+def run_available(stream_df: DataFrame, folder: str, progress: list | None = None) -> DataFrame:
+    """All that a stream has now, written to a table in ``folder`` and read from it; ``progress`` takes what each micro-batch reports."""
     query = stream_df.writeStream.format("parquet").option("checkpointLocation", f"{folder}/progress").option("path", f"{folder}/rows").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
+    if progress is not None:
+        progress += query.recentProgress
     return stream_df.sparkSession.read.schema(stream_df.schema).parquet(f"{folder}/rows")
+
+
+def in_order(rows: DataFrame, slices: int, at: Column, folder: str, files: int = 2) -> DataFrame:
+    """rows as a stream of ``slices`` micro-batches, in the order of ``at`` (a slice's number from 0).
+
+    Each slice is written after the one before, as ``files`` files, and so many files make a micro-batch.
+    """
+    spark = rows.sparkSession
+    dealt = rows.withColumn("__slice", at)
+    for k in range(slices):
+        dealt.where(F.col("__slice") == k).drop("__slice").repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(folder)
+
+
+def late_rows(progress: list) -> int:
+    """How many rows came too late, over all micro-batches."""
+    return sum(op["numRowsDroppedByWatermark"] for p in progress for op in p["stateOperators"])
