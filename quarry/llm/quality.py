@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import discard, documents, written
+from .shared import documents, written
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
@@ -158,17 +158,23 @@ def mcd_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     q = lambda d: F.expr(bucket(d))
     spread = rows.groupBy("g").agg(*[F.percentile(F.abs(x), F.lit(0.5)).alias(f"d{i}") for i, x in enumerate(AT)])
     begun = of_group(rows, spread).select("g", *AT, F.posexplode(F.array(*[F.expr(s) for s in STARTS])).alias("s", "d"))
-    now, seen = written(_estimates(begun.select("g", "s", *AT, q("d").alias("q"))), "estimates"), None
+    now = written(_estimates(begun.select("g", "s", *AT, q("d").alias("q"))), "estimates")
+    settled = []
     for step in range(1, steps):
         if step == FIRST_STEPS:
-            last, now = now, written(_least(now, STARTS_KEPT), "estimates")
-            discard(last)
-        new = written(_estimates(_measured(rows, now).select("g", "s", *AT, q("d").alias("q"))), "estimates")
-        discard(now)
-        now, before = new, seen
-        seen = now.agg(F.sum(F.xxhash64("g", "s", *ESTIMATE).cast("decimal(38,0)"))).first()[0]
-        if seen == before and step >= FIRST_STEPS:
-            break
+            now = written(_least(now, STARTS_KEPT), "estimates")
+        before = now.select("g", "s", F.xxhash64(*ESTIMATE).alias("was"))
+        new = _estimates(_measured(rows, now).select("g", "s", *AT, q("d").alias("q"))).join(before, ["g", "s"])
+        now = written(new.withColumn("same", F.xxhash64(*ESTIMATE) == F.col("was")).drop("was"), "estimates")
+        if step >= FIRST_STEPS:  # an estimate that a step leaves as it is stays so: its group goes through no further step
+            settled.append(now.where("same").drop("same"))
+            now = now.where("not same")
+            if now.isEmpty():
+                break
+        now = now.drop("same")
+    now = now.select("g", "s", *ESTIMATE)
+    for part in settled:
+        now = now.union(part.select("g", "s", *ESTIMATE))
     return _least(now, 1)
 
 

@@ -77,6 +77,20 @@ class Model:
         return [(i, parts[i], float(p[i])) for i in np.flatnonzero(p >= at_least)]
 
 
+def loss_and_slopes(w: np.ndarray, b: float, ids: np.ndarray, sentence_of: np.ndarray, doc_of: np.ndarray, y: np.ndarray, cost: np.ndarray) -> tuple[float, np.ndarray, float]:
+    """The weighted negative log-likelihood of the labels under the noisy-or, and its slopes by the weights and the bias.
+
+    ``ids`` and ``sentence_of`` name a weight and its sentence for each feature that stands, ``doc_of`` each sentence's document.
+    """
+    z = b + np.bincount(sentence_of, w[ids], len(doc_of))
+    total = np.bincount(doc_of, np.logaddexp(0, z), len(y))  # minus the logarithm of the chance that no sentence offends
+    held = np.clip(total, 1e-6, 500)
+    slope = cost * np.where(y, -1 / np.expm1(held), 1.0)
+    dz = slope[doc_of] * np.exp(-np.logaddexp(0, -z))
+    loss = float((cost * np.where(y, -np.log(-np.expm1(-held)), total)).sum())
+    return loss, np.bincount(ids, dz[sentence_of], len(w)), float(dz.sum())
+
+
 def fit(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, lift: float = LEAST_LIFT, l1: float = L1, l2: float = L2) -> Model:
     """Weights that maximise the labels' likelihood under the noisy-or, with small penalties, by Adam with full batches.
 
@@ -109,11 +123,8 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = ROUNDS, lift:
     w, b = np.zeros(len(names)), -4.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
-        z = b + np.bincount(sentence_of, w[ids], len(doc_of))
-        total = np.bincount(doc_of, np.logaddexp(0, z), len(y))
-        slope = cost * np.where(y, -1 / np.expm1(np.clip(total, 1e-6, 500)), 1.0)
-        dz = slope[doc_of] * np.exp(-np.logaddexp(0, -z))
-        g = np.append(np.bincount(ids, dz[sentence_of], len(w)) + l1 * np.sign(w) + l2 * w, dz.sum())
+        _, dw, db = loss_and_slopes(w, b, ids, sentence_of, doc_of, y, cost)
+        g = np.append(dw + l1 * np.sign(w) + l2 * w, db)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
