@@ -57,6 +57,8 @@ class ShardWriter:
         self.held, self.n_held, self.total, self.rows = [], 0, 0, []
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        if len(ids) and int(ids.max()) > np.iinfo(self.dtype).max:
+            raise ValueError(f"id {int(ids.max())} does not fit {self.dtype}")
         self.rows.append((doc_id, self.total, len(ids)))
         self.held.append(ids.astype(self.dtype))
         self.n_held += len(ids)

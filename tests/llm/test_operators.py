@@ -475,6 +475,13 @@ def test_token_files(spark, docs, empty):
     assert token_files.read_token_files(nothing, folder).count() == 0
 
 
+def test_ids_that_do_not_fit_are_an_error(tmp_path):
+    writer = token_files.ShardWriter(f"file://{tmp_path}", 16, "uint16")
+    writer.add(1, np.array([0, 65535], np.uint32))
+    with pytest.raises(ValueError, match="65536"):
+        writer.add(2, np.array([65536], np.uint32))
+
+
 def test_token_files_are_fixed_size_lists(spark, docs):
     import pyarrow as pa
 
