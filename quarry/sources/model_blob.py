@@ -54,16 +54,15 @@ class Form:
         if not self.limit:
             out["values"] = parts
             return out.tobytes()
-        for i, part in enumerate(parts):
-            peak = float(np.max(np.abs(part), initial=0.0))
-            out[i]["scale"] = peak / self.limit if peak else 1.0
+        peak = np.abs(parts).max(axis=1, initial=0.0).astype(np.float64)
+        out["scale"] = np.where(peak > 0, peak / self.limit, 1.0)
         step = out["scale"].astype("<f4").reshape(-1, 1)
         stored = np.round(np.divide(parts, step, out=np.zeros_like(parts), where=step != 0)).clip(-self.limit, self.limit)
         if self.limit == 127:
             out["values"] = stored
         else:
-            pairs = (stored + 8).astype(int).reshape(len(parts), -1, 2)
-            out["values"] = pairs @ np.array([1, 16])
+            nibbles = (stored + 8).astype("u1").reshape(len(parts), -1, 2)
+            out["values"] = nibbles[:, :, 0] | nibbles[:, :, 1] << 4
         return out.tobytes()
 
     def unpack(self, raw: bytes) -> np.ndarray:
