@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE_CHARS, Cache, batched, documents, join_counted, kept_in_worker, lists, small_batches, written
+from .shared import SPACE_CHARS, Cache, batched, discard, documents, join_counted, kept_in_worker, lists, small_batches, written
 
 WINDOW = 35
 K1, K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -145,6 +145,7 @@ def words_of(text: str | None) -> list[bytes]:
 NONE = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
 SENT = "hashes array<bigint>, counts array<bigint>, further array<bigint>"
 SENT_NAMES = ["hashes", "counts", "further"]
+TEXTS = ["doc_id", "at", "text", "weight"]
 #: Window lengths: a quarter, a half and the whole of the target.
 LEVELS = 3
 CHARS = 1_000_000
@@ -172,7 +173,7 @@ def _first(docs: DataFrame, window: int) -> DataFrame:
 
 
 def _next(candidates: DataFrame, window: int, level: int) -> DataFrame:
-    """What documents (doc_id, text, weight, survived) send at a level."""
+    """What documents (doc_id, at, text, weight, survived) send at a level."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_hashes()
@@ -183,16 +184,16 @@ def _next(candidates: DataFrame, window: int, level: int) -> DataFrame:
                 for text, survived in zip(texts[a:b], batch.column("survived").slice(a, b - a)):
                     values = survived.values.to_numpy(zero_copy_only=False).view(np.uint64)
                     rows.append(Windows(words_of(text), cache, window).sent(level, values))
-                kept = [batch.column(c).slice(a, b - a) for c in ("doc_id", "text", "digest", "weight")]
-                yield pa.RecordBatch.from_arrays([*kept, *_sent_columns(rows)], ["doc_id", "text", "digest", "weight", *SENT_NAMES])
+                kept = [batch.column(c).slice(a, b - a) for c in TEXTS]
+                yield pa.RecordBatch.from_arrays([*kept, *_sent_columns(rows)], [*TEXTS, *SENT_NAMES])
 
-    return small_batches(candidates.select("doc_id", "text", "digest", "weight", "survived")).mapInArrow(scan, f"doc_id long, text string, digest binary, weight int, {SENT}").where("size(hashes) > 0")
+    return small_batches(candidates.select(*TEXTS, "survived")).mapInArrow(scan, f"doc_id long, at long, text string, weight int, {SENT}").where("size(hashes) > 0")
 
 
 def _survivors(sent: DataFrame, last: bool = False) -> DataFrame:
-    """Of rows (doc_id, at if there, digest, weight, hashes, counts, further), each document's hashes that occur twice or more over all
-    rows, with its weight: survived, and on the last level the further bits that belong to them."""
-    keys = [c for c in ("doc_id", "at", "digest", "weight") if c in sent.columns]
+    """Of rows (doc_id, at, weight, hashes, counts, further), each document's hashes that occur twice or more over all rows, with its
+    weight: survived, and on the last level the further bits that belong to them."""
+    keys = ["doc_id", "at", "weight"]
     rows = sent.select(*keys, F.explode(F.arrays_zip(*SENT_NAMES[: 3 if last else 2])).alias("x"))
     h = F.struct(F.col("x.hashes").alias("h"), F.col("x.further").alias("f")) if last else F.col("x.hashes")
     rows = rows.select(*keys, h.alias("h"), (F.col("x.counts") * F.col("weight")).alias("n"))
@@ -202,22 +203,23 @@ def _survivors(sent: DataFrame, last: bool = False) -> DataFrame:
 
 
 def _cut(rows: DataFrame, window: int) -> DataFrame:
-    """Of rows (doc_id, digest, text, survived, further) the words that stay."""
+    """Of rows (doc_id, text, survived, further) the digest of the words and the words that stay."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_hashes()
         for batch in batches:
             whole = batch.column("text").to_pylist()
             for a, b in batched(whole, CHARS):
-                texts, removed = [], []
+                texts, removed, digests = [], [], []
                 for text, survived, further in zip(whole[a:b], batch.column("survived").slice(a, b - a), batch.column("further").slice(a, b - a)):
                     words = words_of(text)
                     kept = Windows(words, cache, window).kept(*[x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (survived, further)])
+                    digests.append(hashlib.sha256(b" ".join(words)).digest())
                     texts.append(b" ".join(w for w, k in zip(words, kept) if k).decode("utf-8", "replace"))
                     removed.append(len(words) - int(kept.sum()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("digest").slice(a, b - a), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "digest", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(digests, pa.binary()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "digest", "n_removed", "kept"])
 
-    return small_batches(rows.select("doc_id", "digest", "text", "survived", "further")).mapInArrow(scan, "doc_id long, digest binary, n_removed long, kept string")
+    return small_batches(rows.select("doc_id", "text", "survived", "further")).mapInArrow(scan, "doc_id long, digest binary, n_removed long, kept string")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -231,19 +233,20 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
     summary = first.select("doc_id", "n_words", "digest").join(copies.select("digest", F.lit(True).alias("copied")), "digest", "left").select("doc_id", "n_words", "digest", F.coalesce("copied", F.lit(False)).alias("copied"))
     marked = first.where("size(hashes) > 0").join(copies, "digest", "left").where("least is null or doc_id is null or doc_id = least")
     # a copy whose least row stands for all; rows that repeat that very id and text are taken once
-    sent = marked.withColumn("weight", F.when(F.col("least").isNotNull(), 2).otherwise(1)).select("doc_id", "at", "digest", "weight", *SENT_NAMES)
+    sent, same = marked.withColumn("weight", F.when(F.col("least").isNotNull(), 2).otherwise(1)).select("doc_id", "at", "weight", *SENT_NAMES), docs
     for level in range(1, LEVELS):
-        right = _survivors(sent).withColumnsRenamed({"doc_id": "__id", "at": "__at", "digest": "__d", "weight": "__w"})
-        if "text" not in sent.columns:
-            candidates = docs.join(right, docs["doc_id"].eqNullSafe(right["__id"]) & (docs["at"] == right["__at"])).withColumnsRenamed({"__d": "digest", "__w": "weight"})
-        else:
-            candidates = sent.join(right, sent["doc_id"].eqNullSafe(right["__id"]) & (sent["digest"] == right["__d"]))
-        sent = written(_next(candidates, window, level), f"windows-{level}")
+        # a document is known by its id and a hash of its text; its digest would be most of what the hashes' rows weigh
+        right = _survivors(sent).withColumnsRenamed({"doc_id": "__id", "at": "__at", "weight": "__w"})
+        candidates = same.drop("weight").join(right, same["doc_id"].eqNullSafe(right["__id"]) & (same["at"] == right["__at"])).withColumnRenamed("__w", "weight")
+        last, sent = sent, written(_next(candidates, window, level), f"windows-{level}")
+        if level > 1:
+            discard(last)
         if sent.isEmpty():
             return summary, docs.sparkSession.createDataFrame([], "doc_id long, digest binary, n_removed long, kept string")
-    right = _survivors(sent, True).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__d"), "survived", F.col("further").alias("__f"))
-    last = sent.drop("further").join(right, sent["doc_id"].eqNullSafe(right["__id"]) & (sent["digest"] == right["__d"])).where("weight = 1")
-    return summary, _cut(last.withColumnRenamed("__f", "further"), window)
+        same = sent.select(*TEXTS)
+    right = _survivors(sent, True).select(F.col("doc_id").alias("__id"), F.col("at").alias("__at"), "survived", "further")
+    last = same.where("weight = 1").join(right, same["doc_id"].eqNullSafe(right["__id"]) & (same["at"] == right["__at"]))
+    return summary, _cut(last, window)
 
 
 def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
