@@ -178,6 +178,19 @@ def nearest_rank(rows: DataFrame, key: str, value: str, tie: str, percent: int =
     return placed.where(F.expr(f"__r - 1 = least({percent} * __n div 100, __n - 1)")).select(key, F.col(value).alias(f"p{percent}"), F.col("__n").alias("n"))
 
 
+def onpolicy(wrong: DataFrame, original: DataFrame, key: str, repeat: int, replay: int, seed: str) -> DataFrame:
+    """A dataset for another round of training: place, kind, copy and ``key``.
+
+    Each row that the model had wrong is there ``repeat`` times, with at most ``replay`` rows drawn from the original training rows, without
+    replacement; all are shuffled by draws.  Rows are placed over ranges, so nothing is ordered in one task.
+    """
+    drawn = lambda *what: draw(F.concat(F.lit(seed), *[F.col(c).cast("string") for c in what]))
+    corrections = wrong.select(F.lit("correction").alias("kind"), key, F.explode(F.sequence(F.lit(1), F.lit(repeat))).alias("copy"))
+    picked = numbered(original.select(key), [], [drawn(key), F.col(key)]).where(F.col("__r") <= replay)
+    rows = corrections.union(picked.select(F.lit("replay").alias("kind"), key, F.lit(0).alias("copy")))
+    return numbered(rows, [], [drawn("kind", "copy", key), F.col(key)]).select(F.col("__r").alias("place"), "kind", "copy", key)
+
+
 def grouped_median(rows: DataFrame, key: str, value: str, tie: str) -> DataFrame:
     """The median of each group's values that are there: the mean of the one or two in the middle, found by place, so that no group's values meet."""
     placed = numbered(rows.where(F.col(value).isNotNull()).select(key, value, tie), [key], [F.col(value), F.col(tie)])

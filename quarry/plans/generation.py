@@ -46,3 +46,20 @@ pair("gen_dataset_build", dataset, """with kept as (select k, min(doc_id) as doc
   parts as (select doc_id, low, case when @draw(concat('build|', k)) % 1000 < 50 then 'val' when @draw(concat('build|', k)) % 1000 < 150 then 'test' else 'train' end as split from kept)
   select split, row_number() over (partition by split order by @draw(concat('build|', cast(doc_id as string))), doc_id) as place, doc_id from parts p where split = 'train' or not exists (select 1 from parts t where t.split = 'train' and t.low = p.low)""")
 pair("udf_text_source", lambda s, d: corpus.answered(table(s, d, "documents").selectExpr("doc_id", "lang as prompt", "doc_id % 5 as seed"), lambda prompt, seed: f"{prompt}:{seed * seed}").select("doc_id", "answer"), "select doc_id, coalesce(lang, 'None') || ':' || ((doc_id % 5) * (doc_id % 5)) as answer from documents")
+
+#: How often a correction stands, and how many rows of the original training set come with them.
+REPEAT, REPLAY = 4, 300
+
+
+def onpolicy(spark, sf_dir: str):
+    """Documents whose quality a rule has wrong, four times, and a sample of the training documents, shuffled."""
+    docs = table(spark, sf_dir, "documents")
+    judged = docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").withColumn("n", F.size(F.expr("array_remove(split(text, ' '), '')")))
+    wrong = judged.where((F.col("n").between(20, 400)) != (F.col("quality") == 1))
+    return corpus.onpolicy(wrong, docs.where("doc_id % 10 <> 0"), "doc_id", REPEAT, REPLAY, "onpolicy|")
+
+
+DRAWN = "@draw(concat('onpolicy|', {}))"
+pair("gen_onpolicy_build", onpolicy, f"""with wrong as (select doc_id from documents join labels using (doc_id) where (len(list_filter(string_split(text, ' '), lambda w: w <> '')) between 20 and 400) <> (quality = 1)),
+  rows as (select 'correction' as kind, doc_id, unnest(range(1, {REPEAT + 1}))::INTEGER as copy from wrong union all select 'replay', doc_id, 0 from (select doc_id, row_number() over (order by {DRAWN.format('cast(doc_id as string)')}, doc_id) as r from documents where doc_id % 10 <> 0) o where r <= {REPLAY})
+  select row_number() over (order by {DRAWN.format("concat(kind, cast(copy as string), cast(doc_id as string))")}, doc_id) as place, kind, copy, doc_id from rows""")

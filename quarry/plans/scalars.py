@@ -18,6 +18,10 @@ SPOKEN = sorted(((w, str(n)) for n in range(200) for w in columns.spoken(n)), ke
 SAID = "concat(text, ' seven of two hundred and one a hundred and five or Ninety-nine, one hundred twelve, fortytwo forty-two 3 zero')".replace("two hundred and one a", "two, a").replace("Ninety", "ninety")
 # longest first, each form wherever it stands between other letters
 pair("fn_number_words", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", columns.number_words_to_digits()(F.expr(SAID)).alias("line")), "select conv_id, turn, list_reduce([" + ", ".join(f"'{w}={n}'" for w, n in SPOKEN) + "], lambda acc, x: case when contains(acc, split_part(x, '=', 1)) then regexp_replace(acc, '\\b' || split_part(x, '=', 1) || '\\b', split_part(x, '=', 2), 'g') else acc end, " + SAID + ") as line from conversations")
+# small numbers as words, one in four
+NUMBERED = "@words(concat('set ', event_type, ' to ', cast(user_id % 9 as string), ' and ', cast(event_id % 7 as string), ' or 5'))"
+WORDED = "element_at(array('zero', 'one', 'two', 'three', 'four', 'five'), coalesce(try_cast(element_at(w, i) as int), 0) + 1)"
+add("fn_number_to_word", f"select event_id, array_join(transform(sequence(1, size(w)), i -> case when regexp_like(element_at(w, i), '^[0-5]$') and @draw(concat('number|', cast(event_id as string), '|', cast(i as string))) % 4 = 0 then {WORDED} else element_at(w, i) end), ' ') as line from (select event_id, {NUMBERED} as w from events) e")
 pair("fn_numbers_grounded", lambda s, d: table(s, d, "events").select("event_id", columns.numbers_grounded(F.expr("concat('at ', cast(user_id % 40 as string), ' and 3')"), F.expr("concat('now ', cast(event_id % 400 as string), ' or 36')")).alias("grounded")), "select event_id, size(filter(regexp_extract_all(expected, '-?[0-9]+([.][0-9]+)?', 0), n -> instr(reply, n) = 0)) = 0 as grounded from (select event_id, concat('at ', cast(user_id % 40 as string), ' and 3') as expected, concat('now ', cast(event_id % 400 as string), ' or 36') as reply from events) e")
 pair("fn_has_word", lambda s, d: table(s, d, "conversations").select("conv_id", "turn", columns.has_word(F.col("text"), "the").alias("has_the")), f"select conv_id, turn, regexp_like(translate(text, '{UP}', '{LOW}'), '(^|[^a-z])the([^a-z]|$)') as has_the from conversations")
 add("fn_prompt_layout", "select conv_id, concat('<bos>', @listed(concat(case role when 'user' then '<user>' else '<bot>' end, case when startswith(text, '<') then '' else ' ' end, text), turn), '<bot>') as prompt from conversations group by conv_id")

@@ -16,6 +16,34 @@ IDS = "transform(@part(split(text, ' '), 1, 16), w -> length(w))"
 add("src_padded_shift", f"""select doc_id, array_join(transform(@part(padded, 1, 12), v -> cast(v as string)), ',') as inputs, array_join(transform(@part(padded, 2, 12), v -> cast(v as string)), ',') as targets,
   array_join(transform(sequence(1, 12), i -> case when i >= least(3, n) and i < n then '1' else '0' end), ',') as mask
   from (select doc_id, size(ids) as n, @part(concat(ids, @repeat_list(0, 13)), 1, 13) as padded from (select doc_id, {IDS} as ids from documents) d) p""")
+#: Tokens of a row; a longer sequence by one fits, since inputs and targets are shifted against each other.
+CTX = 128
+
+
+def split_rows(spark, sf_dir: str):
+    """A split written as JSON lines (questions and answers as lengths of words), read again as inputs, next-token targets and a mask over the answer, all padded to the context."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.expr("transform(array_remove(split(text, ' '), ''), w -> length(w))").alias("ids"))
+    asked, told = turns.where("role = 'user'"), turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ids").alias("target_ids"))
+    path = shared.path_for(spark, "split")
+    asked.join(told, ["conv_id", "turn"]).select("conv_id", "turn", F.col("ids").alias("prompt_ids"), "target_ids").write.json(path)
+    return load_split(spark, path, "conv_id long, turn long", CTX)
+
+
+def load_split(spark, path: str, keys: str, ctx: int):
+    """The keys, inputs, targets and mask of JSON lines with prompt_ids and target_ids; sequences longer than ``ctx`` and one are left out."""
+    rows = spark.read.schema(f"{keys}, prompt_ids array<int>, target_ids array<int>").json(path)
+    rows = rows.withColumn("ids", F.concat("prompt_ids", "target_ids")).withColumn("p", F.size("prompt_ids")).where(F.size("ids") <= ctx + 1)
+    padded = rows.withColumn("padded", F.concat("ids", F.array_repeat(F.lit(0), F.lit(ctx + 1) - F.size("ids"))))
+    mask = F.expr(f"transform(sequence(1, {ctx}), i -> if(i >= p and i < size(ids), 1, 0))")
+    return padded.select(*[k.split()[0] for k in keys.split(", ")], F.slice("padded", 1, ctx).alias("inputs"), F.slice("padded", 2, ctx).alias("targets"), mask.alias("mask"))
+
+
+joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+LENGTHS = "list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: length(w))"
+pair("src_load_split", lambda s, d: split_rows(s, d).select("conv_id", "turn", joined("inputs"), joined("targets"), joined("mask")), f"""with t as (select conv_id, turn, role, {LENGTHS} as ids from conversations),
+  s as (select q.conv_id, q.turn, len(q.ids) as p, list_concat(q.ids, a.ids) as ids from t q join t a on a.conv_id = q.conv_id and a.turn = q.turn + 1 where q.role = 'user')
+  select conv_id, turn, array_to_string(list_resize(ids, {CTX + 1}, 0)[1:{CTX}], ',') as inputs, array_to_string(list_resize(ids, {CTX + 1}, 0)[2:{CTX + 1}], ',') as targets,
+    array_to_string(list_concat(list_resize([]::INTEGER[], (p - 1)::BIGINT, 0), list_resize([]::INTEGER[], (len(ids) - p)::BIGINT, 1), list_resize([]::INTEGER[], ({CTX} - len(ids) + 1)::BIGINT, 0)), ',') as mask from s where len(ids) <= {CTX + 1} and p > 0""")
 RECORDS = "(select doc_id, lower(trim(r)) as record from (select doc_id, explode(split(text, chr(10))) as r from documents) e)"
 add("src_delimited_records", f"select doc_id, md5(record) as record from {RECORDS} x where record <> ''")
 add("sink_manifest_stats", "select @json('documents', count(*), 'languages', count(distinct lang), 'characters', cast(sum(length(text)) as bigint), 'digest', cast(sum(@draw(text)) as bigint)) as manifest from documents")

@@ -42,7 +42,7 @@ def test_query(spark, duck, name):
     assert sorted(tuple(plain(r[c]) for c in order) for r in rows) == theirs
 
 
-@pytest.mark.parametrize("name", ["agg_suite_metrics", "win_pack_rows", "win_holdout_split", "join_pareto", "ord_seeded_shuffle", "win_early_stop", "win_every_n", "win_latency_delta", "win_prev_turn", "ext_session", "ext_asof_events", "win_state_fold", "win_history_budget", "stream_sessionize_reset", "stream_stop_rule"])
+@pytest.mark.parametrize("name", ["agg_suite_metrics", "win_pack_rows", "win_holdout_split", "join_pareto", "ord_seeded_shuffle", "win_early_stop", "win_every_n", "win_latency_delta", "win_prev_turn", "ext_session", "ext_asof_events", "win_state_fold", "win_history_budget", "stream_sessionize_reset", "stream_stop_rule", "join_phrase_index", "join_table_diff", "gen_onpolicy_build", "udaf_grouped", "gen_smalltalk", "src_bank_explode"])
 def test_partitions_do_not_matter(spark, name):
     def rows(n):
         spark.conf.set("spark.sql.shuffle.partitions", n)
