@@ -10,8 +10,8 @@ when no candidate survives or the length is reached.  Counts are taken over all
 Documents with the same words are counted once with weight two: all their windows are repeated, so they need no
 further level themselves.
 
-Windows are compared by hashes of the words' own 64-bit hashes: of 64 bits on the levels that only select, of 128 bits on
-the last.  Texts are joined to their survivors by doc_id and a hash of the text, so that rows of one id, or of none, do not
+Windows are compared by hashes of the words' own 64-bit hashes: of 64 bits on the levels that only select, of 96 bits on
+the last; within one document 64 bits say which of its windows were found repeated.  Texts are joined to their survivors by doc_id and a hash of the text, so that rows of one id, or of none, do not
 meet all with all.
 
 Defined results: a null text has no words; a null doc_id is a document like any other; rows that repeat a
@@ -90,13 +90,13 @@ class Windows:
         return at
 
     def second(self) -> np.ndarray:
-        """Further 64 bits of each whole window's hash."""
+        """Further 32 bits of each whole window's hash."""
         level, length = self.words, 1
         while length < self.window:
             step = min(length, self.window - length)
             level = mixed(level[:-step], level[step:], K3, K4)
             length += step
-        return level
+        return level >> np.uint64(32)
 
     def sent(self, level: int, survived: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The hashes that this document sends at a level, distinct, how often each occurs, and on the last level the hashes' further bits."""
@@ -120,19 +120,10 @@ class Windows:
         right = at + self.half <= np.arange(self.n) + self.window
         return np.where(right, at, at + self.quarter - self.half)
 
-    def kept(self, repeated: np.ndarray, further: np.ndarray) -> np.ndarray:
-        """A mask of the words that no repeated window covers; ``repeated`` and ``further`` are the hashes' first and further bits."""
+    def kept(self, repeated: np.ndarray) -> np.ndarray:
+        """A mask of the words that no repeated window covers."""
         change = np.zeros(self.n + self.window, np.int64)
         hit = np.flatnonzero(np.isin(self.whole, repeated)) if self.n else np.empty(0, np.int64)
-        if len(hit):
-            order = np.argsort(repeated, kind="stable")
-            first, rest, second = repeated[order], further[order], self.second()[hit]
-            at = np.searchsorted(first, self.whole[hit])
-            good = rest[at] == second
-            for i in np.flatnonzero(~good):  # another window with the same first bits
-                a, b = np.searchsorted(first, self.whole[hit[i]], "left"), np.searchsorted(first, self.whole[hit[i]], "right")
-                good[i] = second[i] in rest[a:b]
-            hit = hit[good]
         change[hit] += 1
         change[hit + self.window] -= 1
         return np.cumsum(change)[:-1] == 0
@@ -143,7 +134,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 NONE = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
-SENT = "hashes array<bigint>, counts array<bigint>, further array<bigint>"
+SENT = "hashes array<bigint>, counts array<bigint>, further array<int>"
 SENT_NAMES = ["hashes", "counts", "further"]
 TEXTS = ["doc_id", "at", "text", "weight"]
 #: Window lengths: a quarter, a half and the whole of the target.
@@ -152,7 +143,8 @@ CHARS = 1_000_000
 
 
 def _sent_columns(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[pa.Array]:
-    return [lists([np.ascontiguousarray(r[k]).view(np.int64) for r in rows], pa.int64(), np.int64) for k in range(3)]
+    longs = [lists([np.ascontiguousarray(r[k]).view(np.int64) for r in rows], pa.int64(), np.int64) for k in range(2)]
+    return [*longs, lists([r[2].astype(np.uint32).view(np.int32) for r in rows], pa.int32(), np.int32)]
 
 
 def _first(docs: DataFrame, window: int) -> DataFrame:
@@ -191,19 +183,22 @@ def _next(candidates: DataFrame, window: int, level: int) -> DataFrame:
 
 
 def _survivors(sent: DataFrame, last: bool = False) -> DataFrame:
-    """Of rows (doc_id, at, weight, hashes, counts, further), each document's hashes that occur twice or more over all rows, with its
-    weight: survived, and on the last level the further bits that belong to them."""
+    """Of rows (doc_id, at, weight, hashes, counts, further), survived: each document's hashes that occur twice or more over all rows.
+
+    On the last level hashes are equal if their further bits are, too, and only documents of weight one are told, since copies lose all words.
+    """
     keys = ["doc_id", "at", "weight"]
     rows = sent.select(*keys, F.explode(F.arrays_zip(*SENT_NAMES[: 3 if last else 2])).alias("x"))
     h = F.struct(F.col("x.hashes").alias("h"), F.col("x.further").alias("f")) if last else F.col("x.hashes")
     rows = rows.select(*keys, h.alias("h"), (F.col("x.counts") * F.col("weight")).alias("n"))
     repeated = written(rows.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n >= 2").select("h", "rows"), "repeated")
-    found = join_counted(rows.drop("n"), repeated, "h", "rows").groupBy(*keys).agg(F.collect_list("h").alias("survived"))
-    return found.select(*keys, F.col("survived.h").alias("survived"), F.col("survived.f").alias("further")) if last else found
+    told = rows.where("weight = 1") if last else rows
+    found = join_counted(told.drop("n"), repeated, "h", "rows")
+    return found.select(*keys, F.col("h.h").alias("h") if last else "h").groupBy(*keys).agg(F.collect_list("h").alias("survived"))
 
 
 def _cut(rows: DataFrame, window: int) -> DataFrame:
-    """Of rows (doc_id, text, survived, further) the digest of the words and the words that stay."""
+    """Of rows (doc_id, text, survived) the digest of the words and the words that stay."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = word_hashes()
@@ -211,15 +206,15 @@ def _cut(rows: DataFrame, window: int) -> DataFrame:
             whole = batch.column("text").to_pylist()
             for a, b in batched(whole, CHARS):
                 texts, removed, digests = [], [], []
-                for text, survived, further in zip(whole[a:b], batch.column("survived").slice(a, b - a), batch.column("further").slice(a, b - a)):
+                for text, survived in zip(whole[a:b], batch.column("survived").slice(a, b - a)):
                     words = words_of(text)
-                    kept = Windows(words, cache, window).kept(*[x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (survived, further)])
+                    kept = Windows(words, cache, window).kept(survived.values.to_numpy(zero_copy_only=False).view(np.uint64))
                     digests.append(hashlib.sha256(b" ".join(words)).digest())
                     texts.append(b" ".join(w for w, k in zip(words, kept) if k).decode("utf-8", "replace"))
                     removed.append(len(words) - int(kept.sum()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(digests, pa.binary()), pa.array(removed, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "digest", "n_removed", "kept"])
 
-    return small_batches(rows.select("doc_id", "text", "survived", "further")).mapInArrow(scan, "doc_id long, digest binary, n_removed long, kept string")
+    return small_batches(rows.select("doc_id", "text", "survived")).mapInArrow(scan, "doc_id long, digest binary, n_removed long, kept string")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -244,7 +239,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame,
         if sent.isEmpty():
             return summary, docs.sparkSession.createDataFrame([], "doc_id long, digest binary, n_removed long, kept string")
         same = sent.select(*TEXTS)
-    right = _survivors(sent, True).select(F.col("doc_id").alias("__id"), F.col("at").alias("__at"), "survived", "further")
+    right = _survivors(sent, True).select(F.col("doc_id").alias("__id"), F.col("at").alias("__at"), "survived")
     last = same.where("weight = 1").join(right, same["doc_id"].eqNullSafe(right["__id"]) & (same["at"] == right["__at"]))
     return summary, _cut(last, window)
 
