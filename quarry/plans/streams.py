@@ -52,7 +52,8 @@ def session_windows(spark, sf_dir: str, progress: list | None = None):
     """Sessions of each user that the watermark has closed: start, end and number of events; rows that come after the watermark are left out."""
     found = arriving(spark, sf_dir).withWatermark("ts", f"{BEHIND} minutes").groupBy("user_id", F.session_window("ts", f"{GAP} minutes").alias("w")).agg(F.count("*").alias("n"))
     told = found.select("user_id", F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), "n")
-    return sessions.run_available(told, folder(spark), progress)
+    ran = folder(spark)
+    return sessions.whole_sessions(sessions.run_available(told, ran, progress), ran)
 
 
 def late_count(spark, sf_dir: str):

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -142,6 +142,23 @@ def run_available(stream_df: DataFrame, folder: str, progress: list | None = Non
     return stream_df.sparkSession.read.schema(stream_df.schema).parquet(f"{folder}/rows")
 
 
+def whole_sessions(closed: DataFrame, folder: str) -> DataFrame:
+    """The finished sessions of a stream that ran in ``folder``: what its session windows gave out (user_id, start_us, end_us, n), with parts of one session put together.
+
+    A session is given out as soon as the watermark passes its end, but a row that is still in time may extend it later;
+    that row then starts a window of its own.  Such parts overlap.  Where the last of them is still open in the stream's state, the session
+    is not finished.
+    """
+    held = closed.sparkSession.read.format("statestore").load(f"{folder}/progress").select("value.*")
+    still = held.select("user_id", F.unix_micros("session_window.start").alias("start_us"), F.unix_micros("session_window.end").alias("end_us"), F.col("count").alias("n"))
+    parts = closed.withColumn("open", F.lit(False)).union(still.withColumn("open", F.lit(True)))
+    by = Window.partitionBy("user_id").orderBy("start_us")
+    starts = parts.withColumn("new", F.when(F.col("start_us") < F.lag("end_us").over(by), 0).otherwise(1))
+    placed = starts.withColumn("k", F.sum("new").over(by))
+    found = placed.groupBy("user_id", "k").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n").alias("n"), F.max("open").alias("open"))
+    return found.where("not open").select(*closed.columns)
+
+
 def in_order(rows: DataFrame, slices: int, at: Column, folder: str, files: int = 2) -> DataFrame:
     """rows as a stream of ``slices`` micro-batches, in the order of ``at`` (a slice's number from 0).
 

@@ -2,6 +2,8 @@
 
 import datetime
 
+import duckdb
+
 from pyspark.sql import functions as F
 
 from quarry.plans import streams
@@ -31,3 +33,20 @@ def test_the_events_arrive_in_slices_with_late_rows(spark):
     assert stream.isStreaming
     (row,) = streams.late_count(spark, "/root/testdata/sf0.001").collect()
     assert row.batches == streams.SLICES and row.late > 0
+
+
+def test_a_row_in_time_extends_a_session_that_was_given_out(spark, tmp_path):
+    # an event a minute; those with id % 50 = 7 come three slices late
+    placed = {5: (1, 5), 7: (1, 20), 205: (2, 205), 257: (2, 225), 250: (2, 250), 275: (2, 275), 300: (2, 300), 320: (2, 320)}
+    rows = [(i, at(placed.get(i, (0, i))[1]), placed.get(i, (0, i))[0]) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = sorted(map(tuple, streams.session_windows(spark, str(tmp_path)).collect()))
+    us = lambda m: (at(m) - datetime.datetime(1970, 1, 1)) // datetime.timedelta(microseconds=1)
+    # user 1's session was given out before minute 20 came; user 2's goes on at the end, though a part of it was given out
+    assert found == [(1, us(5), us(50), 2)]
+    db = duckdb.connect()
+    db.execute("set timezone = 'UTC'")
+    db.execute(f"create view events as select event_id, ts::timestamp as ts, user_id from '{tmp_path}/events.parquet/*.parquet'")
+    from quarry import registry
+
+    assert found == sorted(db.execute(registry.ORACLES["stream_session_windows"]).fetchall())
