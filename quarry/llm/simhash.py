@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import documents, join_counted, small_batches, written
+from .shared import discard, documents, join_counted, small_batches, written
 
 SEED, SHINGLE, SEGMENT = 42, 3, 4
 
@@ -46,7 +46,11 @@ def shingle_hashes(text: str | None, words_in_shingle: int) -> np.ndarray:
 
 def fingerprint(text: str | None, words_in_shingle: int = SHINGLE) -> int:
     """The fingerprint of a text as an unsigned integer."""
-    hashes = shingle_hashes(text, words_in_shingle)
+    return majority(shingle_hashes(text, words_in_shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, repeats included."""
     n = len(hashes)
     if not n:
         return 0
@@ -89,6 +93,7 @@ def links(values: DataFrame) -> DataFrame:
     near = f"if(cell = vector, array(fp), transform(filter(sequence(0, 63), b -> {flipped} = cell), b -> fp ^ shiftleft(1L, b)))"
     named = cells.join(shared, "cell").select("fp", F.explode(F.expr(near)).alias("value"))
     named = written(named, "named")
+    discard(cells)
     least = named.groupBy("value").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").select("value", "b")
     return named.join(least, "value").where("fp <> b").select(F.col("fp").alias("a"), "b")
 
