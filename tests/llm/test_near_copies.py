@@ -140,6 +140,41 @@ def test_no_pair_of_a_cell_is_left_out(spark):
     assert all(alike(sets[a], sets[b]) for a, b in linked)
 
 
+def rows_of_joins(spark, act):
+    """What act() returns, and how many rows the joins of its queries made in all."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark._jsc.sc().listenerBus()
+    ids = lambda: [store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())]
+    bus.waitUntilEmpty()
+    before, out, total = max(ids(), default=-1), act(), 0
+    bus.waitUntilEmpty()
+    for k in (k for k in ids() if k > before):
+        nodes, values = store.planGraph(k).allNodes(), store.executionMetrics(k)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            metrics = [node.metrics().apply(i) for i in range(node.metrics().size())] if "Join" in node.name() else []
+            found = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+            total += sum(int(v.get().replace(",", "")) for v in found if v.isDefined())
+    return out, total
+
+
+def test_sets_that_are_alone_in_a_cell_pass_no_join(spark):
+    """A large group of near copies among texts of their own: no join makes rows of all cells."""
+    r = random.Random(23)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(12)) for _ in range(2000)]
+    texts += [" ".join([*(f"t{i}" for i in range(60)), f"own{k}"]) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = near_copies.written(near_copies.sketches(df), "sketches")
+    named, made = rows_of_joins(spark, lambda: near_copies.shared_cells(found))
+    cells = {}
+    for x in found.collect():
+        for c in x.bands:
+            cells.setdefault(c, set()).add(x.sig)
+    held, expected = named.collect(), {(c, s) for c, sets in cells.items() if len(sets) > 1 for s in sets}
+    assert len(held) == len(expected) > 1000 and {(x.cell, x.sig) for x in held} == expected
+    assert all(x.many == (len(cells[x.cell]) > 3) and {x.low.sig, x.high.sig} <= cells[x.cell] for x in held)
+    assert len({(x.cell, x.part) for x in held}) > len({x.cell for x in held})
+    assert made <= 2 * len(expected) < near_copies.BANDS * len(texts) / 4
+
+
 def test_fingerprints_of_two_bits_are_candidates(spark):
     r = random.Random(41)
     base = [" ".join(f"w{r.randrange(10**6)}" for _ in range(600)) for _ in range(20)]
